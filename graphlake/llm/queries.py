@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import distinctive, leakage, packing, splitting
+from graphlake.llm import distinctive, doc_pairs, fusion, leakage, near_duplicates, packing, splitting
 from graphlake.sources.tables import latest_rows, table, valid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,7 @@ ORACLE: dict[str, str] = {}
 
 LIMIT, OVERLAP, LEAST = 360, 30, 120
 CAPACITY = 1024
+SCORES = ["weight", "similarity", "lexical", "mentions"]
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -57,6 +58,27 @@ def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", "degree", "score")
 
 
+def _judged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges the judge drew, with their four scores as numbers."""
+    edges = latest_rows(table(spark, sf_dir, "edges").select("id", "created_at", "source_id", "rel_type", "method", "weight", "metadata"), "id")
+    judged = edges.where("method = 'llm_connection_finder' and (rel_type is null or rel_type <> 'PART_OF_CONCEPT')")
+    text = F.col("metadata")
+    return judged.select(
+        "source_id",
+        F.col("id").alias("edge_id"),
+        "weight",
+        fusion.read_number(text["similarity_score"]).alias("similarity"),
+        fusion.read_number(text["lexical_score"], "decimal").alias("lexical"),
+        fusion.read_number(text["co_mentions"], "thousands").alias("mentions"),
+    )
+
+
+def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("w3").alias("kind"), F.col("id").alias("key"), F.col("created_at").alias("version"), "text")
+    books = table(spark, sf_dir, "books").select(F.lit("c3").alias("kind"), F.col("id").alias("key"), F.col("created_at").alias("version"), F.col("label").alias("text"))
+    return chunks.unionByName(books)
+
+
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_containers(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
@@ -84,3 +106,41 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = leakage.leaked_passages(documents, table(spark, sf_dir, "eval_items"))
     return leakage.without_leaks(documents, found).select("doc_id", "book_id", "topic", "n_chars")
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = fusion.fuse_rankings(_judged_edges(spark, sf_dir), "source_id", "edge_id", SCORES, position=False)
+    wins = sum(F.when((F.col(f"rank_{s}") == 1) & (F.col(f"ties_{s}") == 1), 1).otherwise(0) for s in SCORES)
+    return ranked.where((F.col("n_items") >= 5) & (wins >= 3)).select("source_id", "edge_id")
+
+
+@query
+def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fuse_rankings(_judged_edges(spark, sf_dir), "source_id", "edge_id", SCORES)
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_pairs(_shingled(spark, sf_dir), 0.6)
+
+
+@query
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates.similar_groups(_shingled(spark, sf_dir), 0.6)
+    return groups.select(F.col("key").alias("node_id"), "group", "n_copies", "n_links")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_rows(table(spark, sf_dir, "source_files").select("file_id", "path", "content", "committed_at"), "file_id", "committed_at")
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = doc_pairs.documented_functions(_files(spark, sf_dir))
+    return found.where(F.col("path").endswith(".py")).select("file_id", "qualified_name", "start_line").distinct()
+
+
+@query
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_pairs.documented_functions(_files(spark, sf_dir))
