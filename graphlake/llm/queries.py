@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.llm import distinctive, doc_pairs, fusion, leakage, near_duplicates, packing, splitting
+from graphlake.llm import distinctive, doc_pairs, fusion, leakage, near_duplicates, neighbors, packing, quality, splitting
 from graphlake.sources.tables import latest_rows, table, valid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,36 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc_pairs.documented_functions(_files(spark, sf_dir))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "doc_labels").dropDuplicates()
+    return quality.text_kinds(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"), labels)
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+@query
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kinds(spark, sf_dir)
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "points").select("node_id", "dense", F.col("payload.created_at").alias("created_at"))
+    return latest_rows(points, "node_id").drop("created_at")
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64, least=0.9)
+    return near.select(F.least("node_id", "other").alias("node_a"), F.greatest("node_id", "other").alias("node_b")).distinct()
+
+
+@query
+def p2_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64, least=0.6)
+    seeds = table(spark, sf_dir, "rag_results").select(F.explode("seed_node_ids").alias("node_id")).distinct()
+    return near.join(seeds, "node_id", "left_semi")
