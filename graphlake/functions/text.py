@@ -92,10 +92,13 @@ def context_block(node_id: Column, label: Column, text: Column, extra: Column) -
 
 def tokens(c: Column, stop_words: list[str] | None = None, bigrams: bool = True) -> Column:
     """Terms of the vector space: lower-case tokens of two or more letters, digits or underscores, without stop words, then pairs of neighbours."""
-    single = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
-    if stop_words:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        single = F.filter(single, lambda w: ~F.array_contains(stops, w))
+    # the pattern itself passes over stop words: a filter over arrays would compare every token with the whole list
+    part = r"[\p{L}\p{N}_]"
+    # grouped by first letter, so a token is held against few of them
+    by_letter = {w[0]: [x[1:] for x in stop_words if x[0] == w[0]] for w in stop_words or []}
+    listed = "|".join(f"{k}(?:{'|'.join(v)})" for k, v in by_letter.items())
+    stops = f"(?!(?:{listed})(?!{part}))" if stop_words else ""
+    single = F.regexp_extract_all(F.lower(c), F.lit(f"(?<!{part}){stops}{TOKEN}"), F.lit(0))
     if not bigrams:
         return single
     after = F.slice(single, 2, F.greatest(F.size(single) - 1, F.lit(0)))

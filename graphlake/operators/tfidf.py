@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlake.config import DEFAULTS
 from graphlake.functions import text as T
+from graphlake.session import cut_lineage
 
 #: English words without weight (fixed values).
 STOP_WORDS = (
@@ -30,14 +31,15 @@ def vocabulary(counts: DataFrame, documents: int, max_features: int = DEFAULTS.m
 def weighted(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * idf, each vector of length 1; unseen terms fall away."""
     raw = counts.join(vocab.select("term", "idf"), "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
-    length = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return raw.join(length, key).select(key, "term", (F.col("w") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
 def fit_transform(df: DataFrame, key: str, text: str, max_features: int = DEFAULTS.max_features, bigrams: bool = True) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, weights) of a corpus."""
     counts = term_counts(df, key, text, bigrams)
-    vocab = vocabulary(counts, df.select(key).distinct().count(), max_features)
+    # at most max_features rows, and read by every use of the space
+    vocab = cut_lineage(vocabulary(counts, df.select(key).distinct().count(), max_features))
     return vocab, weighted(counts, vocab, key)
 
 

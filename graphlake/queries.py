@@ -13,6 +13,7 @@ from graphlake.operators import chunking, code_parser, judge, merge, resolve, si
 from graphlake.operators.ranking import group_ranks
 from graphlake.plans import answer, ingest
 from graphlake.schema import duplicate_keys, make_edges
+from graphlake.session import cut_lineage
 from graphlake.sources import catalog as books_catalog
 from graphlake.sources import files as file_sources
 from graphlake.sources.tables import table, valid
@@ -615,7 +616,7 @@ def symbol_edges(spark, sf):
 @query()
 def static_edges(spark, sf):
     files = _code_files(spark, sf)
-    return resolve.static_edges(files, code_parser.parse_symbols(files), code_parser.parse_imports(files))
+    return resolve.static_edges(files, cut_lineage(code_parser.parse_symbols(files)), cut_lineage(code_parser.parse_imports(files)))
 
 
 _SYMBOLS = f"sy AS (SELECT id, file_id, parent_symbol_id, kind, name, qualified_name, order_index, base_classes, calls_raw FROM {_v('code_symbols')}), named AS (SELECT * FROM sy WHERE kind <> 'module')"
@@ -686,7 +687,7 @@ _CONTEXT = f"""{_KNN}, {_ENDS}, own AS (SELECT query_id, node_id, 0 AS stage, ra
 
 
 def _context(spark, sf):
-    seeds = _knn(spark, sf)
+    seeds = cut_lineage(_knn(spark, sf))
     seeds = seeds.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")))
     return answer.context_rows(seeds, _edges(spark, sf), _nodes(spark, sf))
 
