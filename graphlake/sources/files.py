@@ -34,8 +34,7 @@ def source_filter(path: Column, length: Column, settings: Settings = DEFAULTS) -
 def read_source_tree(spark: SparkSession, root: str, repo: str, settings: Settings = DEFAULTS) -> DataFrame:
     """(file_id, repo, path, module_path, language, loc, content) of a tree; unwanted files are ruled out before their content is read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
-    relative = F.substring_index(F.col("path"), base, -1)
+    relative = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
     files = found.withColumn("rel", relative).where(source_filter(F.col("rel"), F.col("length"), settings))
     content = F.decode("content", "UTF-8")
     return files.select(F.concat(F.lit("file_"), F.substring(F.md5(F.concat(F.lit(repo), F.lit("|"), F.col("rel"))), 1, 12)).alias("file_id"), F.lit(repo).alias("repo"), F.col("rel").alias("path"), module_path(F.col("rel")).alias("module_path"), language_for_path(F.col("rel")).alias("language"), F.regexp_count(content, F.lit("\n")).alias("newlines"), content.alias("content")).withColumn("loc", F.col("newlines") + 1).drop("newlines")
