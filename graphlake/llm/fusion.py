@@ -37,9 +37,11 @@ def fuse_rankings(df: DataFrame, group: str, item: str, scores: list[str], const
     nothing; ``ties`` counts the items with the same score. Rows with a null group or item are left out;
     repeated (group, item) rows count once, with the highest of their scores.
     """
-    clean = [F.max(F.when(F.abs(F.col(s).cast("double")) < float("inf"), F.col(s).cast("double"))).alias(s) for s in scores]
-    items = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(s) for s in scores]).where("g is not null and i is not null").groupBy("g", "i").agg(*clean)
-    long = items.select("g", "i", F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.col(s).alias("value")) for n, s in enumerate(scores)])).alias("s")).select("g", "i", "s.*")
+    inner = [f"v{n}" for n in range(len(scores))]
+    finite = lambda v: F.when(F.abs(F.col(v)) < float("inf"), F.col(v))
+    items = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(s).cast("double").alias(v) for v, s in zip(inner, scores, strict=True)])
+    items = items.where("g is not null and i is not null").groupBy("g", "i").agg(*[F.max(finite(v)).alias(v) for v in inner])
+    long = items.select("g", "i", F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.col(v).alias("value")) for n, v in enumerate(inner)])).alias("s")).select("g", "i", "s.*")
     ranks = group_ranks(long, ["g", "score"], "value")
     ranked = long.join(ranks, ["g", "score", "value"], "left").withColumn("rank", F.col("n_total") - F.col("n_below") - F.col("n_equal") + 1)
     columns = []

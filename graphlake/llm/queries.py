@@ -177,3 +177,34 @@ def p2_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64, least=0.6)
     seeds = table(spark, sf_dir, "rag_results").select(F.explode("seed_node_ids").alias("node_id")).distinct()
     return near.join(seeds, "node_id", "left_semi")
+
+
+# --- SQL of the queries that SQL can express --------------------------------------------------------------------
+
+_LOG = "(SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY {1} ORDER BY {2} DESC NULLS LAST) = 1)"
+_CHUNKS, _SECTIONS, _EDGES = _LOG.format("chunks", "id", "created_at"), _LOG.format("sections", "id", "created_at"), _LOG.format("edges", "id", "created_at")
+_POINTS = _LOG.format("points", "node_id", "payload.created_at")
+_BLANK = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+ORACLE["p1_found"] = f"""WITH RECURSIVE s AS (SELECT id, parent_section_id FROM {_SECTIONS}),
+ d AS (SELECT id, 1 AS level FROM s WHERE parent_section_id IS NULL OR parent_section_id NOT IN (SELECT id FROM s) UNION ALL SELECT s.id, level + 1 FROM s JOIN d ON s.parent_section_id = d.id)
+SELECT c.id AS chunk_id, level FROM {_CHUNKS} c LEFT JOIN d ON d.id = c.section_id WHERE len(regexp_extract_all(text, '[^{_BLANK}]+')) > 360"""
+
+ORACLE["p2_found"] = f"""WITH p AS (SELECT node_id, CAST(dense AS DOUBLE[]) AS v FROM {_POINTS} WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
+ n AS (SELECT a.node_id AS x, b.node_id AS y, list_cosine_similarity(a.v, b.v) AS s FROM p a JOIN p b ON a.node_id <> b.node_id QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY s DESC, b.node_id) <= 5)
+SELECT DISTINCT least(x, y) AS node_a, greatest(x, y) AS node_b FROM n WHERE s >= 0.9"""
+
+
+def _number(key: str, comma: str) -> str:
+    bare = f"regexp_replace(metadata['{key}'], '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
+    plain = {"": "x", "d": "replace(x, ',', '.')", "t": "replace(x, ',', '')"}[comma].replace("x", f"regexp_replace({bare}, '[{_BLANK}]*%$', '')")
+    value = rf"CASE WHEN regexp_matches({plain}, '^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST({plain} AS DOUBLE) END"
+    return f"CASE WHEN ends_with({bare}, '%') THEN ({value}) / 100 ELSE {value} END"
+
+
+ORACLE["p4_found"] = f"""WITH e AS (SELECT source_id, id, weight AS s1, {_number("similarity_score", "")} AS s2, {_number("lexical_score", "d")} AS s3, {_number("co_mentions", "t")} AS s4 FROM {_EDGES} WHERE method = 'llm_connection_finder' AND rel_type <> 'PART_OF_CONCEPT'),
+ l AS (SELECT source_id, id, k, CASE WHEN isfinite(s) THEN s END AS s FROM (SELECT source_id, id, unnest([1, 2, 3, 4]) AS k, unnest([s1, s2, s3, s4]) AS s FROM e)),
+ w AS (SELECT source_id, id, k FROM l WHERE s IS NOT NULL QUALIFY rank() OVER (PARTITION BY source_id, k ORDER BY s DESC) = 1 AND count(*) OVER (PARTITION BY source_id, k, s) = 1)
+SELECT source_id, id AS edge_id FROM w WHERE source_id IN (SELECT source_id FROM e GROUP BY 1 HAVING count(*) >= 5) GROUP BY 1, 2 HAVING count(*) >= 3"""
+
+ORACLE["p7_found"] = rf"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANK}]+')) > {CAPACITY}"
