@@ -132,7 +132,8 @@ def depth_by_parent(df: DataFrame, key: str, parent: str) -> DataFrame:
     links = df.select(F.col(key).alias("k"), F.col(parent).alias("up"))
     known = links.join(ids.select(F.col("k").alias("up"), F.lit(True).alias("there")), "up", "left")
     state = cut_lineage(known.select("k", F.when(F.col("there"), F.col("up")).alias("up"), F.lit(1).alias("d")))
-    for _ in range(24):
+    # no chain is longer than there are rows: what is open after that many doublings is a cycle
+    for _ in range(state.count().bit_length() + 1):
         if not state.where(F.col("up").isNotNull()).limit(1).count():
             break
         above = state.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("d").alias("d2"))
