@@ -109,8 +109,8 @@ def _learn_order(records: DataFrame, n: int) -> np.ndarray:
                 yield pd.DataFrame({"code": code.astype(np.int64), "c": c})
 
     counts = sample.mapInPandas(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).where("c > 1")
-    rows = counts.orderBy(F.desc("c"), "code").limit(ORDER_TERMS).collect()
-    table = np.array([(r["code"], r["c"]) for r in rows], np.int64).reshape(-1, 2)
+    rows = counts.orderBy(F.desc("c"), "code").limit(ORDER_TERMS).toArrow()
+    table = np.stack([rows["code"].to_numpy(), rows["c"].to_numpy()], 1).astype(np.int64).reshape(-1, 2)
     return table[np.argsort(table[:, 0].astype(np.uint64))]
 
 
