@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from graphlake.session import cut_lineage
 
-#: Projected dimensions (even), and vectors on which the upper kd-tree is fitted.
+#: Projected dimensions (even), and about how many vectors the upper kd-tree is fitted on (at most twice as many).
 PROJECTED, SAMPLE = 12, 16_384
 #: Vectors of a cell, the unit of distribution, and of a leaf inside.
 CELL, LEAF = 16_384, 256
@@ -185,8 +185,8 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
     step = max(1, n // SAMPLE)
     rng = np.random.default_rng(seed)
     matrix = rng.standard_normal((dimensions, PROJECTED)).astype(np.float32)
-    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vector").limit(2 * SAMPLE).collect()
-    points = _unit([r["vector"] for r in sample]) @ matrix if sample else np.zeros((0, PROJECTED), np.float32)
+    sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vector").limit(2 * SAMPLE).toArrow()
+    points = _unit(sample["vector"].to_numpy()) @ matrix if sample.num_rows else np.zeros((0, PROJECTED), np.float32)
     depth = max(0, math.ceil(math.log2(max(1, n) / CELL))) if len(points) else 0
     tree = Tree(points, min(depth, max(0, int(math.log2(max(1, len(points) / 16))))))
     quantile = chi_square_quantile(PROJECTED, confidence)
