@@ -82,13 +82,13 @@ class Connected:
 def connection_pass(chunks: DataFrame, points: DataFrame, terms: DataFrame, provider: judge.Provider | None = None, existing: DataFrame | None = None, k: int = 4, settings: Settings = DEFAULTS) -> Connected:
     """Candidate pairs among chunks (id, topic, text, metadata, position), judged by the provider or else by rule, to typed edges and concepts.
 
-    The chunks are the stated query set: in blocks against all their points. Fewer than two chunks give a summary of zeros.
+    All pairs of chunks are scored, in blocks; positions must be unique. Fewer than two chunks give a summary of zeros.
     """
-    mine = points.join(chunks.select(F.col("id").alias("node_id")), "node_id", "left_semi")
-    dense = similarity.cosine_search(mine.withColumnRenamed("node_id", "query_id"), mine, 8 * k)
-    held = terms.join(chunks.select(F.col("id").alias("id")), "id", "left_semi").select(F.col("id").alias("node_id"), "term", "weight")
-    sparse = similarity.sparse_search(held.withColumnRenamed("node_id", "query_id"), held)
-    scores = similarity.hybrid_scores(dense, sparse, settings.dense_weight, settings.sparse_weight)
+    packed = similarity.pack_terms(terms.select(F.col("id").alias("node_id"), "term", "weight"), "node_id")
+    mine = chunks.select(F.col("id").alias("node_id")).join(points.select("node_id", "dense"), "node_id", "left").join(packed, "node_id", "left")
+    mine = cut_lineage(mine)
+    # at most two neighbours in the list are masked, so the best k + 2 hold the best k of the rest
+    scores = similarity.pair_scores(mine.withColumnRenamed("node_id", "query_id"), mine, k + 2, settings.similarity_threshold, None, settings.dense_weight, settings.sparse_weight, True)
     candidates = similarity.top_candidates(scores, k, settings.similarity_threshold, chunks.select(F.col("id").alias("node_id"), "position"))
     pairs = cut_lineage(judge.best_pairs(candidates, settings.judged_pairs))
     replies = judge.ask(judge.pair_prompts(pairs, chunks), provider) if provider else judge.rule_judgments(pairs)

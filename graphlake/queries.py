@@ -367,10 +367,11 @@ _HYBRID = f"""{_POINTS}, {_DENSE}, {_SPARSE}, top AS (SELECT * FROM dn QUALIFY r
  hy AS (SELECT query_id, node_id, round(score * CAST(0.6 AS DOUBLE) + coalesce(s, 0) * CAST(0.4 AS DOUBLE), 6) AS score FROM top LEFT JOIN cs USING (query_id, node_id))"""
 
 
-def _hybrid(spark, sf):
-    dense = similarity.cosine_search(_asked(spark, sf), _points(spark, sf), 50)
-    sparse = similarity.sparse_search(_long_asked(spark, sf), _long(_points(spark, sf), "node_id"), None, False)
-    return similarity.hybrid_scores(dense, sparse)
+def _hybrid(spark, sf, k=None, least=None):
+    # all pairs, while the SQL takes each query's 50 nearest by the dense score
+    points = _points(spark, sf).select("node_id", "dense", F.when(c("sparse").isNotNull(), similarity.sparse_terms(c("sparse"))).alias("packed"))
+    asked = points.join(_seeds(spark, sf).withColumnRenamed("query_id", "node_id"), "node_id", "left_semi").withColumnRenamed("node_id", "query_id")
+    return similarity.pair_scores(asked, points, k, least)
 
 
 @query(f"WITH {_HYBRID} SELECT * FROM hy")
@@ -385,7 +386,8 @@ SELECT least(query_id, node_id) AS source_id, greatest(query_id, node_id) AS tar
 def topk_candidates(spark, sf):
     order = Window.partitionBy("book_id").orderBy("order_index", "id")
     pos = _chunks(spark, sf).select(c("id").alias("node_id"), "book_id", F.row_number().over(order).alias("p"))
-    scores = _hybrid(spark, sf)
+    # a chunk has at most two neighbours to be masked, so the best 8 + 2 hold the best 8 of the rest
+    scores = _hybrid(spark, sf, 10, 0.3)
     a = pos.select(c("node_id").alias("query_id"), c("book_id").alias("b1"), c("p").alias("p1"))
     scores = scores.join(a, "query_id", "left").join(pos, "node_id", "left")
     scores = scores.where(~F.coalesce((c("b1") == c("book_id")) & (F.abs(c("p1") - c("p")) <= 1), F.lit(False))).select("query_id", "node_id", "score")

@@ -8,6 +8,7 @@ from graphlake.operators import chunking, code_parser, judge, merge, resolve, si
 from graphlake.operators.embed import HashingEmbedder
 from graphlake.operators.ranking import group_ranks
 from graphlake.plans import answer, ingest
+from graphlake.queries import QUERIES
 from graphlake.sources import catalog, files
 from graphlake.sources.tables import latest_rows
 from graphlake.streaming.incremental import read_version, stream_upserts
@@ -104,6 +105,34 @@ def test_search_and_candidates(spark):
     assert rows(similarity.top_candidates(scores, 1, 0.5, order)) == [("a", "c", 0.6)]
 
 
+def test_all_pairs_are_scored(spark, tmp_path):
+    # b is the farthest of 71 points by the dense score but has q's terms; c has no usable dense vector
+    near = [(f"n{i:02d}", [1.0, 0.01 * i] + [0.0] * 62, None) for i in range(70)]
+    same = ([1, 2, 3], [0.5, 0.25, 1.0])
+    data = [("q", [1.0] + [0.0] * 63, same), ("b", [0.5, 0.9] + [0.0] * 62, same), ("c", None, same), ("d", None, None), *near]
+    points = spark.createDataFrame(data, "node_id string, dense array<float>, sparse struct<indices: array<int>, values: array<double>>")
+    points = points.withColumn("payload", F.struct(F.lit("Chunk").alias("type"), F.lit("l").alias("label"), F.lit("t").alias("topic"), F.lit(1.0).alias("created_at")))
+    points.write.parquet(str(tmp_path / "points.parquet"))
+    spark.createDataFrame([(["q"],)], "seed_node_ids array<string>").write.parquet(str(tmp_path / "rag_results.parquet"))
+    chunks = spark.createDataFrame([("q", "book", 1, 1.0), ("b", "book", 9, 1.0), ("n00", "book", 2, 1.0)], "id string, book_id string, order_index int, created_at double")
+    chunks.write.parquet(str(tmp_path / "chunks.parquet"))
+    pairs = {r["node_id"]: r["score"] for r in QUERIES["hybrid_pairs"](spark, str(tmp_path)).collect()}
+    assert set(pairs) == {"b", "c", *[n for n, _, _ in near]} and pairs["c"] == 0.4
+    assert pairs["b"] == pytest.approx(0.6 * 0.5 / (0.5**2 + 0.9**2) ** 0.5 + 0.4, abs=2e-6)
+    got = {(r["source_id"], r["target_id"]) for r in QUERIES["topk_candidates"](spark, str(tmp_path)).collect()}
+    assert got == {("b", "q"), *[(f"n{i:02d}", "q") for i in range(1, 8)]}
+
+
+def test_connection_pass_scores_all_pairs(spark):
+    # all near ones are closer to a than z by the dense score, z alone shares a's terms
+    data = [("a", [1.0, 0.0]), ("z", [0.8, 0.6]), *[(f"n{i:02d}", [1.0, 0.3 + 0.001 * i]) for i in range(40)]]
+    points = spark.createDataFrame([(x, v + [0.0] * 62) for x, v in data], "node_id string, dense array<float>")
+    terms = spark.createDataFrame([("a", "wing", 1.0), ("z", "wing", 1.0)], "id string, term string, weight double")
+    chunks = spark.createDataFrame([(x, "t", "text", {"book_title": "b"}, 2 * i) for i, (x, _) in enumerate(data)], "id string, topic string, text string, metadata map<string,string>, position int")
+    pairs = {(r["source_id"], r["target_id"]): r["score"] for r in ingest.connection_pass(chunks, points, terms).pairs.collect()}
+    assert pairs["a", "z"] == pytest.approx(0.88)
+
+
 def test_rank_fusion(spark):
     dense = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.8)], "query_id string, node_id string, score double")
     sparse = spark.createDataFrame([("q", "b", 5.0), ("q", "c", 1.0)], "query_id string, node_id string, score double")
