@@ -54,7 +54,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = latest_rows(table(spark, sf_dir, "chunks").select("id", "created_at", "text"), "id")
-    scored = distinctive.distinctive_terms(chunks, min_tf=2)
+    scored = distinctive.distinctive_terms(chunks)
     return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", "degree", "score")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphlake.llm import distinctive, doc_pairs, fusion, leakage, near_duplicates, neighbors, packing, plain, quality, splitting
 from graphlake.llm.queries import ORACLE, QUERIES
+from graphlake.sources.tables import latest_rows
 
 
 def rows(df, *columns):
@@ -109,6 +110,13 @@ def test_distinctive_terms(spark, max_df):
     assert distinctive.distinctive_terms(df.limit(0), max_df=max_df).count() == 0
 
 
+def test_every_term_of_every_chunk_is_scored(spark, sf):
+    chunks = latest_rows(spark.read.parquet(f"{sf}/chunks.parquet").select("id", "created_at", "text"), "id")
+    wanted = {(r["id"], t, n) for r in chunks.collect() for t, n in Counter(plain.words(r["text"])).items() if t.isalpha()}
+    got = rows(QUERIES["p3_scores"](spark, sf), "chunk_id", "term", "tf")
+    assert len(got) == len(set(got)) and set(got) == wanted and any(n == 1 for _, _, n in wanted)
+
+
 # --- 4 fusion -----------------------------------------------------------------------------------------------------
 
 
