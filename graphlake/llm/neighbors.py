@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlake.operators.similarity import pair_scores
 from graphlake.session import cut_lineage
 
 #: Projected dimensions (even), and about how many vectors the upper kd-tree is fitted on (at most twice as many).
@@ -287,3 +288,17 @@ def nearest_nodes(points: DataFrame, k: int = 5, dimensions: int = 64, least: fl
     own = keyed.select("id", "node_id").join(lists, "id")
     others = F.slice(F.filter("near", lambda x: x["name"] != F.col("node_id")), 1, k)
     return own.select("node_id", F.posexplode(others).alias("rank", "n")).select("node_id", F.col("n.name").alias("other"), F.col("n.cosine").alias("cosine"), (F.col("rank") + 1).alias("rank"))
+
+
+def nearest_of(queries: DataFrame, points: DataFrame, k: int = 5, dimensions: int = 64) -> DataFrame:
+    """(node_id, other, cosine, rank): the k points most similar to each query, of queries (node_id) among points (node_id, dense), however far.
+
+    Exact, by multiplication of the queries with all points in blocks: without close neighbours the kd-tree would visit
+    nearly every cell. Cosines are rounded to twelve decimals before ranking, ties go to the smaller node_id; unusable
+    vectors take no part. Node ids of points must be unique.
+    """
+    vectors = points.select("node_id", "dense", F.lit(None).cast("struct<terms: array<bigint>, weights: array<double>>").alias("packed"))
+    asked = vectors.where(usable(F.col("dense"), dimensions)).join(queries.select("node_id").distinct(), "node_id", "left_semi")
+    near = pair_scores(asked.withColumnRenamed("node_id", "query_id"), vectors, k, dense_weight=1.0, sparse_weight=0.0, dimensions=dimensions, decimals=12)
+    rank = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("cosine"), "other"))
+    return near.select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other"), F.col("score").alias("cosine")).withColumn("rank", rank)

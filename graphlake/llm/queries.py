@@ -174,9 +174,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64, least=0.6)
     seeds = table(spark, sf_dir, "rag_results").select(F.explode("seed_node_ids").alias("node_id")).distinct()
-    return near.join(seeds, "node_id", "left_semi")
+    return neighbors.nearest_of(seeds, _points(spark, sf_dir), k=5, dimensions=64)
 
 
 # --- SQL of the queries that SQL can express --------------------------------------------------------------------

@@ -86,6 +86,18 @@ def test_neighbours_recall_and_copies(spark):
     assert neighbors.nearest_nodes(df.limit(0), 5, 64).count() == 0
 
 
+def test_every_seed_gets_its_nearest(spark, sf):
+    points = latest_rows(spark.read.parquet(f"{sf}/points.parquet").select("node_id", "dense", F.col("payload.created_at").alias("created_at")), "node_id")
+    data = sorted((r["node_id"], r["dense"]) for r in points.collect() if r["dense"] and len(r["dense"]) == 64 and np.isfinite(r["dense"]).all() and any(r["dense"]))
+    unit = np.array([v for _, v in data], np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 12)
+    seeds = {x for r in spark.read.parquet(f"{sf}/rag_results.parquet").collect() for x in r["seed_node_ids"] or []}
+    wanted = {(a, data[j][0], r + 1) for i, (a, _) in enumerate(data) if a in seeds for r, j in enumerate(sorted((j for j in range(len(data)) if j != i), key=lambda j: (-cos[i, j], j))[:5])}
+    got = QUERIES["p2_seeds"](spark, sf)
+    assert got.columns == ["node_id", "other", "cosine", "rank"] and set(rows(got, "node_id", "other", "rank")) == wanted and len(wanted) >= 50
+
+
 def test_chi_square():
     assert abs(neighbors.chi_square_quantile(2, 0.95) - 5.991) < 0.01 and abs(neighbors.chi_square_quantile(12, 0.95) - 21.026) < 0.01
 
