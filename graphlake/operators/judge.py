@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -154,7 +154,11 @@ def concepts(found: DataFrame, existing: DataFrame | None = None) -> tuple[DataF
     return nodes.drop("key"), make_edges(linked, c("chunk_id"), c("concept_id"), "PART_OF_CONCEPT", "llm_connection_finder", c("confidence"))
 
 
-def best_pairs(pairs: DataFrame, limit: int) -> DataFrame:
+def best_pairs(pairs: DataFrame, limit: int, partition: str | None = None) -> DataFrame:
+    """The best pairs, of each value of ``partition`` if given."""
+    if partition:
+        order = Window.partitionBy(partition).orderBy(F.desc("score"), "source_id", "target_id")
+        return pairs.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= limit).drop("__r")
     return pairs.orderBy(F.desc("score"), "source_id", "target_id").limit(limit)
 
 
@@ -164,3 +168,16 @@ def pass_summary(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, concept_e
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+def pass_summaries(chunks: DataFrame, pairs: DataFrame, edges: DataFrame, concept_edges: DataFrame, partition: str) -> DataFrame:
+    """(partition, what, n): pass_summary for each value that chunks (id, partition) have, zeros included."""
+    of = chunks.select(F.col("id").alias("source_id"), partition)
+    linked = concept_edges.join(of, "source_id")
+    parts = [("candidates", pairs, F.count("*")), ("edges", edges.join(of, "source_id"), F.count("*")), ("concepts", linked, F.countDistinct("target_id")), ("concept_edges", linked, F.count("*"))]
+    counts = None
+    for name, d, n in parts:
+        part = d.groupBy(partition).agg(n.alias("n")).select(partition, F.lit(name).alias("what"), "n")
+        counts = part if counts is None else counts.unionByName(part)
+    every = chunks.select(partition).distinct().withColumn("what", F.explode(F.array(*[F.lit(name) for name, _, _ in parts])))
+    return every.join(counts, [partition, "what"], "left").select(partition, "what", F.coalesce("n", F.lit(0)).alias("n"))

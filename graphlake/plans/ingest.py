@@ -79,20 +79,26 @@ class Connected:
     summary: DataFrame
 
 
-def connection_pass(chunks: DataFrame, points: DataFrame, terms: DataFrame, provider: judge.Provider | None = None, existing: DataFrame | None = None, k: int = 4, settings: Settings = DEFAULTS) -> Connected:
+def connection_pass(chunks: DataFrame, points: DataFrame, terms: DataFrame, provider: judge.Provider | None = None, existing: DataFrame | None = None, k: int = 4, settings: Settings = DEFAULTS, partition: str | None = None) -> Connected:
     """Candidate pairs among chunks (id, topic, text, metadata, position), judged by the provider or else by rule, to typed edges and concepts.
 
     All pairs of chunks are scored, in blocks; positions must be unique. Fewer than two chunks give a summary of zeros.
+    With ``partition`` (a column of chunks, not null) one plan runs a pass for each of its values: pairs, their limit, positions and
+    the summary are by value; a concept that several passes name is one node and counts in each.
     """
     packed = similarity.pack_terms(terms.select(F.col("id").alias("node_id"), "term", "weight"), "node_id")
-    mine = chunks.select(F.col("id").alias("node_id")).join(points.select("node_id", "dense"), "node_id", "left").join(packed, "node_id", "left")
+    groups = [partition] if partition else []
+    mine = chunks.select(F.col("id").alias("node_id"), *groups).join(points.select("node_id", "dense"), "node_id", "left").join(packed, "node_id", "left")
     mine = cut_lineage(mine)
     # at most two neighbours in the list are masked, so the best k + 2 hold the best k of the rest
-    scores = similarity.pair_scores(mine.withColumnRenamed("node_id", "query_id"), mine, k + 2, settings.similarity_threshold, None, settings.dense_weight, settings.sparse_weight, True)
+    scores = similarity.pair_scores(mine.withColumnRenamed("node_id", "query_id"), mine, k + 2, settings.similarity_threshold, partition, settings.dense_weight, settings.sparse_weight, True)
     candidates = similarity.top_candidates(scores, k, settings.similarity_threshold, chunks.select(F.col("id").alias("node_id"), "position"))
-    pairs = cut_lineage(judge.best_pairs(candidates, settings.judged_pairs))
+    if partition:
+        candidates = candidates.join(chunks.select(F.col("id").alias("source_id"), partition), "source_id")
+    pairs = cut_lineage(judge.best_pairs(candidates, settings.judged_pairs, partition))
     replies = judge.ask(judge.pair_prompts(pairs, chunks), provider) if provider else judge.rule_judgments(pairs)
     found = cut_lineage(judge.judged(replies))
     edges = judge.typed_edges(found)
     nodes, concept_edges = judge.concepts(found, existing)
-    return Connected(pairs, edges, nodes, concept_edges, judge.pass_summary(pairs, edges, nodes, concept_edges))
+    summary = judge.pass_summaries(chunks, pairs, edges, concept_edges, partition) if partition else judge.pass_summary(pairs, edges, nodes, concept_edges)
+    return Connected(pairs, edges, nodes, concept_edges, summary)

@@ -731,10 +731,11 @@ def ingest_code(spark, sf):
 
 @query()
 def connection_pass(spark, sf):
-    chunks = _chunks(spark, sf).where("topic = 'data_systems'")
-    placed = chunks.withColumn("position", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc_nulls_first("created_at"), "id")))
-    _, weights = tfidf.fit_transform(chunks, "id", "text")
-    return ingest.connection_pass(placed, _points(spark, sf), weights).summary
+    # spellings of a topic are one, chunks without a topic are a topic of their own
+    chunks = _chunks(spark, sf).withColumn("pass_topic", F.coalesce(F.regexp_replace(F.lower(F.trim("topic")), r"[\s_-]+", "_"), F.lit("")))
+    placed = cut_lineage(chunks.withColumn("position", F.row_number().over(Window.partitionBy("pass_topic").orderBy(F.desc_nulls_first("created_at"), "id"))))
+    _, weights = tfidf.fit_transform(placed, "id", "text")
+    return ingest.connection_pass(placed, _points(spark, sf), weights, partition="pass_topic").summary.withColumnRenamed("pass_topic", "topic")
 
 
 @query(f"WITH {_EDGES} SELECT source_id, target_id, rel_type, coalesce(weight, 0) AS weight FROM edges_v WHERE method = 'manual'")

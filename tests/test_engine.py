@@ -133,6 +133,24 @@ def test_connection_pass_scores_all_pairs(spark):
     assert pairs["a", "z"] == pytest.approx(0.88)
 
 
+def test_connection_pass_by_topic(spark):
+    data = [(f"{t}{i}", t, [1.0, 0.01 * i]) for t in ("a", "b", "") for i in range(8)] + [("lone", "c", [1.0, 0.0])]
+    points = spark.createDataFrame([(x, v + [0.0] * 62) for x, _, v in data], "node_id string, dense array<float>")
+    terms = spark.createDataFrame([(x, "wing", 1.0) for x, _, _ in data], "id string, term string, weight double")
+    chunks = spark.createDataFrame([(x, t, "text", {"book_title": "b"}, int(x[-1]) if x != "lone" else 0) for x, t, _ in data], "id string, topic string, text string, metadata map<string,string>, position int")
+    out = ingest.connection_pass(chunks, points, terms, partition="topic")
+    told = {(r["topic"], r["what"]): r["n"] for r in out.summary.collect()}
+    assert [told[t, "candidates"] for t in ("a", "b", "", "c")] == [12, 12, 12, 0] and len(told) == 16
+    assert sum(told[t, "edges"] for t in ("a", "b", "")) == out.edges.count() > 0
+    assert {(r["source_id"][:-1], r["target_id"][:-1]) for r in out.pairs.collect()} == {("a", "a"), ("b", "b"), ("", "")}
+
+
+def test_connection_pass_query_covers_every_topic(spark, sf):
+    topics = {"_".join((r["topic"] or "").strip().lower().replace("-", " ").replace("_", " ").split()) for r in spark.read.parquet(f"{sf}/chunks.parquet").select("topic").collect()}
+    told = QUERIES["connection_pass"](spark, sf).collect()
+    assert {r["topic"] for r in told} >= topics and len(told) == 4 * len({r["topic"] for r in told})
+
+
 def test_rank_fusion(spark):
     dense = spark.createDataFrame([("q", "a", 0.9), ("q", "b", 0.8)], "query_id string, node_id string, score double")
     sparse = spark.createDataFrame([("q", "b", 5.0), ("q", "c", 1.0)], "query_id string, node_id string, score double")
