@@ -27,9 +27,11 @@ ORDER_SAMPLE = 20_000
 ORDER_TERMS = 524_288
 #: Characters of text worked on at once.
 TEXT_BLOCK = 4_000_000
-#: Classes of identical records up to this size are listed pair by pair; in larger ones every member is
-#: linked to the class's representative, which alone stands for the class towards others.
+#: Exact copies (records of a class with the very same text) up to this many are listed pair by pair; of more, each is
+#: linked to their representative, which alone stands for them towards other texts, of their class too.
 EXPAND = 32
+#: Members of a class that meet in one task at once.
+SALT = 512
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -96,6 +98,11 @@ def _signature(codes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(codes.tobytes())).astype(np.int64))
 
 
+def _copy(text: str | None) -> int:
+    """Names a text; exact copies have the same name."""
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"))).astype(np.int64))
+
+
 def _learn_order(records: DataFrame, n: int) -> np.ndarray:
     """Codes of frequent shingles of a bounded sample, and their counts there, by code."""
     step = max(1, n // ORDER_SAMPLE)
@@ -114,7 +121,7 @@ def _learn_order(records: DataFrame, n: int) -> np.ndarray:
     return table[np.argsort(table[:, 0].astype(np.uint64))]
 
 
-_SENT = "bucket int, kind string, key string, version double, sig long, size int, blob binary"
+_SENT = "bucket int, kind string, key string, version double, sig long, size int, copy long, blob binary"
 _DOC = np.dtype([("sig", "<i8"), ("size", "<u4")])
 #: Bits of a record's sketch: this many for up to 192 shingles, doubled with the size up to so often.
 _SKETCH, _LEVELS = 256, 6
@@ -168,6 +175,7 @@ def _post(frequent, least: Fraction, buckets: int):
                         "version": rows["version"],
                         "sig": sig,
                         "size": size,
+                        "copy": [_copy(t) for t in rows["text"]],
                         "blob": None,
                     }
                 )
@@ -205,22 +213,22 @@ def _post(frequent, least: Fraction, buckets: int):
                         head["sig"], head["size"] = sig[docs], size[docs]
                         body = np.zeros(len(index), _POSTING)
                         body["token"], body["doc"], body["place"] = code[part] >> np.uint64(32), index, np.minimum(place[part], 65_535)
-                        packed.append((b, None, None, None, 0, len(docs), head.tobytes() + b"".join([sketch[d] for d in docs]) + body.tobytes()))
+                        packed.append((b, None, None, None, 0, len(docs), 0, head.tobytes() + b"".join([sketch[d] for d in docs]) + body.tobytes()))
                 if packed:
-                    yield pd.DataFrame(packed, columns=["bucket", "kind", "key", "version", "sig", "size", "blob"])
+                    yield pd.DataFrame(packed, columns=["bucket", "kind", "key", "version", "sig", "size", "copy", "blob"])
 
     return post
 
 
 def _merge(least: Fraction):
-    """Merges the short lists of a bucket: passes record rows on and adds the retained pairs (kind null, sig < other)."""
+    """Merges the short lists of a bucket: passes record rows on (other naming the text) and adds the retained pairs (kind null, sig < other)."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         heads, bodies, sketches, shift = [], [], [], 0
         for batch in batches:
             record = batch["blob"].isna()
             if record.any():
-                yield batch[record].assign(other=0)[["kind", "key", "version", "sig", "size", "other"]]
+                yield batch[record].rename(columns={"copy": "other"})[["kind", "key", "version", "sig", "size", "other"]]
             for n, blob in zip(batch["size"][~record], batch["blob"][~record], strict=True):
                 head = np.frombuffer(blob, _DOC, n)
                 ends = head.nbytes + np.cumsum((_SKETCH // 8) << _level(head["size"]))
@@ -306,17 +314,17 @@ def _pairs(sig: np.ndarray, code: np.ndarray) -> pd.DataFrame:
 
 
 def _latest(records: DataFrame) -> DataFrame:
-    """(key, kind, sig, size) of the newest version of each key; the narrow rows are aggregated, texts never move for this."""
-    newest = F.max_by(F.struct("sig", "size"), F.coalesce("version", F.lit(float("-inf")))).alias("s")
-    return records.groupBy("kind", "key").agg(newest).select("kind", "key", "s.sig", "s.size").where("size > 0")
+    """(key, kind, sig, size, copy) of the newest version of each key; the narrow rows are aggregated, texts never move for this."""
+    newest = F.max_by(F.struct("sig", "size", F.col("other").alias("copy")), F.coalesce("version", F.lit(float("-inf")))).alias("s")
+    return records.groupBy("kind", "key").agg(newest).select("kind", "key", "s.sig", "s.size", "s.copy").where("size > 0")
 
 
 def similar_classes(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Classes of records with the same shingles, and links between classes.
 
     records has ``kind`` ('w5': five words, 'c3': three characters), ``key``, ``version`` and ``text``; of rows with
-    the same kind and key the newest counts. Returns (kind, key, sig, size) of every record with at least
-    one shingle, sig naming its class, and (sig, other, shared, total) with sig < other of every pair of
+    the same kind and key the newest counts. Returns (kind, key, sig, size, copy) of every record with at least
+    one shingle, sig naming its class and copy its text, and (sig, other, shared, total) with sig < other of every pair of
     classes with shared / total >= threshold. Only records of one kind are compared.
     Records without shingles (null, empty or short texts) are similar to none.
     """
@@ -369,13 +377,17 @@ def similar_classes(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
 def similar_pairs(records: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(node_a, node_b), node_a < node_b, of records with shared / total >= threshold; see similar_classes and EXPAND."""
     members, links = similar_classes(records, threshold)
-    sizes = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("key").alias("head"))
-    members = members.join(sizes, "sig").select("sig", "key", "n", "head")
-    speaking = members.where((F.col("n") <= EXPAND) | (F.col("key") == F.col("head")))
-    other = speaking.select(F.col("sig").alias("other"), F.col("key").alias("key2"))
-    across = links.join(speaking, "sig").join(other, "other").select("key", "key2")
-    few = speaking.where((F.col("n") > 1) & (F.col("n") <= EXPAND))
-    within = few.select("sig", "key").join(few.select("sig", F.col("key").alias("key2")), "sig").where("key < key2").select("key", "key2")
+    copies = members.groupBy("sig", "copy").agg(F.count("*").alias("n"), F.min("key").alias("head"))
+    members = members.join(copies, ["sig", "copy"]).select("sig", "key", "n", "head")
+    speaking = members.where((F.col("n") <= EXPAND) | (F.col("key") == F.col("head"))).select("sig", "key")
+    # a class of any size gives all its pairs; one side of a large class is spread over several tasks
+    sizes = speaking.groupBy("sig").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    second = speaking.join(sizes, "sig").select(F.col("sig").alias("other"), F.col("key").alias("key2"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    spread = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    meets = links.select("sig", "other").join(sizes.withColumnRenamed("sig", "other"), "other").select("sig", "other", spread)
+    across = meets.join(speaking, "sig").join(second, ["other", "part"]).select("key", "key2")
+    first = speaking.join(sizes, "sig").select(F.col("sig").alias("other"), "key", spread)
+    within = first.join(second, ["other", "part"]).where("key < key2").select("key", "key2")
     star = members.where((F.col("n") > EXPAND) & (F.col("key") != F.col("head"))).select(F.col("head").alias("key"), F.col("key").alias("key2"))
     pairs = across.unionByName(within).unionByName(star)
     return pairs.select(F.least("key", "key2").alias("node_a"), F.greatest("key", "key2").alias("node_b"))

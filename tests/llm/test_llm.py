@@ -299,6 +299,15 @@ def test_many_copies_are_linked_to_one(spark):
     assert near_duplicates.similar_pairs(df.limit(0), 0.6).count() == 0
 
 
+def test_different_texts_of_a_large_class_all_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SALT", 7)
+    base = "a b c d e f g"
+    texts = {f"c{i:02d}": base.replace(" ", " " * (i + 1)) for i in range(40)} | {"other": base + " h"}
+    df = spark.createDataFrame([("w3", k, 1.0, v) for k, v in texts.items()], "kind string, key string, version double, text string")
+    got = rows(near_duplicates.similar_pairs(df, 0.6))
+    assert len(got) == len(set(got)) == 41 * 40 // 2 and all(a < b for a, b in got)
+
+
 def test_components(spark):
     chain = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)] + [("x", "y"), ("y", "x"), ("z", "z")]
     got = dict(rows(near_duplicates.components(spark.createDataFrame(chain, "a string, b string"))))
