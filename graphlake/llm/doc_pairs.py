@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -230,9 +231,26 @@ LANGUAGES |= dict.fromkeys([".js", ".ts", ".java"], Language(_c_like_grammar(),
 _ARTICLES = {"a", "an", "the", "der", "die", "das", "ein", "eine", "le", "la", "les", "un", "une"}
 _NAME_PART = re.compile(r"[^\W\d_]+|\d+")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
-#: Words of remarks that stand for missing documentation (fixed values): any of the first, with none but the second beside it.
-_STOCK = {"todo", "fixme", "xxx", "tbd", "tba", "tbc", "wip", "na", "none", "null", "nil", "undocumented", "doc", "docs", "docstring", "docstrings", "documentation", "document", "documented", "description", "describe", "placeholder", "missing", "nothing", "applicable", "beschreibung", "dokumentation", "dokumentieren", "fehlt", "documenter"}
-_FILLER = {"no", "not", "n", "a", "an", "the", "to", "be", "is", "are", "add", "write", "written", "fill", "in", "here", "yet", "for", "this", "that", "it", "me", "please", "later", "soon", "coming", "now", "needs", "need", "needed", "required", "pending", "available", "provided", "given", "insert", "put", "your", "function", "method", "goes", "should", "has", "have", "must", "still", "of", "and", "or", "empty", "blank", "summary", "string", "text", "comment", "comments", "done", "update", "see", "keine", "kein", "noch", "zu", "ohne", "offen", "folgt", "sans", "aucune", "aucun", "manquante", "faire"}
+#: Phrases that stand for missing documentation, in lower-case words with single blanks (fixed values).
+_MARK = r"(?:todo|to do|fixme|xxx|tbd|tba|tbc|wip|placeholder)"
+_THING = r"(?:docs?|docstrings?|doc strings?|documentation|description|summary)"
+_REMARK = re.compile(
+    "|".join(
+        [
+            rf"{_MARK}(?: {_MARK})*",
+            rf"(?:{_MARK} )?{_THING}",
+            rf"(?:{_MARK} )?(?:add|write|insert|put|provide|update|fill in|needs?|no|without|missing)(?: an?| the| your| some)?(?: proper)? {_THING}(?: here| later| soon| yet| available| provided| given| needed| required| for this(?: function| method)?)*",
+            rf"(?:{_MARK} )?{_THING} (?:is |are )?(?:still )?(?:missing|needed|required|pending|unavailable|to follow|follows|goes here|here|later|coming soon|to be (?:added|written|done)|not (?:yet )?(?:available|written|provided|given)(?: yet)?)",
+            rf"(?:{_MARK} )?(?:still )?to be (?:documented|written|described|added|done|completed|determined|filled in)(?: later| soon)?",
+            rf"(?:{_MARK} )?(?:please )?(?:document|describe|fill in)(?: me| this| it)?(?: function| method)?(?: here| later| please)*",
+            r"not (?:yet )?(?:documented|described|written|available|applicable)(?: yet)?",
+            r"undocumented(?: function| method)?",
+            r"n a|na|none|null|nil|nothing(?: here)?",
+            r"(?:noch )?keine? (?:beschreibung|dokumentation)(?: vorhanden)?|(?:beschreibung|dokumentation) (?:fehlt|folgt)(?: noch)?|(?:ist )?noch zu (?:dokumentieren|beschreiben)",
+            r"(?:sans|aucune|pas de) (?:documentation|description)|(?:documentation|description) manquante|[aà] (?:documenter|faire|compl[eé]ter)",
+        ]
+    )
+)
 _LABELS = {"args", "arg", "arguments", "argument", "parameters", "parameter", "params", "param", "returns", "return", "rtype", "type", "types", "yields", "yield", "raises", "raise", "keyword", "kwargs", "result", "results", "output", "outputs", "input", "inputs"}
 _TYPES = {"int", "integer", "str", "string", "float", "double", "bool", "boolean", "bytes", "bytearray", "dict", "list", "tuple", "set", "frozenset", "none", "any", "object", "optional", "callable", "iterable", "iterator", "sequence", "mapping", "union", "type", "complex", "number", "array", "of", "or"}
 
@@ -242,12 +260,11 @@ def _parts(text: str) -> list[str]:
 
 
 def uninformative(doc: str, name: str, params: str = "", returns: str = "") -> bool:
-    """Whether documentation says nothing: no letter or digit, a stock remark, the name again, or names of parameters and bare types."""
+    """Whether documentation says nothing: no letter or digit, a stock remark as a whole, the name again, or no word beside names of parameters and bare types."""
     found = [w.lower() for w in re.findall(r"[^\W_]+", doc)]
     if not found:
         return True
-    plain = [w for w in found if not w.isdigit()]
-    if plain and set(plain) <= _STOCK | _FILLER and (set(plain) & _STOCK or plain in (["n", "a"], ["not", "available"], ["to", "be", "written"], ["to", "do"])):
+    if _REMARK.fullmatch(" ".join(w for w in found if not w.isdigit())):
         return True
     said = [p for p in _parts(doc) if p not in _ARTICLES]
     own = [p for p in _parts(name) if p not in _ARTICLES] or _parts(name)
@@ -257,6 +274,8 @@ def uninformative(doc: str, name: str, params: str = "", returns: str = "") -> b
     return all(w in names or w in _LABELS or w in _TYPES for w in (x.lower() for x in re.findall(r"\w+", doc)))
 
 
+#: Frames a grammar may use; a bracket takes about 5, a nested definition about 10.
+DEPTH = 10_000
 _LINE_END = re.compile(r"\r\n|\r|\n")
 
 
@@ -270,11 +289,13 @@ def module_path(path: str) -> str:
 def extract(path: str, source: str) -> list[tuple]:
     """(qualified_name, name, signature, docstring, start_line, start, end) of a file's documented functions.
 
-    A file in a language without grammar, or that does not pass its language's check, gives none.
+    A file in a language without grammar, or that does not pass its language's check, gives none; nor does one
+    nested deeper than DEPTH frames, which is beyond what Python itself parses (200 brackets, 100 indentations).
     """
     language = next((v for k, v in LANGUAGES.items() if path.endswith(k)), None)
     if language is None or not source:
         return []
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
     try:
         _, found = language.grammar["file"](State(source), 0)
     except RecursionError:
