@@ -21,8 +21,8 @@ _BLANK_LINE = re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _landmarks(words: list[str], window: int, divisor: int) -> np.ndarray:
-    """Whether the rolling hash of the words before each inner boundary marks it; entry i is the boundary after word i."""
+def _rolling(words: list[str], window: int) -> np.ndarray:
+    """The rolling hash of the words before each inner boundary; entry i is the boundary after word i."""
     code = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         rolled = np.zeros_like(code)
@@ -33,7 +33,7 @@ def _landmarks(words: list[str], window: int, divisor: int) -> np.ndarray:
         rolled ^= rolled >> np.uint64(29)
         rolled *= np.uint64(0xBF58476D1CE4E5B9)
         rolled ^= rolled >> np.uint64(32)
-    return rolled % np.uint64(divisor) == 0
+    return rolled
 
 
 def cut_points(text: str, limit: int, overlap: int, least: int, window: int = 8, divisor: int = 48) -> list[tuple[int, int, int, int]]:
@@ -41,10 +41,11 @@ def cut_points(text: str, limit: int, overlap: int, least: int, window: int = 8,
 
     A piece holds at most ``limit`` words, of which all but the first piece repeat the ``overlap`` words
     before. From one cut, the next lies between ``least`` and ``limit - overlap`` words on: at the natural
-    boundary (blank line, then line end or sentence end, then clause end) nearest to the first landmark there, as
+    boundary (blank line, line end or sentence end) nearest to the first landmark there, of two as near the stronger. As
     landmarks hang on nearby words only, an edit alters the pieces around it and later cuts fall
-    into place again. Without landmark the middle of the span stands in for it; without natural boundary
-    the cut is at the landmark. A word is never cut, however long.
+    into place again. A landmark is a rolling hash divisible by ``divisor``; where the span has none, its smallest hash
+    is the landmark. Without such a boundary in the span the nearest clause end serves, without that the landmark itself.
+    A word is never cut, however long.
     """
     if overlap >= limit:
         raise ValueError("overlap must be smaller than limit")
@@ -62,7 +63,7 @@ def cut_points(text: str, limit: int, overlap: int, least: int, window: int = 8,
             grade[i] = 2
         elif _CLAUSE_END.search(words[i]):
             grade[i] = 1
-    marks = _landmarks(words, window, divisor)
+    rolled = _rolling(words, window)
     pieces, cut = [], 0
     while True:
         begin = max(0, cut - overlap)
@@ -71,16 +72,15 @@ def cut_points(text: str, limit: int, overlap: int, least: int, window: int = 8,
             pieces.append((begin, n, spans[begin][0], len(text)))
             return pieces
         low, high = cut + max(1, min(least, room)), cut + room
-        found = np.flatnonzero(marks[low - 1 : high])
-        target = int(found[0]) + low - 1 if len(found) else (low + high) // 2 - 1
-        near = grade[low - 1 : high]
+        here, near = rolled[low - 1 : high], grade[low - 1 : high]
+        marked = np.flatnonzero(here % np.uint64(divisor) == 0)
+        target = int(marked[0] if len(marked) else np.argmin(here))
+        at = np.flatnonzero(near >= 2) if (near >= 2).any() else np.flatnonzero(near)
         end = target
-        for kind in (3, 2, 1):
-            at = np.flatnonzero(near == kind)
-            if len(at):
-                at = at + low - 1
-                end = int(at[np.argmin(np.abs(at - target))])
-                break
+        if len(at):
+            far = np.abs(at - target)
+            end = int(at[np.lexsort((at, -near[at], far))[0]])
+        end += low - 1
         pieces.append((begin, end + 1, spans[begin][0], spans[end][1]))
         cut = end + 1
 
