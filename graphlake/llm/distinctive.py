@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlake.llm.plain import words
+from graphlake.session import cut_lineage
 
 #: Distinct terms a task holds before it passes their counts on; a bound on memory, not on terms.
 FLUSH_TERMS = 400_000
-_ROW = "id string, term string, tf int, degree int, n_terms int, docs long"
+_ROW = pa.schema([("id", pa.string()), ("term", pa.string()), ("tf", pa.int32()), ("degree", pa.int32()), ("docs", pa.int64())])
+_DDL = "id string, term string, tf int, degree int, docs long"
 
 
 def degrees(tokens: list[str], chosen: set[str], window: int) -> dict[str, int]:
@@ -26,66 +29,65 @@ def degrees(tokens: list[str], chosen: set[str], window: int) -> dict[str, int]:
 
 
 def _scan(window: int, min_tf: int, max_df: int | None):
-    """Emits a row (no id, term, docs) of each term's records so far, a row for each (record, term) that may
-    still qualify, and rows (no id, no term, docs) counting records."""
+    """Emits a row (no id, term, docs) of each term's records so far and a row for each (record, term) that may still qualify."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: Counter[str] = Counter()
-        rows: list[tuple] = []
-        n = 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal n
-            # a term in more than max_df records here is in more than max_df of all: its rows go no further
-            kept = [r for r in rows if max_df is None or docs[r[1]] <= max_df]
-            out = [*((None, t, 0, 0, 0, c) for t, c in docs.items()), *kept, (None, None, 0, 0, 0, n)]
+        held: tuple[list, list, list, list] = ([], [], [], [])
+
+        def flush() -> pa.RecordBatch:
+            ids, terms, tfs, near = held
+            if max_df is not None:
+                # a term in more than max_df records here is in more than max_df of all: its rows go no further
+                keep = [docs[t] <= max_df for t in terms]
+                ids, terms, tfs, near = (list(compress(x, keep)) for x in held)
+            n, m = len(docs), len(ids)
+            columns = [[None] * n + ids, [*docs, *terms], [0] * n + tfs, [0] * n + near, [*docs.values(), *[0] * m]]
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ROW, strict=True)], schema=_ROW)
             docs.clear()
-            rows.clear()
-            n = 0
-            return pd.DataFrame(out, columns=["id", "term", "tf", "degree", "n_terms", "docs"])
+            for x in held:
+                x.clear()
+            return out
 
         for batch in batches:
-            for key, text in zip(batch["id"], batch["text"], strict=True):
-                n += 1
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = words(text)
                 tf = Counter(tokens)
                 terms = [t for t in tf if t.isalpha()]
                 docs.update(terms)
                 chosen = {t for t in terms if tf[t] >= min_tf and (max_df is None or docs[t] <= max_df)}
                 if chosen:
-                    for t, d in degrees(tokens, chosen, window).items():
-                        rows.append((key, t, tf[t], d, len(tokens), 0))
-                if len(docs) >= FLUSH_TERMS or len(rows) >= FLUSH_TERMS:
+                    found = degrees(tokens, chosen, window)
+                    held[0].extend([key] * len(found))
+                    held[1].extend(found)
+                    held[2].extend(tf[t] for t in found)
+                    held[3].extend(found.values())
+                if len(docs) >= FLUSH_TERMS or len(held[0]) >= FLUSH_TERMS:
                     yield flush()
         yield flush()
 
     return scan
 
 
-def distinctive_terms(df: DataFrame, key: str = "id", text: str = "text", window: int = 4, min_tf: int = 1, min_df: int = 1, max_df: int | None = None) -> DataFrame:
+def distinctive_terms(df: DataFrame, key: str = "id", text: str = "text", window: int = 4, min_tf: int = 1, min_df: int = 1, max_df: int | None = None, least: float = 0.0) -> DataFrame:
     """(id, term, tf, df, degree, score): score = degree * ln((N + 1) / df).
 
     ``degree`` is the term's number of distinct neighbours in the record's graph of words, ``df`` the
     number of records with the term, N the number of records, each record of df being one (make keys
     unique first). Terms consist of letters only, in plain form. Rows come for terms with
-    tf >= min_tf and min_df <= df <= max_df. Null and empty texts count as records without terms; ties in
-    score are left to the reader. Other columns are not read, so their names cannot clash.
+    tf >= min_tf, min_df <= df <= max_df and score >= least (no score is below 0). Null and empty texts count as records
+    without terms; ties in score are left to the reader. Other columns are not read, so their names cannot clash.
 
-    One pass over the texts. With max_df, a term's rows meet in one window over a shuffle of at most
-    max_df + 1 rows per term and map task, as tasks drop terms that are already too common there;
-    without, the document frequencies are aggregated and joined to the rows by term, where
-    adaptive execution splits the frequent ones.
+    One pass over the texts: its narrow rows are written once and read by both uses. Document frequencies are summed
+    per task before they move, so a term of nearly every record sends one row a task; with max_df only the
+    terms within it are joined to the rows, and tasks have dropped the rows of terms that are too common already there.
     """
-    rows = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text")).mapInPandas(_scan(window, min_tf, max_df), _ROW)
-    total = rows.where(F.col("term").isNull()).agg(F.sum("docs").alias("n"))
-    rows = rows.where(F.col("term").isNotNull())
+    texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
+    n = df.select(key).count()
+    rows = cut_lineage(texts.mapInArrow(_scan(window, min_tf, max_df), _DDL))
+    counts = rows.where("id is null").groupBy("term").agg(F.sum("docs").alias("df")).where(F.col("df") >= min_df)
     if max_df is not None:
-        found = rows.withColumn("df", F.sum("docs").over(Window.partitionBy("term"))).where(F.col("id").isNotNull())
-    else:
-        counts = rows.groupBy("term").agg(F.sum("docs").alias("df"))
-        found = rows.where(F.col("id").isNotNull()).join(counts, "term")
-    found = found.where(F.col("df") >= min_df)
-    if max_df is not None:
-        found = found.where(F.col("df") <= max_df)
-    score = F.col("degree") * F.log((F.col("n") + 1) / F.col("df"))
-    return found.crossJoin(F.broadcast(total)).select("id", "term", "tf", "df", "degree", score.alias("score"))
+        counts = counts.where(F.col("df") <= max_df)
+    score = F.col("degree") * F.log((F.lit(n) + 1) / F.col("df"))
+    found = rows.where("id is not null").join(counts, "term").withColumn("score", score)
+    return found.where(F.col("score") >= least).select("id", "term", "tf", "df", "degree", "score")
