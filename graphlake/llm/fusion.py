@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlake.llm.plain import JAVA_SPACE
 from graphlake.operators.ranking import group_ranks
+from graphlake.session import cut_lineage
 
 
 def read_number(text: Column, comma: str | None = None) -> Column:
@@ -28,7 +29,11 @@ def read_number(text: Column, comma: str | None = None) -> Column:
     return F.when(percent, number / 100).otherwise(number)
 
 
-def fuse_rankings(df: DataFrame, group: str, item: str, scores: list[str], constant: int = 60, position: bool = True) -> DataFrame:
+#: Items up to which a group is ranked by windows in one task; larger groups are ranked over many. Results are the same.
+GROUP_LIMIT = 1_000_000
+
+
+def fuse_rankings(df: DataFrame, group: str, item: str, scores: list[str], constant: int = 60, position: bool = True, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(group, item, n_items, rank_<score>, ties_<score> ..., fused[, position]) of every item.
 
     Items are ranked separately by each score, highest first, equal scores sharing the best rank; ``fused`` is
@@ -36,27 +41,54 @@ def fuse_rankings(df: DataFrame, group: str, item: str, scores: list[str], const
     items of a group by it, ties sharing a position. A null, NaN or infinite score ranks nowhere and adds
     nothing; ``ties`` counts the items with the same score. Rows with a null group or item are left out;
     repeated (group, item) rows count once, with the highest of their scores.
+
+    Rows are counted per group first. Groups of at most ``group_limit`` rows move once, by group, and are
+    ranked by windows there; those of more are never gathered in one task but ranked by range-partitioned counting.
     """
     inner = [f"v{n}" for n in range(len(scores))]
     finite = lambda v: F.when(F.abs(F.col(v)) < float("inf"), F.col(v))
-    items = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(s).cast("double").alias(v) for v, s in zip(inner, scores, strict=True)])
-    items = items.where("g is not null and i is not null").groupBy("g", "i").agg(*[F.max(finite(v)).alias(v) for v in inner])
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), *[F.col(s).cast("double").alias(v) for v, s in zip(inner, scores, strict=True)]).where("g is not null and i is not null")
+    rows = cut_lineage(rows.select("g", "i", *[finite(v).alias(v) for v in inner]))
+    hot = cut_lineage(rows.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > group_limit).select("g"))
+    some_hot = not hot.isEmpty()
+    small = rows.join(hot, "g", "left_anti") if some_hot else rows
+    best = [F.max(v).alias(v) for v in inner]
+    fused = _by_windows(small.repartition("g").groupBy("g", "i").agg(*best), scores, inner, constant, position)
+    if some_hot:
+        fused = fused.unionByName(_by_ranges(rows.join(hot, "g", "left_semi").groupBy("g", "i").agg(*best), scores, inner, constant, position))
+    named = [c for s in scores for c in (f"rank_{s}", f"ties_{s}")]
+    return fused.select(F.col("g").alias(group), F.col("i").alias(item), "n_items", *named, "fused", *(["position"] if position else []))
+
+
+def _total(scores: list[str], constant: int) -> Column:
+    """The sum of the reciprocal ranks, in the order of the scores, so equal items get equal totals."""
+    total = F.lit(0.0)
+    for s in scores:
+        total = total + F.coalesce(1 / (F.lit(constant) + F.col(f"rank_{s}")), F.lit(0.0))
+    return total
+
+
+def _by_windows(items: DataFrame, scores: list[str], inner: list[str], constant: int, position: bool) -> DataFrame:
+    """Ranks of items that lie together by group; no window moves them again."""
+    for s, v in zip(scores, inner, strict=True):
+        there = F.col(v).isNotNull()
+        items = items.withColumn(f"rank_{s}", F.when(there, F.rank().over(Window.partitionBy("g").orderBy(F.desc_nulls_last(v))).cast("long")))
+        items = items.withColumn(f"ties_{s}", F.when(there, F.count("*").over(Window.partitionBy("g", v))))
+    fused = items.withColumn("n_items", F.count("*").over(Window.partitionBy("g"))).withColumn("fused", _total(scores, constant))
+    return fused.withColumn("position", F.rank().over(Window.partitionBy("g").orderBy(F.desc("fused"))).cast("long")) if position else fused
+
+
+def _by_ranges(items: DataFrame, scores: list[str], inner: list[str], constant: int, position: bool) -> DataFrame:
+    """The same for groups too large for a task."""
+    place = F.col("n_total") - F.col("n_below") - F.col("n_equal") + 1
     long = items.select("g", "i", F.explode(F.array(*[F.struct(F.lit(n).alias("score"), F.col(v).alias("value")) for n, v in enumerate(inner)])).alias("s")).select("g", "i", "s.*")
-    ranks = group_ranks(long, ["g", "score"], "value")
-    ranked = long.join(ranks, ["g", "score", "value"], "left").withColumn("rank", F.col("n_total") - F.col("n_below") - F.col("n_equal") + 1)
+    ranked = long.join(group_ranks(long, ["g", "score"], "value"), ["g", "score", "value"], "left").withColumn("rank", place)
     columns = []
     for n, s in enumerate(scores):
         this = F.col("score") == n
         columns += [F.max(F.when(this, F.col("rank"))).alias(f"rank_{s}"), F.max(F.when(this, F.col("n_equal"))).alias(f"ties_{s}")]
-    # the terms are summed in the order of the scores, so equal items get equal totals
-    total = F.lit(0.0)
-    for s in scores:
-        total = total + F.coalesce(1 / (F.lit(constant) + F.col(f"rank_{s}")), F.lit(0.0))
-    fused = ranked.groupBy("g", "i").agg(*columns).withColumn("fused", total)
-    sizes = items.groupBy("g").agg(F.count("*").alias("n_items"))
-    fused = fused.join(sizes, "g")
+    fused = ranked.groupBy("g", "i").agg(*columns).withColumn("fused", _total(scores, constant))
+    fused = fused.join(items.groupBy("g").agg(F.count("*").alias("n_items")), "g")
     if position:
-        order = group_ranks(fused, ["g"], "fused").select("g", "fused", (F.col("n_total") - F.col("n_below") - F.col("n_equal") + 1).alias("position"))
-        fused = fused.join(order, ["g", "fused"])
-    named = [c for s in scores for c in (f"rank_{s}", f"ties_{s}")]
-    return fused.select(F.col("g").alias(group), F.col("i").alias(item), "n_items", *named, "fused", *(["position"] if position else []))
+        fused = fused.join(group_ranks(fused, ["g"], "fused").select("g", "fused", place.alias("position")), ["g", "fused"])
+    return fused.join(items, ["g", "i"])

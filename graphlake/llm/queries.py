@@ -82,7 +82,8 @@ def _shingled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_containers(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
-    return packed.where("n_pieces > 1 and piece = 0").select("doc_id")
+    # from the placed items: a text larger than a container is there with its first piece in one
+    return packed.where("n_pieces > 1 and piece = 0 and container is not null").select("doc_id")
 
 
 @query
@@ -111,8 +112,10 @@ def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = fusion.fuse_rankings(_judged_edges(spark, sf_dir), "source_id", "edge_id", SCORES, position=False)
+    # three first places make at least 3 / 61 of the fused ranking; of the candidates it gives, the strict winners stay
     wins = sum(F.when((F.col(f"rank_{s}") == 1) & (F.col(f"ties_{s}") == 1), 1).otherwise(0) for s in SCORES)
-    return ranked.where((F.col("n_items") >= 5) & (wins >= 3)).select("source_id", "edge_id")
+    candidates = ranked.where((F.col("n_items") >= 5) & (F.col("fused") >= 3 / 61 - 1e-9))
+    return candidates.where(wins >= 3).select("source_id", "edge_id")
 
 
 @query
@@ -206,4 +209,10 @@ ORACLE["p4_found"] = f"""WITH e AS (SELECT source_id, id, weight AS s1, {_number
  w AS (SELECT source_id, id, k FROM l WHERE s IS NOT NULL QUALIFY rank() OVER (PARTITION BY source_id, k ORDER BY s DESC) = 1 AND count(*) OVER (PARTITION BY source_id, k, s) = 1)
 SELECT source_id, id AS edge_id FROM w WHERE source_id IN (SELECT source_id FROM e GROUP BY 1 HAVING count(*) >= 5) GROUP BY 1, 2 HAVING count(*) >= 3"""
 
+ORACLE["p4_ranking"] = f"""WITH e AS (SELECT DISTINCT source_id, id, weight AS s1, {_number("similarity_score", "")} AS s2, {_number("lexical_score", "d")} AS s3, {_number("co_mentions", "t")} AS s4 FROM {_EDGES} WHERE method = 'llm_connection_finder' AND (rel_type IS NULL OR rel_type <> 'PART_OF_CONCEPT') AND source_id IS NOT NULL),
+ f AS (SELECT source_id, id, CASE WHEN isfinite(s1) THEN s1 END AS s1, CASE WHEN isfinite(s2) THEN s2 END AS s2, CASE WHEN isfinite(s3) THEN s3 END AS s3, CASE WHEN isfinite(s4) THEN s4 END AS s4, count(*) OVER (PARTITION BY source_id) AS n_items FROM e),
+ r AS (SELECT source_id, id, n_items, {", ".join(f"CASE WHEN s{n} IS NOT NULL THEN rank() OVER (PARTITION BY source_id ORDER BY s{n} DESC NULLS LAST) END AS rank_{s}, CASE WHEN s{n} IS NOT NULL THEN count(*) OVER (PARTITION BY source_id, s{n}) END AS ties_{s}" for n, s in enumerate(SCORES, 1))} FROM f),
+ t AS (SELECT *, {" + ".join(f"coalesce(1::DOUBLE / (60 + rank_{s}), 0)" for s in SCORES)} AS fused FROM r)
+SELECT source_id, id AS edge_id, n_items, {", ".join(f"rank_{s}, ties_{s}" for s in SCORES)}, fused, rank() OVER (PARTITION BY source_id ORDER BY fused DESC) AS position FROM t"""
+
 ORACLE["p7_found"] = rf"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANK}]+')) > {CAPACITY}"

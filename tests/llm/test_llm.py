@@ -47,6 +47,22 @@ def test_an_edit_changes_only_near_pieces():
     assert len(after - before) <= 8 and len(after) > 18
 
 
+def test_cut_is_at_the_boundary_nearest_to_the_landmark():
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    rolled = splitting._rolling(words, 8)[119:360]
+    marked = np.flatnonzero(rolled % 48 == 0)
+    landmark = 119 + int(marked[0] if len(marked) else np.argmin(rolled))
+    for near, far in ((2, 60), (-2, 60)):
+        ends = sorted({landmark + near, landmark + far})
+        text = " ".join(w + (".\n\n" if i == landmark + far else "." if i in ends else "," if i == landmark else "") for i, w in enumerate(words))
+        rolled_again = splitting._rolling([w + ("." if i in ends else "," if i == landmark else "") for i, w in enumerate(words)], 8)[119:360]
+        again = np.flatnonzero(rolled_again % 48 == 0)
+        target = 119 + int(again[0] if len(again) else np.argmin(rolled_again))
+        wanted = min(ends, key=lambda e: abs(e - target))
+        assert splitting.cut_points(text, 360, 30, 120)[0][1] == wanted + 1
+
+
 def test_split_awkward(spark):
     data = [("a", None, 1), ("b", "", 1), ("c", "w " * 400, 1), ("c", "w " * 400, 1), ("d", "x" * 100_000, 1), ("e", " ".join(["u"] * 361), 1)]
     df = spark.createDataFrame(data, "id string, text string, piece int")
@@ -151,6 +167,14 @@ def test_fusion(spark):
     assert fusion.fuse_rankings(df.limit(0), "src", "item", ["g", "i"]).count() == 0
 
 
+def test_large_groups_rank_alike(spark):
+    rng = random.Random(4)
+    data = [(f"s{rng.randrange(3)}", f"i{i}", rng.choice([None, float("nan"), 1.0, 2.0, rng.random()]), float(rng.randrange(6))) for i in range(200)] + [("s0", "i0", 9.0, 9.0)]
+    df = spark.createDataFrame(data, "src string, item string, g double, i double")
+    one, other = (rows(fusion.fuse_rankings(df, "src", "item", ["g", "i"], group_limit=n)) for n in (1000, 60))
+    assert one == other == rows(fusion.fuse_rankings(df, "src", "item", ["g", "i"], group_limit=0))
+
+
 # --- 5 documented functions ---------------------------------------------------------------------------------------
 
 CODE = '''import x
@@ -228,16 +252,22 @@ def test_grammar_on_the_standard_library():
         assert got <= wanted and len(got) > 0.7 * len(wanted)
 
 
-@pytest.mark.parametrize("doc", ["...", "TODO", "N/A", "Write docs here", "docstring", "To be documented.", "No documentation available.", "the_thing()", "The Thing.", "Args:\n  rows: int\nReturns:", ":param rows:\n:return: bool", "---"])
+@pytest.mark.parametrize("doc", ["...", "TODO", "N/A", "Write docs here", "docstring", "To be documented.", "No documentation available.", "the_thing()", "The Thing.", "Args:\n  rows: int\nReturns:", ":param rows:\n:return: bool", "---", "TODO: add docstring", "(no docs)", "undocumented", "todo: document", "TBD.", "Docstring goes here.", "Not applicable", "Keine Beschreibung vorhanden."])
 def test_uninformative(doc):
     assert doc_pairs.uninformative(doc, "the_thing", "(self, rows: int)", "")
 
 
-@pytest.mark.parametrize("doc", ["TODO: speed this up. Reads all.", "Returns the rows sorted.", "Make the thing.", "Note the missing wing."])
+@pytest.mark.parametrize("doc", ["TODO: speed this up. Reads all.", "Returns the rows sorted.", "Make the thing.", "Note the missing wing.", "Describe the document.", "Write null in the text.", "Insert the missing document here.", "Add the missing comments."])
 def test_informative(doc):
     assert not doc_pairs.uninformative(doc, "the_thing", "(self, rows: int)", "")
 
 
+def test_deep_nesting():
+    source = "def top():\n  'Reads it all.'\n  x = " + "(" * 190 + "1" + ")" * 190 + "\n"
+    source += "".join(" " * i + f"def f{i}():\n" for i in range(95)) + " " * 95 + "'Reads the deepest.'\n"
+    assert {q for q, *_ in doc_pairs.extract("m.py", source)} == {t[0] for t in truth(source, "m")}
+
+
 def test_other_language_and_awkward_files(spark):
     js = "// a\n/** Adds two\n * numbers. */\nexport function add(a, b) { return a + b }\n/** TODO */\nfunction f() {}\nclass K { /** Runs it all. */ async run(x) { } }"
     data = [("1", "a.js", js, 0), ("2", "b.py", "def f(:", 0), ("3", None, "x", 0), ("4", "c.py", None, 0), ("5", "d.py", "", 0), ("6", "e.md", CODE, 0), ("7", "f.py", "(" * 5000, 0), ("8", "g/__init__.py", 'def f():\n  "Does much."', 0)]
@@ -317,8 +347,9 @@ def test_components(spark):
 # --- 7 packing ----------------------------------------------------------------------------------------------------
 
 
-def test_tokens():
-    assert packing.TOKEN.findall("It's a_b x2Ⅷ--?! é") == ["It", "'", "s", "a_b", "x2Ⅷ", "--?!", "é"]
+def test_tokens(spark):
+    df = spark.createDataFrame([("It's a_b x2Ⅷ--?! é",), ("\u00a0",), ("",)], "t string")
+    assert [r[0] for r in df.select(F.regexp_extract_all("t", F.lit(packing.TOKEN), F.lit(0))).collect()] == [["It", "'", "s", "a_b", "x2Ⅷ", "--?!", "é"], [], []]
 
 
 @pytest.mark.parametrize("seed", [0, 1])
