@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.llm.plain import SPACE
+from graphlake.llm.plain import JAVA_SPACE
 from graphlake.session import cut_lineage
 
 #: A token is a longest run of letters, numbers and underscores, or of other characters that are not white space.
-TOKEN = re.compile(rf"\w+|(?:[^\w{SPACE}])+")
+TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{JAVA_SPACE}]+"
 
 
 def shallow_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """All multisets of at most three of the lengths that fill the capacity exactly; rows of three, 0 = none."""
+    """All multisets of at most three of the lengths that fill the window, which is the capacity, exactly; rows of three, 0 = none."""
     there = np.zeros(capacity + 1, bool)
     there[lengths] = True
     rows = []
@@ -141,16 +139,15 @@ def _slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, np.ndar
 
 
 def count_tokens(df: DataFrame, key: str, text: str, capacity: int) -> DataFrame:
-    """(key, piece, n_pieces, first_token, n_tokens) of every text; one larger than the capacity is cut after each ``capacity`` tokens."""
-
-    @F.pandas_udf("long")
-    def tokens(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: len(TOKEN.findall(t)) if t else 0)
+    """(key, piece, n_pieces, first_token, n_tokens) of every text; one larger than the capacity is cut after each ``capacity`` tokens.
 
+    Tokens are counted in the JVM; texts never reach Python.
+    """
+    tokens = F.coalesce(F.regexp_count(F.col(text), F.lit(TOKEN)), F.lit(0)).cast("long")
     n = F.col("__n")
     pieces = F.greatest(F.lit(1), F.ceil(n / capacity)).cast("int")
     return (
-        df.select(F.col(key).alias("key"), tokens(F.col(text)).alias("__n"))
+        df.select(F.col(key).alias("key"), tokens.alias("__n"))
         .select("key", "__n", pieces.alias("n_pieces"))
         .select("key", "__n", "n_pieces", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)).alias("piece"))
         .select("key", "piece", "n_pieces", (F.col("piece").cast("long") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), n - F.col("piece").cast("long") * capacity).alias("n_tokens"))
