@@ -2,7 +2,8 @@
 
 Statistics are shares in [0, 1], kept to three decimals. Exact ranks of each statistic per language come
 from range-partitioned counting with partition offsets; a document's outlier scores are the negative
-logarithms of its empirical tail probabilities. A small model fitted on hand labels turns both into a kind.
+logarithms of its empirical tail probabilities. Weighed on hand labels, the tail scores of all statistics make the
+first decision: what they find to be prose beyond doubt is prose. A second model, of statistics and tail scores, tells the kind of the rest.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 from graphlake.operators.ranking import group_ranks
 from graphlake.session import cut_lineage
 
-#: Most hand labels the model is fitted on (chosen by hash), and most languages told apart.
+#: Most hand labels the models are fitted on (chosen by hash), and most languages told apart and very common words listed (ISO 639-1 has 183 languages).
 LABEL_SAMPLE = 20_000
-LANGUAGE_LIMIT = 16
+LANGUAGE_LIMIT, WORD_LIMIT = 200, 1_000_000
+#: Probability of prose by the tail scores alone from which a text needs no further look.
+BEYOND_DOUBT = 0.95
 KINDS = ["prose", "list", "table", "junk"]
 
 STATS = [
@@ -32,21 +35,21 @@ STATS = [
     "index_entries", "bare_lines", "row_entries", "tabular", "cells", "aligned", "tags", "single_letters", "no_vowel", "mixed_case", "foreign_letters", "broken_chars",
     "distinct_words", "distinct_lines", "packed", "sentence_words", "short_sentences", "alike_lines", "vowels", "long_words", "word_like", "rows",
 ]
-#: Statistics whose tails make up the outlier scores.
-RANKED = ["common", "word_length", "symbols", "digits", "punctuated_lines", "line_words", "distinct_words", "sentence_words", "packed", "vowels"]
+#: Statistics whose tail scores the second model sees beside the statistics themselves.
+SECOND = ["common", "word_length", "symbols", "digits", "punctuated_lines", "line_words", "distinct_words", "sentence_words", "packed", "vowels"]
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _BULLET = re.compile(r"\s*(?:[-*•–—·‣◦+>~]\s|\[[ xX]?\]|\(?\d{1,3}[.):]\s|\(?[a-zA-Z][.)]\s|\(?[ivxIVX]{1,5}[.)]\s|\d+\s?[x×]\s|#\d+)")
-_LEADER = re.compile(r"(?:\.\s?){3,}\s*[\divxlc]+\s*$|\s{3,}\d+\s*$")
-_INDEX = re.compile(r"[^,;:.]{1,60}(?:[,;:]?\s+\d+(?:[-–]\d+)?[,;]?)+\s*$")
+_PAGE = re.compile(r"\d+(?:[-–]\d+)?[,;]?")
 _TAG = re.compile(r"</?(?:table|tr|td|th|tbody|thead|li|ul|ol|dl|dd|dt)\b[^<>]*>", re.I)
 _GAP = re.compile(r"\S(?: {2,}|\t+ *)(?=\S)")
-_SENTENCE = re.compile(r"[.!?…:]+[\"'”’)\]»]*(?:\s+|$)")
+_SENTENCE = re.compile(r"(?<![.!?…:])[.!?…:]++[\"'”’)\]»]*+(?:\s+|$)")
 _ENDS = frozenset(".!?…:;,\"”’'»)—-")
 _LINE = re.compile(r"\r\n|\r|\n")
 _PART = re.compile(r"[;,\n]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
+_RUN = re.compile(r"a(?:[ '’-]a)+")
 _VOWELS = frozenset("aeiouyäöüàâéèêëîïôûùœæ")
 
 
@@ -79,6 +82,27 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _led(line: str) -> bool:
+    """Whether a line ends in a number led up to by dots or a wide gap, as in a table of contents."""
+    words = line.rstrip("0123456789ivxlc")
+    head = words.rstrip()
+    if len(words) == len(line):
+        return False
+    dots = head[len(head.rstrip(". \t")) :]
+    return head.endswith(".") and dots.count(".") >= 3 or len(words) - len(head) >= 3 and line[len(words) :].isdigit()
+
+
+def _indexed(line: str) -> bool:
+    """Whether a line is a short entry without marks inside, then page numbers."""
+    tokens = line.split()
+    end = len(tokens)
+    while end and _PAGE.fullmatch(tokens[end - 1]):
+        end -= 1
+    head = " ".join(tokens[:end])
+    head = head[:-1] if head.endswith((",", ";", ":")) else head
+    return end < len(tokens) and 0 < len(head) <= 60 and not any(c in head for c in ",;:.")
+
+
 @lru_cache(maxsize=200_000)
 def _told(word: str) -> tuple[bool, bool, bool]:
     """Of a lower-case word: letters only; then, has no vowel; looks like a word."""
@@ -140,9 +164,9 @@ def statistics(text: str | None, common: dict[str, str]) -> tuple[str, list[floa
         if _BULLET.match(x):
             bullets += k
         if last in "0123456789ivxlc,":
-            if _LEADER.search(s):
+            if _led(s):
                 leaders += k
-            if k < 200 and _INDEX.match(s):
+            if _indexed(s):
                 index += k
         if few and len(tokens) <= 6 and last not in ".!?…:":
             bare += k
@@ -164,7 +188,7 @@ def statistics(text: str | None, common: dict[str, str]) -> tuple[str, list[floa
         if fields >= 2 and fields == previous or "<" in s and _TAG.search(s):
             tabular += k
         previous = fields
-        shapes[_DIGITS.sub("9", _LETTERS.sub("a", s[:60]))[:12]] += k
+        shapes[_RUN.sub("a", _DIGITS.sub("9", _LETTERS.sub("a", s)))] += k
     entry = every = 0
     for p in _PART.split(text.lower()):
         if p and not p.isspace():
@@ -195,11 +219,11 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, key: str = "d
 
     common_words is a short list of the very common words of some languages; lists of more than LANGUAGE_LIMIT languages are refused.
     """
-    found = common_words.select("lang", F.lower("word").alias("word")).where("lang is not null and word is not null").distinct().limit(100_001).collect()
+    found = common_words.select("lang", F.lower("word").alias("word")).where("lang is not null and word is not null").distinct().limit(WORD_LIMIT + 1).collect()
     common: dict[str, str] = {}
     for row in sorted(found):
         common[row["word"]] = f"{common[row['word']]},{row['lang']}" if row["word"] in common else row["lang"]
-    if len(found) > 100_000 or len({r["lang"] for r in found}) > LANGUAGE_LIMIT:
+    if len(found) > WORD_LIMIT or len({r["lang"] for r in found}) > LANGUAGE_LIMIT:
         raise ValueError("common_words must be a short list")
     kind = documents.schema[key].dataType.simpleString()
 
@@ -218,33 +242,61 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, key: str = "d
 def tail_tables(stats: DataFrame) -> dict[str, np.ndarray]:
     """Per language an array [statistic, value * 1000, (left, right)] of -ln of the tail probabilities P(X <= x), P(X >= x).
 
-    The table that reaches the driver has at most LANGUAGE_LIMIT + 1 languages, len(RANKED) statistics and 1001 values, whatever the corpus.
+    The table that reaches the driver has at most LANGUAGE_LIMIT + 1 languages, len(STATS) statistics and 1001 values, whatever the corpus.
     """
-    long = stats.select("language", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.round(F.col(s) * 1000).cast("int").alias("value")) for i, s in enumerate(RANKED)])).alias("s")).select("language", "s.*")
+    long = stats.select("language", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.round(F.col(s) * 1000).cast("int").alias("value")) for i, s in enumerate(STATS)])).alias("s")).select("language", "s.*")
     tables: dict[str, np.ndarray] = {}
     for r in group_ranks(long, ["language", "stat"], "value").collect():
-        t = tables.setdefault(r["language"], np.zeros((len(RANKED), 1001, 2)))
+        t = tables.setdefault(r["language"], np.zeros((len(STATS), 1001, 2), np.float32))
         total = r["n_total"]
         t[r["stat"], r["value"]] = -np.log((r["n_below"] + r["n_equal"]) / total), -np.log((total - r["n_below"]) / total)
     return tables
 
 
 def outlier_scores(values: np.ndarray, language: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
-    """Columns left_<stat>, right_<stat> of each ranked statistic, then their sums and the sum of the larger ones."""
-    at = [STATS.index(s) for s in RANKED]
-    code = np.rint(values[:, at] * 1000).astype(int)
-    out = np.zeros((len(values), 2 * len(RANKED) + 3))
+    """Columns left, right of each statistic in turn, then their sums and the sum of the larger ones."""
+    code = np.rint(values * 1000).astype(int)
+    out = np.zeros((len(values), 2 * len(STATS) + 3))
     for l in pd.unique(language):
         rows = np.flatnonzero(language == l)
         if l in tables:
-            t = tables[l][np.arange(len(RANKED)), code[rows]]
-            out[rows, : 2 * len(RANKED)] = t.reshape(len(rows), -1)
+            t = tables[l][np.arange(len(STATS)), code[rows]].astype(float)
+            out[rows, : 2 * len(STATS)] = t.reshape(len(rows), -1)
             out[rows, -3:] = np.stack([t[..., 0].sum(1), t[..., 1].sum(1), t.max(2).sum(1)], 1)
     return out
 
 
+def _first_features(values: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(scores, 0))
+
+
+_SECOND_AT = [2 * STATS.index(s) + side for s in SECOND for side in (0, 1)]
+
+
+def _second_features(values: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    # hinges let a share count from a threshold on
+    tails = scores[:, _SECOND_AT]
+    left, right = tails[:, 0::2], tails[:, 1::2]
+    told = np.concatenate([tails, np.stack([left.sum(1), right.sum(1), np.maximum(left, right).sum(1)], 1)], 1)
+    return np.concatenate([values, np.maximum(0, values - 0.15), np.maximum(0, values - 0.4), np.minimum(values, 0.05) * 10, np.sqrt(np.maximum(told, 0))], 1)
+
+
+class Kinds:
+    """Kinds of texts: prose where the tail scores alone leave no doubt, else what the second model finds."""
+
+    def __init__(self, values: np.ndarray, scores: np.ndarray, y: np.ndarray):
+        self.first, self.second = Model(_first_features(values, scores), y), Model(_second_features(values, scores), y)
+
+    def probabilities(self, values: np.ndarray, scores: np.ndarray) -> np.ndarray:
+        p = self.first.probabilities(_first_features(values, scores))
+        open_ = np.flatnonzero(p[:, 0] < BEYOND_DOUBT)
+        if len(open_):
+            p[open_] = self.second.probabilities(_second_features(values[open_], scores[open_]))
+        return p
+
+
 class Model:
-    """Softmax regression over statistics, their hinges and outlier scores; fitted twice, the second time without labels that the first fit finds absurd."""
+    """Softmax regression, fitted anew without labels that the fit before found absurd."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 250, penalty: float = 2.0):
         keep = np.ones(len(y), bool)
@@ -254,17 +306,9 @@ class Model:
             sure = (p.max(1) > 0.7) & (p[np.arange(len(y)), y] < 0.15)
             keep = ~sure if (~sure).sum() >= 20 else keep
 
-    @staticmethod
-    def _expand(x: np.ndarray) -> np.ndarray:
-        # hinges let a share count from a threshold on
-        s = x[:, : len(STATS)]
-        scores = np.sqrt(np.maximum(x[:, len(STATS) :], 0))
-        return np.concatenate([s, np.maximum(0, s - 0.15), np.maximum(0, s - 0.4), np.minimum(s, 0.05) * 10, scores], 1)
-
     def _fit(self, x, y, rounds, penalty):
-        z = self._expand(x)
-        self.mean, self.sd = z.mean(0), z.std(0) + 0.02
-        z = np.clip((z - self.mean) / self.sd, -8, 8)
+        self.mean, self.sd = x.mean(0), x.std(0) + 0.02
+        z = np.clip((x - self.mean) / self.sd, -8, 8)
         z = np.concatenate([z, np.ones((len(z), 1))], 1).astype(np.float32)
         goal = np.eye(len(KINDS), dtype=np.float32)[y]
         w = v = np.zeros((z.shape[1], len(KINDS)), np.float32)
@@ -282,7 +326,7 @@ class Model:
         self.w = w
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((self._expand(x) - self.mean) / self.sd, -8, 8)
+        z = np.clip((x - self.mean) / self.sd, -8, 8)
         s = np.concatenate([z, np.ones((len(z), 1))], 1) @ self.w
         p = np.exp(s - s.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
@@ -292,7 +336,7 @@ def text_kinds(documents: DataFrame, common_words: DataFrame, labels: DataFrame,
     """(key, language, kind, sureness, outlier, statistics...) of every document.
 
     labels has the key and ``label`` (prose, list, table, junk in any case; others are ignored) for a sample of documents; at most LABEL_SAMPLE
-    of them, chosen by hash, are read by the driver to fit the model. ``outlier`` sums the larger tail scores. Texts are read once.
+    of them, chosen by hash, are read by the driver to fit the models. ``outlier`` sums the larger tail scores. Texts are read once.
     """
     stats = cut_lineage(text_statistics(documents, common_words, key, text))
     tables = tail_tables(stats)
@@ -300,8 +344,7 @@ def text_kinds(documents: DataFrame, common_words: DataFrame, labels: DataFrame,
     chosen = told.orderBy(F.xxhash64(key, "label")).limit(LABEL_SAMPLE)
     sample = stats.join(chosen, key).orderBy(key, "label").toPandas()
     x = sample[STATS].to_numpy(float)
-    x = np.concatenate([x, outlier_scores(x, sample["language"].to_numpy(), tables)], 1) if len(x) else np.zeros((0, len(STATS) + 2 * len(RANKED) + 3))
-    model = Model(x, sample["label"].map(KINDS.index).to_numpy(int)) if len(x) else None
+    model = Kinds(x, outlier_scores(x, sample["language"].to_numpy(), tables), sample["label"].map(KINDS.index).to_numpy(int)) if len(x) else None
     names = ["kind", "sureness", "outlier"]
 
     @F.pandas_udf("struct<kind:string,sureness:double,outlier:double>")
@@ -310,7 +353,7 @@ def text_kinds(documents: DataFrame, common_words: DataFrame, labels: DataFrame,
         scores = outlier_scores(values, language.to_numpy(), tables)
         if model is None:  # without labels all is taken for prose
             return pd.DataFrame({"kind": "prose", "sureness": 0.0, "outlier": scores[:, -1]})
-        p = model.probabilities(np.concatenate([values, scores], 1))
+        p = model.probabilities(values, scores)
         return pd.DataFrame({"kind": np.array(KINDS)[p.argmax(1)], "sureness": p.max(1), "outlier": scores[:, -1]})
 
     judged = stats.withColumn("__j", judge("language", *STATS))

@@ -440,17 +440,25 @@ def test_statistics_bounds():
         assert len(values) == len(quality.STATS) and all(0 <= v <= 1 for v in values)
 
 
+def test_long_lines_take_no_longer():
+    for text in ("." * 200_000 + "x 3", "a " + "1 " * 100_000, "?" * 200_000 + "y", "entry " * 50_000 + "12"):
+        assert len(quality.statistics(text, {})[1]) == len(quality.STATS)
+    told = {line: (quality._led(line), quality._indexed(line)) for line in ("Wings ..... 12", "Wings . . . xi", "Wings     7", "wing spar, 12, 15-17", "The wing, worn, 12", "12", "x" * 61 + " 3", "Wings 12.")}
+    assert [k for k, v in told.items() if v[0]] == ["Wings ..... 12", "Wings . . . xi", "Wings     7"]
+    assert [k for k, v in told.items() if v[1]] == ["Wings     7", "wing spar, 12, 15-17"]
+
+
 def test_tail_scores_are_exact(spark):
     data = [("en" if i % 3 else "fr", *[(i * (k + 3) % 17) / 1000 for k in range(len(quality.STATS))]) for i in range(90)]
     df = spark.createDataFrame(data, "language string, " + ", ".join(f"{s} double" for s in quality.STATS))
     tables = quality.tail_tables(df)
     for language in ("en", "fr"):
         own = [r for r in data if r[0] == language]
-        for k, s in enumerate(quality.RANKED):
+        for k, s in enumerate(quality.STATS):
             column = [r[1 + quality.STATS.index(s)] for r in own]
             for v in set(column):
                 left, right = tables[language][k, round(v * 1000)]
-                assert left == pytest.approx(-math.log(sum(x <= v for x in column) / len(column))) and right == pytest.approx(-math.log(sum(x >= v for x in column) / len(column)))
+                assert left == pytest.approx(-math.log(sum(x <= v for x in column) / len(column)), abs=1e-6) and right == pytest.approx(-math.log(sum(x >= v for x in column) / len(column)), abs=1e-6)
 
 
 def test_kinds_on_held_out_labels(spark):
