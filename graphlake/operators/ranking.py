@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from graphlake.session import cut_lineage
 
 
-def group_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+def group_ranks(df: DataFrame, groups: list[str], value: str, weight: str | None = None) -> DataFrame:
     """(groups, value, n_equal, n_below, n_total) of each distinct non-null value of each group.
 
     Rows are counted per (group, value) before anything moves. The distinct values are then split by
     range of (group, value), so a group that holds a third of all rows lies over many partitions; each
     partition counts on its own, and a group that crosses partitions gets offsets from a table of
-    at most two rows per partition. Group columns must not be null.
+    at most two rows per partition. Group columns must not be null. With ``weight``, a column of counts, a row
+    stands for so many rows.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n_equal"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg((F.sum(weight) if weight else F.count("*")).alias("n_equal"))
     # range bounds come from sampling, so the split is written once and read by both uses
     ranged = cut_lineage(counts.repartitionByRange(parts, *groups, value).withColumn("__part", F.spark_partition_id()))
     inside = Window.partitionBy(*groups, "__part")
