@@ -150,10 +150,11 @@ def statistics(text: str | None, common: dict[str, str]) -> tuple[str, list[floa
     letters = vowels + upper - of_class[_VOWEL + _UPPER] + of_class[_LETTER] + of_class[_FOREIGN]
     ink = size - spaces
     lines = [x for x in _LINE.split(text) if x and not x.isspace()]
+    forms = [x for x in _LINE.split(_RUN.sub("a", _DIGITS.sub("9", _LETTERS.sub("a", text)))) if x and not x.isspace()]
     m = len(lines)
     whole = bullets = leaders = index = bare = tabular = cells = aligned = rows = punctuated = previous = 0
     shapes: Counter[str] = Counter()
-    for x in lines:
+    for x, form in zip(lines, forms, strict=True):
         s = x.strip()
         k = len(s)
         whole += k
@@ -188,7 +189,7 @@ def statistics(text: str | None, common: dict[str, str]) -> tuple[str, list[floa
         if fields >= 2 and fields == previous or "<" in s and _TAG.search(s):
             tabular += k
         previous = fields
-        shapes[_RUN.sub("a", _DIGITS.sub("9", _LETTERS.sub("a", s)))] += k
+        shapes[form.strip()] += k
     entry = every = 0
     for p in _PART.split(text.lower()):
         if p and not p.isspace():
@@ -197,10 +198,8 @@ def statistics(text: str | None, common: dict[str, str]) -> tuple[str, list[floa
             if len(w) <= 4 and not any(x in common for x in w):
                 entry += len(p)
     sentence_words = [k for s in _SENTENCE.split(text) if (k := len(s.split()))]
-    mixed = 0
-    for w in words:
-        if len(w) > 1 and not w.islower() and w[1:] != w[1:].lower() and not w.isupper():
-            mixed += 1
+    cased = [w for w, f in zip(words, folded, strict=True) if w != f]
+    mixed = sum(len(w) > 1 and w[1:] != w[1:].lower() and not w.isupper() for w in cased)
     tags = sum(map(len, _TAG.findall(text))) if "<" in text else 0
     raw = text.encode("utf-8", "replace")
     packed = len(zlib.compress(raw, 1)) / len(raw)
@@ -244,9 +243,20 @@ def tail_tables(stats: DataFrame) -> dict[str, np.ndarray]:
 
     The table that reaches the driver has at most LANGUAGE_LIMIT + 1 languages, len(STATS) statistics and 1001 values, whatever the corpus.
     """
-    long = stats.select("language", F.explode(F.array(*[F.struct(F.lit(i).alias("stat"), F.round(F.col(s) * 1000).cast("int").alias("value")) for i, s in enumerate(STATS)])).alias("s")).select("language", "s.*")
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            for language, part in b.groupby("language"):
+                code = np.rint(part[STATS].to_numpy(float) * 1000).astype(np.int64) + 1001 * np.arange(len(STATS))
+                total = held.setdefault(language, np.zeros(1001 * len(STATS), np.int64))
+                total += np.bincount(code.ravel(), minlength=len(total))
+        for language, total in held.items():
+            at = np.flatnonzero(total)
+            yield pd.DataFrame({"language": language, "stat": at // 1001, "value": at % 1001, "c": total[at]})
+
+    counts = stats.select("language", *STATS).mapInPandas(count, "language string, stat int, value int, c long")
     tables: dict[str, np.ndarray] = {}
-    for r in group_ranks(long, ["language", "stat"], "value").collect():
+    for r in group_ranks(counts, ["language", "stat"], "value", "c").collect():
         t = tables.setdefault(r["language"], np.zeros((len(STATS), 1001, 2), np.float32))
         total = r["n_total"]
         t[r["stat"], r["value"]] = -np.log((r["n_below"] + r["n_equal"]) / total), -np.log((total - r["n_below"]) / total)
