@@ -1,14 +1,19 @@
 """Near-duplicate records with small edits: T-occurrence search over inverted lists of shingles.
 
 Two sets with shared / all >= t share at least T = ceil(t / (1 + t) * (|a| + |b|)) shingles. Following
-DivideSkip, a record's lists are divided by length: with its T - 1 longest lists set aside, a partner must
-still occur on one of the |a| - T + 1 short lists. So only postings of the short lists are sent
-out and merged; the long lists are probed by binary search for the pairs that the merge retains. The merge
-drops a pair whose places in the lists, sizes or bit sketches already rule the similarity out.
+DivideSkip, a record's lists are divided by length: its L longest are set aside, L = T / (mu * log M + 1) for the
+least T its size allows and M records. Two records that share T shingles occur together on at least T - max(L) of the
+lists that are short for both. So only postings of short lists are sent out; the lists are merged and occurrences counted per pair
+of records; pairs with too few fall away, and for the rest the long lists are probed by binary search. What the merge
+counted and the probes hit is the overlap, which must reach T.
+
+Before it counts, the merge passes over a pair whose sizes or bit sketches rule the similarity out. A list
+too long for a task is cut into segments, and tasks merge pairs of segments.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -27,6 +32,12 @@ ORDER_SAMPLE = 20_000
 ORDER_TERMS = 524_288
 #: Characters of text worked on at once.
 TEXT_BLOCK = 4_000_000
+#: Weight of a probe against a merge step in the division of lists.
+MU = 0.01
+#: Records of a list's segment; longer lists are merged segment by segment.
+SEGMENT = 2_048
+#: Records per bucket of lists at least as many buckets are made for.
+BUCKET_RECORDS = 50_000
 #: Exact copies (records of a class with the very same text) up to this many are listed pair by pair; of more, each is
 #: linked to their representative, which alone stands for them towards other texts, of their class too.
 EXPAND = 32
@@ -122,10 +133,31 @@ def _learn_order(records: DataFrame, n: int) -> np.ndarray:
 
 
 _SENT = "bucket int, kind string, key string, version double, sig long, size int, copy long, blob binary"
-_DOC = np.dtype([("sig", "<i8"), ("size", "<u4")])
+_DOC = np.dtype([("sig", "<i8"), ("size", "<u4"), ("n", "<u4")])
 #: Bits of a record's sketch: this many for up to 192 shingles, doubled with the size up to so often.
 _SKETCH, _LEVELS = 256, 6
-_POSTING = np.dtype([("token", "<u4"), ("doc", "<u2"), ("place", "<u2")])
+
+
+def _set_aside(size: np.ndarray, least: Fraction, share: float) -> np.ndarray:
+    """Long lists of records of these sizes."""
+    needed = -(-least.numerator * size // least.denominator)
+    return np.maximum(0, np.minimum(needed - 1, np.floor(needed * share).astype(np.int64)))
+
+
+def _share(n: int) -> float:
+    """L / T by the rule of DivideSkip, for n records."""
+    return 1 / (MU * math.log2(max(n, 2)) + 1)
+
+
+def _in_order(record: np.ndarray, code: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, weight): each record's shingles by how frequent they are, then by code; the same order everywhere."""
+    weight = np.zeros(len(code), np.int64)
+    if len(table):
+        common = table[:, 0].astype(np.uint64)
+        at = np.minimum(np.searchsorted(common, code), len(common) - 1)
+        hit = common[at] == code
+        weight[hit] = table[at[hit], 1]
+    return np.lexsort((code, weight, record)), weight
 
 
 def _level(size: np.ndarray) -> np.ndarray:
@@ -152,12 +184,14 @@ def _sketches(size: np.ndarray, record: np.ndarray, code: np.ndarray) -> list[by
     return out
 
 
-def _post(frequent, least: Fraction, buckets: int):
-    """Sends a row for each record and, per bucket, the postings of the short lists packed in one row."""
+def _post(frequent, least: Fraction, buckets: int, share: float, step: int):
+    """Sends a row for each record and, per bucket, the postings of the short lists packed in one row.
+
+    A posting is a shingle's code; its two lowest bits tell the side of a pair of segments, 0 in a list of one piece.
+    """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = frequent.value
-        common, common_count = table[:, 0].astype(np.uint64), table[:, 1]
         turn = 0
         for batch in batches:
             for rows in _blocks(batch):
@@ -166,7 +200,6 @@ def _post(frequent, least: Fraction, buckets: int):
                 size = np.bincount(record, minlength=len(rows))
                 end = np.cumsum(size)
                 sig = np.array([_signature(code[b - s : b]) if s else 0 for s, b in zip(size, end, strict=True)], np.int64)
-                has = size > 0
                 yield pd.DataFrame(
                     {
                         "bucket": (turn + np.arange(len(rows))) % buckets,
@@ -185,35 +218,39 @@ def _post(frequent, least: Fraction, buckets: int):
                 _, first = np.unique(sig, return_index=True)
                 chosen = np.zeros(len(rows), bool)
                 chosen[first] = True
-                chosen &= has
+                chosen &= size > 0
                 mine = chosen[record]
                 record, code = record[mine], code[mine]
-                weight = np.zeros(len(code), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, code), len(common) - 1)
-                    hit = common[at] == code
-                    weight[hit] = common_count[at[hit]]
-                order = np.lexsort((code, weight, record))
-                record, code = record[order], code[order]
+                order, weight = _in_order(record, code, table)
+                record, code, weight = record[order], code[order], weight[order]
                 sizes = np.where(chosen, size, 0)
                 place = np.arange(len(code)) - (np.cumsum(sizes) - sizes)[record]
-                short = size[record] - -(-least.numerator * size[record] // least.denominator) + 1
-                near = place < short
-                record, code, place = record[near], code[near], place[near]
-                bucket = (code % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, record, code, place = bucket[order], record[order], code[order], place[order]
+                near = place < size[record] - _set_aside(size[record], least, share)
+                record, token, parts = record[near], code[near] & ~np.uint64(3), -(-weight[near] * step // SEGMENT)
+                long = np.flatnonzero(parts > 1)
+                if len(long):
+                    # a record of a long list goes to each pair of segments that has its own
+                    times = parts[long]
+                    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    at = np.repeat(long, times)
+                    own = sig[record[at]].astype(np.uint64) % parts[at].astype(np.uint64)
+                    low, high = np.minimum(own, other.astype(np.uint64)), np.maximum(own, other.astype(np.uint64))
+                    with np.errstate(over="ignore"):
+                        cut = _mix(_mix(token[at] + low) + high) & ~np.uint64(3)
+                    cut |= np.where(low == high, 0, np.where(own == low, 1, 2)).astype(np.uint64)
+                    rest = parts <= 1
+                    record, token = np.concatenate([record[rest], record[at]]), np.concatenate([token[rest], cut])
+                bucket = ((token >> np.uint64(2)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((record, bucket))
+                bucket, record, token = bucket[order], record[order], token[order]
                 cuts = np.searchsorted(bucket, np.arange(buckets + 1))
                 packed = []
-                for b in range(buckets):
+                for b in np.flatnonzero(np.diff(cuts)):
                     part = slice(cuts[b], cuts[b + 1])
-                    docs, index = np.unique(record[part], return_inverse=True)
-                    if len(docs):
-                        head = np.zeros(len(docs), _DOC)
-                        head["sig"], head["size"] = sig[docs], size[docs]
-                        body = np.zeros(len(index), _POSTING)
-                        body["token"], body["doc"], body["place"] = code[part] >> np.uint64(32), index, np.minimum(place[part], 65_535)
-                        packed.append((b, None, None, None, 0, len(docs), 0, head.tobytes() + b"".join([sketch[d] for d in docs]) + body.tobytes()))
+                    docs, n = np.unique(record[part], return_counts=True)
+                    head = np.zeros(len(docs), _DOC)
+                    head["sig"], head["size"], head["n"] = sig[docs], size[docs], n
+                    packed.append((b, None, None, None, 0, len(docs), 0, head.tobytes() + b"".join([sketch[d] for d in docs]) + token[part].tobytes()))
                 if packed:
                     yield pd.DataFrame(packed, columns=["bucket", "kind", "key", "version", "sig", "size", "copy", "blob"])
 
@@ -221,10 +258,10 @@ def _post(frequent, least: Fraction, buckets: int):
 
 
 def _merge(least: Fraction):
-    """Merges the short lists of a bucket: passes record rows on (other naming the text) and adds the retained pairs (kind null, sig < other)."""
+    """Merges the short lists of a bucket: passes record rows on (other naming the text) and adds, for the retained pairs, how often they occur together here (kind null, sig < other, size)."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heads, bodies, sketches, shift = [], [], [], 0
+        heads, bodies, sketches = [], [], []
         for batch in batches:
             record = batch["blob"].isna()
             if record.any():
@@ -233,18 +270,16 @@ def _merge(least: Fraction):
                 head = np.frombuffer(blob, _DOC, n)
                 ends = head.nbytes + np.cumsum((_SKETCH // 8) << _level(head["size"]))
                 sketches += [blob[a:b] for a, b in zip([head.nbytes, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-                body = np.frombuffer(blob, _POSTING, offset=int(ends[-1]))
                 heads.append(head)
-                bodies.append((body["token"], body["doc"].astype(np.int64) + shift, body["place"]))
-                shift += n
+                bodies.append(np.frombuffer(blob, np.uint64, offset=int(ends[-1])))
         if not heads:
             return
-        head = np.concatenate(heads)
-        token, doc, place = (np.concatenate(x) for x in zip(*bodies, strict=True))
+        head, token = np.concatenate(heads), np.concatenate(bodies)
         sig, first, inverse = np.unique(head["sig"], return_index=True, return_inverse=True)
         size = np.zeros(len(sig), np.int64)
         size[inverse] = head["size"]
-        doc = inverse[doc]
+        doc = np.repeat(inverse, head["n"])
+        del heads, bodies
         level = _level(size)
         slot = np.zeros(len(sig), np.int64)
         tables = {}
@@ -271,11 +306,12 @@ def _merge(least: Fraction):
                     ok[some] = np.bitwise_count(s ^ t).sum(1, dtype=np.int64) <= most[some]
             return ok
 
+        side, token = (token & np.uint64(3)).astype(np.int8), token >> np.uint64(2)
         order = np.lexsort((doc, size[doc], token))
-        token, doc, place = token[order], doc[order], place[order].astype(np.int64)
+        side, token, doc = side[order], token[order], doc[order]
         keep = np.ones(len(token), bool)
         keep[1:] = (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])
-        token, doc, place = token[keep], doc[keep], place[keep]
+        side, token, doc = side[keep], token[keep], doc[keep]
         length = size[doc]
         p, q = least.numerator, least.denominator
         here = np.flatnonzero(token[1:] == token[:-1])
@@ -287,30 +323,27 @@ def _merge(least: Fraction):
             # lists are ordered by size: beyond size / t no later entry can qualify
             ok = (token[here] == token[there]) & (length[here] * q >= length[there] * p)
             here, there = here[ok], there[ok]
-            a, b = length[here], length[there]
-            need = -(-p * (a + b) // (p + q))
-            good = np.minimum(a - place[here], b - place[there]) >= need
-            if good.any():
-                x, y = doc[here[good]], doc[there[good]]
-                close = alike(x, y, (a + b - 2 * need)[good])
+            met = (side[here] == 0) | (side[here] != side[there])
+            x, y = doc[here[met]], doc[there[met]]
+            both = size[x] + size[y]
+            close = alike(x, y, both - 2 * -(-p * both // (p + q)))
+            if close.any():
                 x, y = x[close], y[close]
-                found.append(np.unique(np.minimum(x, y) * len(sig) + np.maximum(x, y)))
+                found.append(np.minimum(x, y) * len(sig) + np.maximum(x, y))
                 held += len(found[-1])
-                if held > 2_000_000:
-                    found = [np.unique(np.concatenate(found))]
-                    held = len(found[0])
-                    if held > 1_000_000:
-                        yield _pairs(sig, found[0])
-                        found, held = [], 0
+                if held > 4_000_000:
+                    yield _counted(sig, found)
+                    found, held = [], 0
             step += 1
         if found:
-            yield _pairs(sig, np.unique(np.concatenate(found)))
+            yield _counted(sig, found)
 
     return merge
 
 
-def _pairs(sig: np.ndarray, code: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"kind": None, "key": None, "version": None, "sig": sig[code // len(sig)], "size": 0, "other": sig[code % len(sig)]})
+def _counted(sig: np.ndarray, found: list[np.ndarray]) -> pd.DataFrame:
+    code, n = np.unique(np.concatenate(found), return_counts=True)
+    return pd.DataFrame({"kind": None, "key": None, "version": None, "sig": sig[code // len(sig)], "size": n, "other": sig[code % len(sig)]})
 
 
 def _latest(records: DataFrame) -> DataFrame:
@@ -319,6 +352,56 @@ def _latest(records: DataFrame) -> DataFrame:
     return records.groupBy("kind", "key").agg(newest).select("kind", "key", "s.sig", "s.size", "s.copy").where("size > 0")
 
 
+_LISTED = "sig long, codes binary, short int, cut_weight long, cut_code long"
+#: Roles of a row of the probing: a class's codes for the lists, a pair's count, a pair's probes.
+_LIST, _COUNT, _ASKED = 0, 1, 2
+_PROBE = "bucket int, role int, sig long, other long, n long, whole long, tokens binary"
+
+
+def _ask(buckets: int):
+    """Packs, per bucket, the codes of a class for its lists, or of a pair's first class beyond the cut for probing; the pair's count goes along once."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for r in batch.itertuples(index=False):
+                codes = np.frombuffer(r.codes, np.uint64)[r.start :]
+                if r.role == _ASKED:
+                    rows.append((r.sig % buckets, _COUNT, r.sig, r.other, r.n, r.whole, None))
+                bucket = codes % np.uint64(buckets)
+                rows.extend((int(b), r.role, r.sig, r.other, 0, r.whole, codes[bucket == b].tobytes()) for b in np.unique(bucket))
+            yield pd.DataFrame(rows, columns=["bucket", "role", "sig", "other", "n", "whole", "tokens"])
+
+    return ask
+
+
+def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(sig, other, n, whole): of each pair, the count that came along and how many of its probes the lists of a bucket answer."""
+    lists, probes = [], []
+    for batch in batches:
+        if (told := batch["role"] == _COUNT).any():
+            yield batch.loc[told, ["sig", "other", "n", "whole"]]
+        for to, role in ((lists, _LIST), (probes, _ASKED)):
+            part = batch[batch["role"] == role]
+            if len(part):
+                tokens = [np.frombuffer(t, np.uint64) for t in part["tokens"]]
+                to.append((part["sig"].to_numpy(np.int64), part["other"].to_numpy(np.int64), part["whole"].to_numpy(np.int64), np.array([len(t) for t in tokens]), np.concatenate(tokens)))
+    if not lists or not probes:
+        return
+    owner, _, _, n, token = (np.concatenate(x) for x in zip(*lists, strict=True))
+    names, owner = np.unique(owner, return_inverse=True)
+    listed, token = np.unique(token, return_inverse=True)
+    # inverted lists one after the other, each in order of its owners
+    entries = np.unique(token * len(names) + np.repeat(owner, n))
+    sig, other, whole, n, token = (np.concatenate(x) for x in zip(*probes, strict=True))
+    at = np.minimum(np.searchsorted(listed, token), len(listed) - 1)
+    who = np.minimum(np.searchsorted(names, other), len(names) - 1)
+    wanted = at * len(names) + np.repeat(who, n)
+    place = np.minimum(np.searchsorted(entries, wanted), len(entries) - 1)
+    hit = (entries[place] == wanted) & (listed[at] == token) & np.repeat(names[who] == other, n)
+    yield pd.DataFrame({"sig": sig, "other": other, "n": np.bincount(np.repeat(np.arange(len(n)), n), hit, len(n)).astype(np.int64), "whole": whole})
+
+
 def similar_classes(records: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Classes of records with the same shingles, and links between classes.
 
@@ -327,59 +410,79 @@ def similar_classes(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
     one shingle, sig naming its class and copy its text, and (sig, other, shared, total) with sig < other of every pair of
     classes with shared / total >= threshold. Only records of one kind are compared.
     Records without shingles (null, empty or short texts) are similar to none.
+
+    A posting takes 8 bytes and each bucket that a record has postings in 48 more (16 and its sketch), so at most 56 bytes a posting
+    move, however many buckets there are. The probes move the codes of those classes only that are in a retained pair.
     """
     spark = records.sparkSession
     least = Fraction(threshold).limit_denominator(1000)
     records = records.select("kind", F.col("key").cast("string").alias("key"), F.col("version").cast("double").alias("version"), "text").where("key is not null")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    frequent = spark.sparkContext.broadcast(_learn_order(records, records.count()))
-    sent = records.mapInPandas(_post(frequent, least, buckets), _SENT).repartitionById(buckets, F.col("bucket"))
+    n = records.count()
+    share = _share(n)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_RECORDS)
+    frequent = spark.sparkContext.broadcast(_learn_order(records, n))
+    step = max(1, n // ORDER_SAMPLE)
+    sent = records.mapInPandas(_post(frequent, least, buckets, share, step), _SENT).repartitionById(buckets, F.col("bucket"))
     merged = cut_lineage(sent.mapInPandas(_merge(least), "kind string, key string, version double, sig long, size int, other long"))
-    members = _latest(merged.where("kind is not null"))
-    members = cut_lineage(members)
+    members = cut_lineage(_latest(merged.where("kind is not null")))
     # superseded versions posted too; a pair stands if both classes still have a member
-    classes = members.groupBy("sig").agg(F.min(F.struct("kind", "key")).alias("r")).select("sig", "r.kind", "r.key")
-    pairs = merged.where("kind is null").select("sig", "other").distinct()
-    pairs = pairs.join(classes.select("sig"), "sig", "left_semi").join(classes.select(F.col("sig").alias("other")), "other", "left_semi")
-    pairs = cut_lineage(pairs.select("sig", "other"))
+    classes = members.groupBy("sig").agg(F.min(F.struct("kind", "key")).alias("r"), F.max("size").alias("size")).select("sig", "r.kind", "r.key", "size")
+    p, q = least.numerator, least.denominator
+
+    def aside(size: str):
+        needed = F.ceil(F.lit(p) * F.col(size) / q)
+        return F.greatest(F.lit(0), F.least(needed - 1, F.floor(needed * share)))
+
+    pairs = merged.where("kind is null").groupBy("sig", "other").agg(F.sum("size").alias("n"))
+    pairs = pairs.join(classes.select("sig", F.col("size").alias("a")), "sig").join(classes.select(F.col("sig").alias("other"), F.col("size").alias("b")), "other")
+    pairs = pairs.where(F.col("n") >= F.ceil(F.lit(p) * (F.col("a") + F.col("b")) / (p + q)) - F.greatest(aside("a"), aside("b")))
+    pairs = cut_lineage(pairs.select("sig", "other", "n", (F.col("a") + F.col("b")).cast("long").alias("whole")))
     needed = pairs.select("sig").union(pairs.select("other")).distinct()
     wanted = classes.join(needed, "sig").select("kind", "key", F.col("sig").alias("class"))
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for rows in _blocks(batch):
                 record, code = shingles(rows["kind"].tolist(), rows["text"].tolist())
+                order, weight = _in_order(record, code, frequent.value)
                 cuts = np.searchsorted(record, np.arange(len(rows) + 1))
-                out = [(c, code[a:b].tobytes()) for c, a, b in zip(rows["class"], cuts[:-1], cuts[1:], strict=True) if _signature(code[a:b]) == c]
-                yield pd.DataFrame(out, columns=["sig", "codes"])
-
-    codes = records.join(wanted, ["kind", "key"]).select("kind", "text", "class").mapInPandas(tokens, "sig long, codes binary").dropDuplicates(["sig"])
-
-    @F.pandas_udf("struct<shared:int,total:int>")
-    def probe(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        shared, total = [], []
-        for x, y in zip(a, b, strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            shared.append(both)
-            total.append(len(x) + len(y) - both)
-        return pd.DataFrame({"shared": shared, "total": total})
-
-    both = pairs.join(codes, "sig").join(codes.select(F.col("sig").alias("other"), F.col("codes").alias("codes2")), "other")
-    links = both.select("sig", "other", probe("codes", "codes2").alias("p")).select("sig", "other", "p.*")
-    return members, links.where(F.col("shared") * least.denominator >= F.col("total") * least.numerator)
-
-
-def similar_pairs(records: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(node_a, node_b), node_a < node_b, of records with shared / total >= threshold; see similar_classes and EXPAND."""
+                aside_ = _set_aside(np.diff(cuts), least, share)
+                out = []
+                for c, a, b, long in zip(rows["class"], cuts[:-1], cuts[1:], aside_, strict=True):
+                    if _signature(code[a:b]) == c:
+                        mine, short = order[a:b], b - a - long
+                        last = mine[short - 1]
+                        out.append((c, code[mine].tobytes(), short, weight[last], int(code[last].astype(np.int64))))
+                yield pd.DataFrame(out, columns=["sig", "codes", "short", "cut_weight", "cut_code"])
+
+    codes = records.join(wanted, ["kind", "key"]).select("kind", "text", "class").mapInPandas(listed, _LISTED)
+    codes = cut_lineage(codes.dropDuplicates(["sig"]))
+    # the merge counted up to the earlier of the two cuts; the probes begin after it, in the codes of the class that has it
+    at = F.struct("cut_weight", (F.col("cut_code").bitwiseXOR(F.lit(-(2**63)))).alias("c"))
+    cut = codes.select("sig", at.alias("cut"))
+    first = pairs.join(cut, "sig").join(cut.select(F.col("sig").alias("other"), F.col("cut").alias("cut2")), "other")
+    swapped = F.col("cut2") < F.col("cut")
+    asked = first.select(F.when(swapped, F.col("other")).otherwise(F.col("sig")).alias("sig"), F.when(swapped, F.col("sig")).otherwise(F.col("other")).alias("other"), "n", "whole")
+    asked = asked.join(codes.select("sig", "codes", F.col("short").alias("start")), "sig").select("sig", "other", "n", "whole", "codes", "start")
+    zero = F.lit(0).cast("long")
+    flow = asked.withColumn("role", F.lit(_ASKED)).unionByName(codes.select("sig", zero.alias("other"), zero.alias("n"), zero.alias("whole"), "codes", F.lit(0).alias("start"), F.lit(_LIST).alias("role")))
+    hits = flow.mapInPandas(_ask(buckets), _PROBE).repartitionById(buckets, F.col("bucket")).mapInPandas(_probe, "sig long, other long, n long, whole long")
+    shared = hits.groupBy(F.least("sig", "other").alias("sig"), F.greatest("sig", "other").alias("other"), "whole").agg(F.sum("n").cast("int").alias("shared"))
+    links = shared.select("sig", "other", "shared", (F.col("whole") - F.col("shared")).cast("int").alias("total"))
+    return members, links.where(F.col("shared") * q >= F.col("total") * p)
+
+
+def similar_pairs(records: DataFrame, threshold: float = 0.8, expand: int | None = EXPAND) -> DataFrame:
+    """(node_a, node_b), node_a < node_b, of records with shared / total >= threshold; see similar_classes.
+
+    Of more than ``expand`` exact copies of one text each is linked to their representative, which alone stands for them
+    towards other texts; None lists every pair of copies too.
+    """
     members, links = similar_classes(records, threshold)
     copies = members.groupBy("sig", "copy").agg(F.count("*").alias("n"), F.min("key").alias("head"))
     members = members.join(copies, ["sig", "copy"]).select("sig", "key", "n", "head")
-    speaking = members.where((F.col("n") <= EXPAND) | (F.col("key") == F.col("head"))).select("sig", "key")
+    many = F.col("n") > expand if expand is not None else F.lit(False)
+    speaking = members.where(~many | (F.col("key") == F.col("head"))).select("sig", "key")
     # a class of any size gives all its pairs; one side of a large class is spread over several tasks
     sizes = speaking.groupBy("sig").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
     second = speaking.join(sizes, "sig").select(F.col("sig").alias("other"), F.col("key").alias("key2"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
@@ -388,16 +491,17 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8) -> DataFrame:
     across = meets.join(speaking, "sig").join(second, ["other", "part"]).select("key", "key2")
     first = speaking.join(sizes, "sig").select(F.col("sig").alias("other"), "key", spread)
     within = first.join(second, ["other", "part"]).where("key < key2").select("key", "key2")
-    star = members.where((F.col("n") > EXPAND) & (F.col("key") != F.col("head"))).select(F.col("head").alias("key"), F.col("key").alias("key2"))
+    star = members.where(many & (F.col("key") != F.col("head"))).select(F.col("head").alias("key"), F.col("key").alias("key2"))
     pairs = across.unionByName(within).unionByName(star)
     return pairs.select(F.least("key", "key2").alias("node_a"), F.greatest("key", "key2").alias("node_b"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, component) of the nodes of edges (a, b): the smallest node reachable, by alternating large and small stars."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges (a, b): the smallest node reachable, by alternating large and small stars until nothing changes."""
     both = edges.select("a", "b").where("a <> b")
     state = cut_lineage(both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(rounds):
+    changed = True
+    while changed:
         two = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = two.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = two.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -407,8 +511,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         new = cut_lineage(new)
         changed = new.exceptAll(state).limit(1).count() or state.exceptAll(new).limit(1).count()
         state = new
-        if not changed:
-            break
     return state.select(F.col("u").alias("node"), F.col("v").alias("component")).union(state.select("v", "v").distinct())
 
 

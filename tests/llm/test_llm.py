@@ -322,6 +322,25 @@ def test_similar_pairs_match_brute_force(spark, kind, t):
     assert len(set(groups.values())) == len({root(k) for k in groups})
 
 
+def test_a_shingle_of_a_third_of_all_records(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "SEGMENT", 5)
+    monkeypatch.setattr(near_duplicates, "BUCKET_RECORDS", 20)
+    rng = random.Random(9)
+    texts = {}
+    for i in range(120):
+        own = [f"w{rng.randrange(12)}" for _ in range(rng.choice([1, 2, 3]))]
+        texts[f"k{i:03d}"] = " ".join((["the", "common", "notice"] if i % 3 == 0 else []) + own)
+    df = spark.createDataFrame([("w2", k, 1.0, v) for k, v in texts.items()], "kind string, key string, version double, text string")
+    wanted = jaccard_pairs(texts, "w2", 0.4)
+    got = rows(near_duplicates.similar_pairs(df, 0.4))
+    assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 30
+
+
+def test_all_pairs_of_copies_on_demand(spark):
+    df = spark.createDataFrame([("w3", f"c{i:02d}", 1.0, "a b c d e") for i in range(40)], "kind string, key string, version double, text string")
+    assert near_duplicates.similar_pairs(df, 0.6, expand=None).count() == 40 * 39 // 2
+
+
 def test_many_copies_are_linked_to_one(spark):
     df = spark.createDataFrame([("w3", f"c{i:03d}", 1.0, "a b c d e f g") for i in range(100)] + [("w3", "other", 1.0, "a b c d e f g h")], "kind string, key string, version double, text string")
     got = rows(near_duplicates.similar_pairs(df, 0.6))
