@@ -41,6 +41,8 @@ BUCKET_RECORDS = 50_000
 #: Exact copies (records of a class with the very same text) up to this many are listed pair by pair; of more, each is
 #: linked to their representative, which alone stands for them towards other texts, of their class too.
 EXPAND = 32
+#: Size up to which the list of records to read again is broadcast.
+LIST_BYTES = 64 << 20
 #: Members of a class that meet in one task at once.
 SALT = 512
 
@@ -54,9 +56,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+class _Names(dict):
+    """Hashes of words, each made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        name = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return name
+
+
 def shingles(kinds: list[str], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(record, code) of the distinct shingles, ordered; kind 'w3' is three words in a row, 'c3' three characters of the words joined by blanks."""
-    vocabulary: dict[str, int] = {}
+    vocabulary = _Names()
     records, codes = [], []
     for kind in sorted(set(kinds)):
         n, chars = int(kind[1:]), kind[0] == "c"
@@ -68,12 +78,7 @@ def shingles(kinds: list[str], texts: list[str | None]) -> tuple[np.ndarray, np.
             if chars:
                 unit = np.frombuffer(" ".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
             else:
-                ids = []
-                for w in tokens:
-                    if (v := vocabulary.get(w)) is None:
-                        v = vocabulary[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-                    ids.append(v)
-                unit = np.array(ids, np.uint64)
+                unit = np.fromiter(map(vocabulary.__getitem__, tokens), np.uint64, len(tokens))
             if len(unit) >= n:
                 units.append(unit)
                 owner.append(np.full(len(unit), i, np.int64))
@@ -120,13 +125,16 @@ def _learn_order(records: DataFrame, n: int) -> np.ndarray:
     sample = records.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for rows in _blocks(batch):
-                _, code = shingles(rows["kind"].tolist(), rows["text"].tolist())
-                code, c = np.unique(code, return_counts=True)
-                yield pd.DataFrame({"code": code.astype(np.int64), "c": c})
+                new, n = np.unique(shingles(rows["kind"].tolist(), rows["text"].tolist())[1], return_counts=True)
+                code, at = np.unique(np.concatenate([code, new]), return_inverse=True)
+                c = np.bincount(at, np.concatenate([c, n]), len(code)).astype(np.int64)
+        # what a task sees once tells nothing of the order
+        yield pd.DataFrame({"code": code[c > 1].astype(np.int64), "c": c[c > 1]})
 
-    counts = sample.mapInPandas(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = sample.mapInPandas(count, "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
     rows = counts.orderBy(F.desc("c"), "code").limit(ORDER_TERMS).toArrow()
     table = np.stack([rows["code"].to_numpy(), rows["c"].to_numpy()], 1).astype(np.int64).reshape(-1, 2)
     return table[np.argsort(table[:, 0].astype(np.uint64))]
@@ -455,6 +463,10 @@ def similar_classes(records: DataFrame, threshold: float = 0.8) -> tuple[DataFra
                         out.append((c, code[mine].tobytes(), short, weight[last], int(code[last].astype(np.int64))))
                 yield pd.DataFrame(out, columns=["sig", "codes", "short", "cut_weight", "cut_code"])
 
+    # a short list of the classes in retained pairs goes to the texts, else the texts go to it
+    wanted = cut_lineage(wanted)
+    if wanted.agg(F.coalesce(F.sum(F.length("key") + 40), F.lit(0))).first()[0] <= LIST_BYTES:
+        wanted = F.broadcast(wanted)
     codes = records.join(wanted, ["kind", "key"]).select("kind", "text", "class").mapInPandas(listed, _LISTED)
     codes = cut_lineage(codes.dropDuplicates(["sig"]))
     # the merge counted up to the earlier of the two cuts; the probes begin after it, in the codes of the class that has it
