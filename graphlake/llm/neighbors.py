@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.operators.similarity import pair_scores
 from graphlake.session import cut_lineage
 
-#: Projected dimensions (even), and about how many vectors the upper kd-tree is fitted on (at most twice as many).
-PROJECTED, SAMPLE = 12, 16_384
+#: Projected dimensions (even), about how many vectors the upper kd-tree is fitted on (at most twice as many), and of these in a cell at least.
+PROJECTED, SAMPLE, PER_CELL = 12, 32_768, 8
 #: Vectors of a cell, the unit of distribution, and of a leaf inside.
 CELL, LEAF = 16_384, 256
+#: Queries that a task searches for at once, and that are broadcast at once.
+BLOCK, QUERIES = 512, 4096
 
 
 def chi_square_quantile(m: int, p: float) -> float:
@@ -91,7 +92,12 @@ class _Best:
 
     def reach(self, rows: np.ndarray) -> np.ndarray:
         """Squared distance that a further neighbour must stay below."""
-        return 2 - 2 * np.maximum(self.cosine[rows].min(1), self.least)
+        return 2 - 2 * np.clip(self.floors(rows), -1, 1)
+
+    def floors(self, rows: np.ndarray) -> np.ndarray:
+        """Cosine below which nothing is wanted; under -1 while fewer than k are known and all are wanted."""
+        kth = self.cosine[rows].min(1)
+        return np.maximum(kth, self.least) if self.least > -1 else kth
 
     def add(self, row: np.ndarray, cosine: np.ndarray, other: np.ndarray) -> None:
         if not len(row):
@@ -114,50 +120,69 @@ class _Best:
 class Index:
     """Vectors of a cell under a kd-tree of leaves."""
 
-    def __init__(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray):
+    def __init__(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, full: np.ndarray | None = None):
         depth = max(0, math.ceil(math.log2(max(1, len(vectors)) / LEAF)))
         leaf = Tree(projected, depth).cell(projected)
         order = np.argsort(leaf, kind="stable")
         self.vectors, self.projected, self.ids = vectors[order], projected[order], ids[order]
+        self.full = self.vectors if full is None else full[order]
         begins = np.flatnonzero(np.concatenate([[True], np.diff(leaf[order]) > 0])) if len(order) else np.zeros(0, np.int64)
         self.begins = np.append(begins, len(order))
         self.low = np.array([self.projected[a:b].min(0) for a, b in zip(self.begins[:-1], self.begins[1:], strict=True)]).reshape(-1, projected.shape[1])
         self.high = np.array([self.projected[a:b].max(0) for a, b in zip(self.begins[:-1], self.begins[1:], strict=True)]).reshape(-1, projected.shape[1])
 
-    def search(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, best: _Best, quantile: float) -> None:
-        """Adds neighbours to best: for blocks of queries, leaves nearest first in growing waves, until the stopping test holds for all."""
+    def search(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, best: _Best, quantile: float, full: np.ndarray | None = None) -> None:
+        """Adds neighbours to best: for blocks of queries, leaves nearest first in growing waves, until the stopping test holds for all.
+
+        ``full`` and the index's own are the vectors in full precision, for the cosines that count.
+        """
+        full = vectors if full is None else full
         leaves = len(self.low)
         if not leaves:
             return
         place = np.argsort(gaps(projected, self.low, self.high).argmin(1), kind="stable") if leaves > 1 else np.arange(len(projected))
-        for a in range(0, len(place), 512):
-            rows = place[a : a + 512]
+        for a in range(0, len(place), BLOCK):
+            rows = place[a : a + BLOCK]
             gap = gaps(projected[rows], self.low, self.high)
             order = np.argsort(gap.min(0), kind="stable")
             done, wave = 0, 1
             while done < leaves:
                 now = order[done : done + wave]
                 done += len(now)
-                wave *= 4
+                wave = min(4 * wave, 64)
                 near = gap[:, now] <= quantile * best.reach(rows)[:, None]
                 now = now[near.any(0)]
-                active = np.flatnonzero(near.any(1))
+                active = rows[near.any(1)]
                 if not len(active):
                     continue
                 at = np.concatenate([np.arange(self.begins[x], self.begins[x + 1]) for x in now])
-                q, p = projected[rows[active]], self.projected[at]
-                far = (q * q).sum(1)[:, None] + (p * p).sum(1) - 2 * (q @ p.T)
-                x, y = np.nonzero(far <= (quantile * best.reach(rows[active]))[:, None])
-                x, y = rows[active[x]], at[y]
-                for part in range(0, len(x), 200_000):
-                    s, t = x[part : part + 200_000], y[part : part + 200_000]
-                    rough = np.einsum("ij,ij->i", vectors[s], self.vectors[t])
-                    keep = (rough >= np.maximum(best.cosine[s].min(1), best.least) - 1e-4) & (ids[s] != self.ids[t])
-                    s, t = s[keep], t[keep]
-                    exact = np.einsum("ij,ij->i", vectors[s].astype(np.float64), self.vectors[t].astype(np.float64))
-                    exact /= np.linalg.norm(vectors[s].astype(np.float64), axis=1) * np.linalg.norm(self.vectors[t].astype(np.float64), axis=1)
-                    good = exact >= best.least
-                    best.add(s[good], exact[good], self.ids[t[good]])
+                self._verify(vectors, projected, full, ids, active, at, best, quantile)
+
+    def _verify(self, vectors, projected, full, ids, active: np.ndarray, at: np.ndarray, best: _Best, quantile: float) -> None:
+        """Adds what is good enough of the points at hand; few are when the radius is small, else all are multiplied at once."""
+        reach, floor = best.reach(active), best.floors(active)
+        if quantile * np.median(reach) < PROJECTED:
+            q, p = projected[active], self.projected[at]
+            far = (q * q).sum(1)[:, None] + (p * p).sum(1) - 2 * (q @ p.T)
+            x, y = np.nonzero(far <= quantile * reach[:, None])
+            rough = np.concatenate([np.zeros(0, np.float32), *[np.einsum("ij,ij->i", vectors[active[x[c : c + 200_000]]], self.vectors[at[y[c : c + 200_000]]]) for c in range(0, len(x), 200_000)]])
+            keep = rough >= floor[x] - 1e-4
+            x, y = x[keep], y[keep]
+        else:
+            rough = vectors[active] @ self.vectors[at].T
+            k = best.cosine.shape[1]
+            if len(at) > k + 1 and (floor < -1).any():
+                # nothing found yet: only the best here can stay (one may be the query itself)
+                floor = np.maximum(floor, np.partition(rough, len(at) - k - 1, axis=1)[:, len(at) - k - 1])
+            x, y = np.nonzero(rough >= floor[:, None] - 1e-4)
+        s, t = active[x], at[y]
+        other = ids[s] != self.ids[t]
+        for c in range(0, len(s), 200_000):
+            u, v = s[c : c + 200_000][other[c : c + 200_000]], t[c : c + 200_000][other[c : c + 200_000]]
+            m, n = full[u].astype(np.float64), self.full[v].astype(np.float64)
+            exact = np.einsum("ij,ij->i", m, n) / (np.linalg.norm(m, axis=1) * np.linalg.norm(n, axis=1))
+            good = exact >= best.least
+            best.add(u[good], np.round(exact[good], 12), self.ids[v[good]])
 
 
 def _unit(rows) -> np.ndarray:
@@ -184,12 +209,11 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
     """
     n = vectors.count()
     step = max(1, n // SAMPLE)
-    rng = np.random.default_rng(seed)
-    matrix = rng.standard_normal((dimensions, PROJECTED)).astype(np.float32)
+    matrix = _projection(dimensions, seed)
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vector").limit(2 * SAMPLE).toArrow()
     points = _unit(sample["vector"].to_numpy()) @ matrix if sample.num_rows else np.zeros((0, PROJECTED), np.float32)
     depth = max(0, math.ceil(math.log2(max(1, n) / CELL))) if len(points) else 0
-    tree = Tree(points, min(depth, max(0, int(math.log2(max(1, len(points) / 16))))))
+    tree = Tree(points, min(depth, max(0, int(math.log2(max(1, len(points) / PER_CELL))))))
     quantile = chi_square_quantile(PROJECTED, confidence)
     cells = 2**tree.depth
 
@@ -221,7 +245,7 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
             raw = [v.tobytes() for v in unit]
             yield pd.DataFrame({"cell": cell, "kind": "p", "id": ids, "other": 0, "cosine": 0.0, "vector": raw})
             reach = quantile * best.reach(np.arange(len(ids)))
-            floor = np.maximum(best.cosine.min(1), -1.0)
+            floor = best.floors(np.arange(len(ids)))
             for a in range(0, len(ids), 2048):
                 far = gaps(projected[a : a + 2048], tree.low, tree.high)
                 row, to = np.nonzero(far <= reach[a : a + 2048, None])
@@ -229,29 +253,27 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
                 yield pd.DataFrame({"cell": to, "kind": "q", "id": ids[row], "other": 0, "cosine": floor[row], "vector": [raw[r] for r in row]})
 
     def beyond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list[pd.DataFrame]] = {}
-        asked: dict[int, list[pd.DataFrame]] = {}
+        # rows come by cell, a cell's points before its visitors: the points are held, the visitors pass by in batches
+        here, parts, index = -1, [], None
         for b in batches:
             if (told := b["kind"] == "r").any():
                 yield b.loc[told, ["id", "other", "cosine"]]
-            for (cell, kind), part in b[~told].groupby(["cell", "kind"]):
-                (held if kind == "p" else asked).setdefault(int(cell), []).append(part[["id", "cosine", "vector"]])
-        for cell, parts in asked.items():
-            index = Index(*load(held.pop(cell, [])))
-            queries = pd.concat(parts)
-            for a in range(0, len(queries), 65_536):
-                some = queries.iloc[a : a + 65_536]
-                unit, projected, ids = load([some])
-                best = _Best(len(ids), k, least)
-                floor = some["cosine"].to_numpy()
-                # what was found at home bounds the search here
-                best.cosine[:, -1] = -2.0
-                low = _Floored(best, floor)
-                index.search(unit, projected, ids, low, quantile)
+            for (cell, kind), part in b[~told].groupby(["cell", "kind"], sort=True):
+                if cell != here:
+                    here, parts, index = cell, [], None
+                if kind == "p":
+                    parts.append(part[["id", "vector"]])
+                    continue
+                if index is None:
+                    index = Index(*load(parts))
+                    parts = []
+                unit, projected, ids = load([part])
+                best = _Floored(_Best(len(ids), k, least), part["cosine"].to_numpy())
+                index.search(unit, projected, ids, best, quantile)
                 yield results(best, ids, cell)[["id", "other", "cosine"]]
 
     assigned = vectors.mapInPandas(assign, _FLOW).repartitionById(cells, F.col("cell"))
-    flow = assigned.mapInPandas(own, _FLOW).repartitionById(cells, F.col("cell"))
+    flow = assigned.mapInPandas(own, _FLOW).repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "kind")
     found = flow.mapInPandas(beyond, "id long, other long, cosine double")
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= k).select("id", "other", "cosine")
@@ -263,8 +285,12 @@ class _Floored(_Best):
     def __init__(self, best: _Best, floor: np.ndarray):
         self.cosine, self.other, self.least, self.floor = best.cosine, best.other, best.least, floor
 
-    def reach(self, rows: np.ndarray) -> np.ndarray:
-        return 2 - 2 * np.maximum(np.maximum(self.cosine[rows].min(1), self.floor[rows]), self.least)
+    def floors(self, rows: np.ndarray) -> np.ndarray:
+        return np.maximum(super().floors(rows), self.floor[rows])
+
+
+def _projection(dimensions: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).standard_normal((dimensions, PROJECTED)).astype(np.float32)
 
 
 def nearest_nodes(points: DataFrame, k: int = 5, dimensions: int = 64, least: float = -1.0, confidence: float = 0.98) -> DataFrame:
@@ -276,7 +302,8 @@ def nearest_nodes(points: DataFrame, k: int = 5, dimensions: int = 64, least: fl
     """
     good = points.select(F.col("node_id").cast("string").alias("node_id"), F.col("dense").cast("array<float>").alias("dense")).where("node_id is not null").where(usable(F.col("dense"), dimensions))
     keyed = cut_lineage(good.select(F.xxhash64("dense").alias("id"), "node_id", F.col("dense").alias("vector")))
-    distinct = keyed.select("id", "vector").dropDuplicates(["id"])
+    clash = F.raise_error(F.lit("two vectors share a hash"))
+    distinct = keyed.groupBy("id").agg(F.min("vector").alias("vector"), F.max("vector").alias("same")).select("id", F.when(F.col("vector") == F.col("same"), F.col("vector")).otherwise(clash).alias("vector"))
     links = vector_neighbors(distinct, k, dimensions, least, confidence)
     itself = keyed.select("id").distinct().select("id", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
     order = Window.partitionBy("id").orderBy("node_id")
@@ -290,15 +317,65 @@ def nearest_nodes(points: DataFrame, k: int = 5, dimensions: int = 64, least: fl
     return own.select("node_id", F.posexplode(others).alias("rank", "n")).select("node_id", F.col("n.name").alias("other"), F.col("n.cosine").alias("cosine"), (F.col("rank") + 1).alias("rank"))
 
 
-def nearest_of(queries: DataFrame, points: DataFrame, k: int = 5, dimensions: int = 64) -> DataFrame:
+def nearest_of(queries: DataFrame, points: DataFrame, k: int = 5, dimensions: int = 64, confidence: float = 0.999, seed: int = 7) -> DataFrame:
     """(node_id, other, cosine, rank): the k points most similar to each query, of queries (node_id) among points (node_id, dense), however far.
 
-    Exact, by multiplication of the queries with all points in blocks: without close neighbours the kd-tree would visit
-    nearly every cell. Cosines are rounded to twelve decimals before ranking, ties go to the smaller node_id; unusable
+    For a stated query set: queries are broadcast QUERIES at a time, and no point moves. Each task puts CELL points at a time
+    under a kd-tree of their projections and verifies the leaves in order of projected distance until the stopping test
+    holds against the k-th cosine the task knows; k rows per query and task meet in the end. Each true neighbour is found with probability
+    ``confidence`` at least. Cosines are rounded to twelve decimals before ranking, ties go to the smaller node_id; unusable
     vectors take no part. Node ids of points must be unique.
     """
-    vectors = points.select("node_id", "dense", F.lit(None).cast("struct<terms: array<bigint>, weights: array<double>>").alias("packed"))
-    asked = vectors.where(usable(F.col("dense"), dimensions)).join(queries.select("node_id").distinct(), "node_id", "left_semi")
-    near = pair_scores(asked.withColumnRenamed("node_id", "query_id"), vectors, k, dense_weight=1.0, sparse_weight=0.0, dimensions=dimensions, decimals=12)
+    good = points.select(F.col("node_id").cast("string").alias("node_id"), F.col("dense").cast("array<float>").alias("dense")).where("node_id is not null").where(usable(F.col("dense"), dimensions))
+    asked = good.join(queries.select("node_id").distinct(), "node_id", "left_semi")
+    quantile = chi_square_quantile(PROJECTED, confidence)
+    schema = "node_id string, other string, cosine double"
+
+    def prepared(rows) -> tuple[np.ndarray, np.ndarray]:
+        full = np.stack([np.asarray(v, np.float64) for v in rows])
+        return full / np.abs(full).max(1, keepdims=True), _unit(rows)
+
+    def search(rows: list) -> DataFrame:
+        names = np.array([r["node_id"] for r in rows], object)
+        full, unit = prepared([r["dense"] for r in rows])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matrix = _projection(dimensions, seed)
+            projected = unit @ matrix
+            floor = np.full(len(names), -2.0)
+            held: list[pd.DataFrame] = []
+
+            def settle() -> pd.DataFrame:
+                block = pd.concat(held).sort_values("node_id", ignore_index=True)
+                held.clear()
+                ids = block["node_id"].to_numpy(object)
+                place = {n: i for i, n in enumerate(ids)}
+                own_full, own_unit = prepared(block["dense"])
+                index = Index(own_unit, own_unit @ matrix, np.arange(len(ids)), own_full)
+                best = _Floored(_Best(len(names), k, -1.0), floor)
+                index.search(unit, projected, np.array([place.get(n, -1) for n in names]), best, quantile, full)
+                row, col = np.nonzero(best.cosine >= -1.5)
+                floor[:] = np.maximum(floor, best.cosine.min(1))
+                return pd.DataFrame({"node_id": names[row], "other": ids[best.other[row, col]], "cosine": best.cosine[row, col]})
+
+            for b in batches:
+                held.append(b)
+                if sum(map(len, held)) >= CELL:
+                    yield settle()
+            if sum(map(len, held)):
+                yield settle()
+
+        return good.mapInPandas(run, schema)
+
+    found, block = None, []
+    for row in asked.toLocalIterator():
+        block.append(row)
+        if len(block) == QUERIES:
+            found = search(block) if found is None else found.unionByName(search(block))
+            block = []
+    if block:
+        found = search(block) if found is None else found.unionByName(search(block))
+    if found is None:
+        return queries.sparkSession.createDataFrame([], schema + ", rank int")
     rank = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("cosine"), "other"))
-    return near.select(F.col("query_id").alias("node_id"), F.col("node_id").alias("other"), F.col("score").alias("cosine")).withColumn("rank", rank)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -178,7 +178,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p2_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "rag_results").select(F.explode("seed_node_ids").alias("node_id")).distinct()
-    return neighbors.nearest_of(seeds, _points(spark, sf_dir), k=5, dimensions=64)
+    near = neighbors.nearest_of(seeds, _points(spark, sf_dir), k=5, dimensions=64)
+    return near.select("node_id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+@query
+def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64)
 
 
 # --- SQL of the queries that SQL can express --------------------------------------------------------------------
@@ -192,6 +198,11 @@ ORACLE["p1_found"] = f"""WITH RECURSIVE s AS (SELECT id, parent_section_id FROM
  d AS (SELECT id, 1 AS level FROM s WHERE parent_section_id IS NULL OR parent_section_id NOT IN (SELECT id FROM s) UNION ALL SELECT s.id, level + 1 FROM s JOIN d ON s.parent_section_id = d.id)
 SELECT c.id AS chunk_id, level FROM {_CHUNKS} c LEFT JOIN d ON d.id = c.section_id WHERE len(regexp_extract_all(text, '[^{_BLANK}]+')) > 360"""
 
+_USABLE = "len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0"
+ORACLE["p2_seeds"] = f"""WITH p AS (SELECT node_id, CAST(dense AS DOUBLE[]) AS v FROM {_POINTS} WHERE {_USABLE}),
+ n AS (SELECT a.node_id, b.node_id AS other, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM p a JOIN p b ON a.node_id <> b.node_id WHERE a.node_id IN (SELECT unnest(seed_node_ids) FROM rag_results))
+SELECT node_id, other, round(s, 6) AS cosine, CAST(row_number() OVER (PARTITION BY node_id ORDER BY s DESC, other) AS INTEGER) AS rank FROM n QUALIFY rank <= 5"""
+
 ORACLE["p2_found"] = f"""WITH p AS (SELECT node_id, CAST(dense AS DOUBLE[]) AS v FROM {_POINTS} WHERE len(dense) = 64 AND len(list_filter(dense, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(dense, lambda x: x <> 0)) > 0),
  n AS (SELECT a.node_id AS x, b.node_id AS y, list_cosine_similarity(a.v, b.v) AS s FROM p a JOIN p b ON a.node_id <> b.node_id QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY s DESC, b.node_id) <= 5)
 SELECT DISTINCT least(x, y) AS node_a, greatest(x, y) AS node_b FROM n WHERE s >= 0.9"""

@@ -102,6 +102,28 @@ def test_neighbours_recall_and_copies(spark):
     assert neighbors.nearest_nodes(df.limit(0), 5, 64).count() == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_recall_across_cells_without_floor(spark, monkeypatch, near):
+    monkeypatch.setattr(neighbors, "CELL", 100)
+    rng = np.random.default_rng(4)
+    vectors = rng.standard_normal((1600, 64))
+    if near:  # clusters, whose neighbours are close
+        vectors = np.repeat(vectors[:200], 8, 0) + 0.3 * vectors
+    vectors = vectors.astype(np.float32)
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, -2)
+    wanted = {(i, int(j)) for i, line in enumerate(np.argsort(-cos, axis=1)[:, :5]) for j in line}
+    df = spark.createDataFrame([(str(i), v.tolist()) for i, v in enumerate(vectors)], "node_id string, dense array<float>").repartition(5)
+    got = {(int(r["node_id"]), int(r["other"])) for r in neighbors.nearest_nodes(df, 5, 64).collect()}
+    assert len(got) == 5 * 1600 and len(got & wanted) >= 0.95 * len(wanted)
+    asked = spark.createDataFrame([(str(i),) for i in range(0, 1600, 20)] + [("gone",), (None,)], "node_id string")
+    few = {(int(r["node_id"]), int(r["other"])) for r in neighbors.nearest_of(asked, df, 5, 64).collect()}
+    some = {w for w in wanted if w[0] % 20 == 0}
+    assert len(few) == 5 * 80 and len(few & some) >= 0.98 * len(some)
+    assert neighbors.nearest_of(asked.limit(0), df).count() == 0 and neighbors.nearest_of(asked, df.limit(0)).count() == 0
+
+
 def test_every_seed_gets_its_nearest(spark, sf):
     points = latest_rows(spark.read.parquet(f"{sf}/points.parquet").select("node_id", "dense", F.col("payload.created_at").alias("created_at")), "node_id")
     data = sorted((r["node_id"], r["dense"]) for r in points.collect() if r["dense"] and len(r["dense"]) == 64 and np.isfinite(r["dense"]).all() and any(r["dense"]))
