@@ -22,7 +22,8 @@ def resolve_names(uses: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
 
     1 own class: self.x or cls.x where the parent symbol is a class; 2 the import table's candidate with the rest, 3 without it;
     4 the one symbol of that name in the file (0.9); 5 the one in all files (0.4). Rules 4 and 5 take names without dots
-    only. kind_filter, if not null, is the kind a target must have. Module symbols are never targets.
+    only. kind_filter, if not null, is the kind a target must have; symbols of other kinds do not count for any rule. Module
+    symbols are never targets.
     """
     named = symbols.where("kind <> 'module'")
     qualified = named.groupBy("qualified_name").agg(F.max_by(F.struct("id", "kind"), F.struct("file_id", "order_index")).alias("q"))
@@ -42,11 +43,14 @@ def resolve_names(uses: DataFrame, symbols: DataFrame, imports: DataFrame) -> Da
     found = by_name(own, F.concat("parent_name", F.lit("."), "rest"), 1, 1.0)
     found = found.unionByName(by_name(imported.where("rest is not null"), F.concat("candidate", F.lit("."), "rest"), 2, 1.0))
     found = found.unionByName(by_name(imported, F.col("candidate"), 3, 1.0))
-    # which names are unique does not hang on the kind wanted; the kind is checked afterwards
-    in_file = named.groupBy("file_id", "name").agg(F.count("*").alias("n"), F.first(F.struct("id", "kind")).alias("s")).where("n = 1")
-    anywhere = named.groupBy("name").agg(F.count("*").alias("n"), F.first(F.struct("id", "kind")).alias("s")).where("n = 1")
+    # a name counts among the symbols of the wanted kind only; without one, among all
+    kinds = named.select("id", "file_id", "name", "kind", F.explode(F.array(F.col("kind"), F.lit("*"))).alias("wanted"))
+    one = [F.count("*").alias("n"), F.first(F.struct("id", "kind")).alias("s")]
+    in_file = kinds.groupBy("file_id", "name", "wanted").agg(*one).where("n = 1")
+    anywhere = kinds.groupBy("name", "wanted").agg(*one).where("n = 1")
+    plain = plain.withColumn("wanted", F.coalesce("kind_filter", F.lit("*")))
     pick = lambda d, rule, weight: d.select(*keys, F.lit(rule).alias("rule"), F.col("s.id").alias("target"), F.col("s.kind").alias("target_kind"), F.lit(weight).alias("weight"))
-    found = found.unionByName(pick(plain.join(in_file, ["file_id", "name"]), 4, 0.9)).unionByName(pick(plain.join(anywhere, "name"), 5, 0.4))
+    found = found.unionByName(pick(plain.join(in_file, ["file_id", "name", "wanted"]), 4, 0.9)).unionByName(pick(plain.join(anywhere, ["name", "wanted"]), 5, 0.4))
     found = found.where(F.col("kind_filter").isNull() | (F.col("kind_filter") == F.col("target_kind")))
     first = Window.partitionBy("src", "ordinal", "raw").orderBy("rule")
     return found.withColumn("__r", F.row_number().over(first)).where("__r = 1").select("src", "ordinal", "raw", "rule", "target", "weight")

@@ -52,8 +52,8 @@ def ingest_books(books: DataFrame, settings: Settings = DEFAULTS) -> Ingested:
 def ingest_code(files: DataFrame, vocab: DataFrame | None = None, settings: Settings = DEFAULTS) -> Ingested:
     """files (file_id, repo, path, module_path, language, loc, content, topic); with a vocabulary the sparse space is extended into, else fitted."""
     began = time.time()
-    symbols = cut_lineage(code_parser.parse_symbols(files, settings))
-    imports = code_parser.parse_imports(files)
+    parsed = cut_lineage(code_parser.parse_files(files, settings))
+    symbols, imports = code_parser.symbols_of(parsed), code_parser.imports_table(parsed)
     edges = code_parser.symbol_edges(symbols).unionByName(resolve.static_edges(files, symbols, imports))
     placed = symbols.join(files.select("file_id", "path", "topic"), "file_id")
     facts = {c: F.col(c) for c in ("kind", "qualified_name", "signature", "name", "base_classes", "path", "decorators", "docstring", "calls_raw", "text")}

@@ -161,6 +161,7 @@ def clean_text(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_text(mark)).alias("digest"))
 
 
+# fixed values: the patterns of headings
 _IS_HEADING = rf"""(length(s) BETWEEN 1 AND 90 AND (regexp_matches(s, '(?i)^(CHAPTER|PART|SECTION|BOOK){_SPACE}+[IVXLCDM\p{{Nd}}]+\.?{_SPACE}*[:.\-]?{_SPACE}*[^\n]*$')
  OR (regexp_matches(s, '^[A-Z][A-Z0-9 ,''\-:]{{3,70}}$') AND len(regexp_split_to_array(s, '{_SPACE}+')) <= 12)))"""
 _LINES = f"lines AS (SELECT doc_id, pos, line, {_strip('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"
@@ -618,7 +619,8 @@ def symbol_edges(spark, sf):
 @query()
 def static_edges(spark, sf):
     files = _code_files(spark, sf)
-    return resolve.static_edges(files, cut_lineage(code_parser.parse_symbols(files)), cut_lineage(code_parser.parse_imports(files)))
+    parsed = cut_lineage(code_parser.parse_files(files))
+    return resolve.static_edges(files, code_parser.symbols_of(parsed), code_parser.imports_table(parsed))
 
 
 _SYMBOLS = f"sy AS (SELECT id, file_id, parent_symbol_id, kind, name, qualified_name, order_index, base_classes, calls_raw FROM {_v('code_symbols')}), named AS (SELECT * FROM sy WHERE kind <> 'module')"

@@ -258,7 +258,9 @@ def test_code_symbols():
     by = {s["qualified_name"]: s for s in symbols}
     assert list(by) == ["pkg.mod", "pkg.mod.Child", "pkg.mod.Child.run", "pkg.mod.Child.stop", "pkg.mod.Child.stop.inner", "pkg.mod.run_twice"]
     assert by["pkg.mod.Child"]["base_classes"] == ["B"] and by["pkg.mod.Child"]["decorators"] == ["@deco"]
-    assert by["pkg.mod.Child.run"]["calls_raw"] == ["os.getcwd", "self.stop", "helper"] and by["pkg.mod.Child.run"]["complexity"] == 4
+    assert by["pkg.mod.Child.run"]["calls_raw"] == ["os.getcwd", "self.stop", "helper"] and by["pkg.mod.Child.run"]["complexity"] == 3
+    # branches are counted from 0, and for functions and methods only
+    assert by["pkg.mod.Child"]["complexity"] == by["pkg.mod"]["complexity"] == by["pkg.mod.Child.stop.inner"]["complexity"] == 0
     assert dict(imports) == {"os": "os", "np": "numpy", "B": "pkg.base.Base", "helper": "pkg.base.helper"}
     assert code_parser.parse_file("f", "x.py", "x", "def (")[0][0]["label"] == "x.py (unparsed)"
     assert code_parser.parse_file("f", "x.py", "x", "")[0][0]["text"] == "(empty module: x.py)"
@@ -284,6 +286,22 @@ def test_static_edges(spark):
     assert edges.where("rel_type = 'HAS_CHUNK'").count() == symbols.count() and edges.where("rel_type = 'NEXT_CHUNK'").count() == symbols.count() - 3
 
 
+def test_bases_are_looked_for_among_classes(spark):
+    source = "class Base:\n    pass\n\nclass Shop:\n    def Base(self):\n        pass\n\nclass Child(Base):\n    pass\n"
+    twice = "class Child(Lone):\n    pass\n"
+    lone = "class Lone:\n    pass\n\ndef other():\n    Lone = 1\n\nclass Box:\n    def Lone(self):\n        pass\n"
+    df = spark.createDataFrame([("f1", "a.py", "a", source), ("f2", "b.py", "b", twice), ("f3", "c.py", "c", lone)], "file_id string, path string, module_path string, content string")
+    parsed = code_parser.parse_files(df)
+    names = {r["id"]: r["qualified_name"] for r in parsed.collect()}
+    got = {(names[r["source_id"]], names[r["target_id"]], r["weight"]) for r in resolve.static_edges(df, code_parser.symbols_of(parsed), code_parser.imports_table(parsed)).where("rel_type = 'INHERITS_FROM'").collect()}
+    assert got == {("a.Child", "a.Base", 0.9), ("b.Child", "c.Lone", 0.4)}
+
+
+def test_loose_lines_are_packed_within_the_budget():
+    spans = [(i, i + n - 1, f"s{i}") for i, n in ((1, 3), (4, 3), (7, 2), (9, 12), (21, 1))]
+    assert [[s[2] for s in g] for g in code_parser._within_budget(spans, 8)] == [["s1", "s4", "s7"], ["s9"], ["s21"]] and code_parser._within_budget([], 8) == [[]]
+
+
 def test_group_ranks_match_sorting(spark):
     values = [(f"g{i % 3}" if i % 2 else "hot", float(i * 7 % 11)) for i in range(200)] + [("g0", None)]
     got = {(r["g"], r["v"]): (r["n_below"], r["n_equal"], r["n_total"]) for r in group_ranks(spark.createDataFrame(values, "g string, v double"), ["g"], "v").collect()}
