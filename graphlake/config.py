@@ -5,6 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 
+#: Languages of source files by suffix; another one is registered by adding its suffix here and its parser to operators.code_parser.PARSERS.
+LANGUAGES = {".py": "python"}
+
+
 @dataclass(frozen=True)
 class Settings:
     chunk_words: int = 180
@@ -15,10 +19,11 @@ class Settings:
     dense_weight: float = 0.6
     sparse_weight: float = 0.4
     judged_pairs: int = 12
+    pass_chunks: int = 150
     max_features: int = 50_000
     rrf_constant: int = 2
     rrf_first_rank: int = 0
-    code_suffixes: tuple[str, ...] = (".py",)
+    code_suffixes: tuple[str, ...] = tuple(LANGUAGES)
     code_excluded: tuple[str, ...] = (".git", ".venv", "venv", "__pycache__", "node_modules", ".mypy_cache", ".pytest_cache", "build", "dist", ".tox")
     code_body_chars: int = 4000
     code_module_lines: int = 60

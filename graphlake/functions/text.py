@@ -74,6 +74,20 @@ def code_fences_stripped(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(strip(c), r"^```[^\n]*\n?", ""), r"\n?```\s*$", ""))
 
 
+# fixed values: what a node's page shows elsewhere
+CORE_KEYS = ["id", "label", "text", "description", "_labels", "created_by", "topic"]
+
+
+def shown_metadata(c: Column, hidden: list[str] = CORE_KEYS) -> Column:
+    """A map without the keys that are shown elsewhere."""
+    return F.map_filter(c, lambda k, v: ~k.isin(hidden))
+
+
+def explained(explanation: Column, weight: Column) -> Column:
+    """An explanation with its weight in two decimals; null where there is none."""
+    return F.when(explanation != "", F.format_string("%s (weight %.2f)", explanation, weight))
+
+
 def flattened_metadata(c: Column) -> Column:
     return F.transform_keys(c, lambda k, v: F.concat(F.lit("meta_"), k))
 

@@ -50,9 +50,17 @@ def packed(paragraphs: Column, target: int, overlap: int) -> Column:
     return F.aggregate(paragraphs, empty, add, finish)
 
 
+def packed_chunks(sections: DataFrame, key: str, settings: Settings = DEFAULTS, paragraphs=T.paragraphs) -> DataFrame:
+    """sections (key, section_order, body, ...) as (..., piece, text, word_count, order_index): their packed texts, those of few words left out, numbered through all sections of a key."""
+    kept = [x for x in sections.columns if x not in ("title", "body")]
+    texts = sections.select(*kept, F.posexplode(packed(paragraphs(F.col("body")), settings.chunk_words, settings.chunk_overlap)).alias("piece", "text"))
+    texts = texts.withColumn("word_count", T.word_count(F.col("text"))).where(F.col("word_count") >= settings.chunk_least_words)
+    return texts.withColumn("order_index", F.row_number().over(Window.partitionBy(key).orderBy("section_order", "piece")) - 1)
+
+
 def chunk_chain(chunks: DataFrame, parent: str, order: str, key: str = "id") -> DataFrame:
-    """prev_chunk_id and next_chunk_id along the reading order of each parent."""
-    w = Window.partitionBy(parent).orderBy(order)
+    """prev_chunk_id and next_chunk_id along the reading order of each parent, ties by key."""
+    w = Window.partitionBy(parent).orderBy(order, key)
     return chunks.withColumn("prev_chunk_id", F.lag(key).over(w)).withColumn("next_chunk_id", F.lead(key).over(w))
 
 
@@ -63,10 +71,7 @@ def chunk_books(books: DataFrame, settings: Settings = DEFAULTS, paragraphs=T.pa
     sections = found.join(books.select(F.col("id").alias("book_id"), "topic"), "book_id").select(
         stable_id("sec", "book_id", "section_order").alias("id"), F.lit("Section").alias("type"), F.substring("title", 1, 120).alias("label"), "topic", "book_id", F.lit(None).cast("string").alias("parent_section_id"), F.lit(1).alias("level"), F.col("section_order").alias("order_index"), "body",
     )
-    texts = sections.select("book_id", "topic", F.col("id").alias("section_id"), F.col("order_index").alias("sec"), F.posexplode(packed(paragraphs(F.col("body")), settings.chunk_words, settings.chunk_overlap)).alias("piece", "text"))
-    texts = texts.withColumn("word_count", T.word_count(F.col("text"))).where(F.col("word_count") >= settings.chunk_least_words)
-    order = Window.partitionBy("book_id").orderBy("sec", "piece")
-    chunks = texts.withColumn("order_index", F.row_number().over(order) - 1)
+    chunks = packed_chunks(sections.select("book_id", "topic", F.col("id").alias("section_id"), F.col("order_index").alias("section_order"), "body"), "book_id", settings, paragraphs)
     titles = books.select(F.col("id").alias("book_id"), F.col("label").alias("title"))
     chunks = chunks.join(titles, "book_id").select(
         stable_id("chunk", "book_id", "order_index").alias("id"), F.lit("Chunk").alias("type"), T.truncated_label(F.col("text")).alias("label"), "topic", "book_id", "section_id", "text", "word_count", "order_index", F.create_map(F.lit("book_title"), F.col("title")).alias("metadata"),

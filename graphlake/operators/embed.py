@@ -41,6 +41,21 @@ def embedder(kind: type = HashingEmbedder, dimensions: int = 64) -> Embedder:
     return kind(dimensions)
 
 
+def embed_one(text: str, kind: type = HashingEmbedder, dimensions: int = 64) -> np.ndarray:
+    """The vector of one text."""
+    return embedder(kind, dimensions).embed([text])[0]
+
+
+def hashed_vectors(weights: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
+    """(key, dense) of sparse vectors in long form (key, term, weight): signed feature hashing of their terms, in SQL expressions, so that texts and questions of one vocabulary meet in one space."""
+    digest = F.md5("term")
+    bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dimensions
+    sign = F.when(F.substring(digest, 5, 1) < "8", 1.0).otherwise(-1.0)
+    sums = weights.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("weight") * sign).alias("w"))
+    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # at most ``dimensions`` entries
+    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("dense"))
+
+
 def embed_texts(text: Column, dimensions: int = 64, kind: type = HashingEmbedder) -> Column:
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

@@ -26,6 +26,22 @@ class Provider(Protocol):
     def complete(self, prompt: str, system: str = "", json_mode: bool = False) -> str: ...
 
 
+def _post(url: str, body: dict, headers: dict, path: tuple, timeout: float) -> str:
+    """What lies under a path of the JSON reply; three attempts with growing pauses."""
+    for attempt in range(3):
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json"} | headers), timeout=timeout) as r:
+                value = json.load(r)
+            for step in path:
+                value = value[step]
+            return str(value)
+        except OSError:
+            if attempt == 2:
+                raise
+            time.sleep(3 * (attempt + 1))
+    return ""
+
+
 @dataclass(frozen=True)
 class HttpProvider:
     """A model server that takes JSON by POST and answers with the text under ``reply_path``; three attempts with growing pauses."""
@@ -38,19 +54,29 @@ class HttpProvider:
 
     def complete(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
         body = {"model": self.model, "prompt": prompt, "system": system, "stream": False, "options": {"temperature": 0.2}} | ({"format": "json"} if json_mode else {})
-        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        for attempt in range(3):
-            try:
-                with urllib.request.urlopen(urllib.request.Request(self.url, json.dumps(body).encode(), headers), timeout=self.timeout) as r:
-                    value = json.load(r)
-                for step in self.reply_path:
-                    value = value[step]
-                return str(value)
-            except OSError:
-                if attempt == 2:
-                    raise
-                time.sleep(3 * (attempt + 1))
-        return ""
+        return _post(self.url, body, {"Authorization": f"Bearer {self.key}"} if self.key else {}, self.reply_path, self.timeout)
+
+
+@dataclass(frozen=True)
+class CloudProvider:
+    """A hosted model that takes contents and a generation configuration and answers with candidates; needs a key."""
+
+    url: str
+    model: str
+    key: str
+    timeout: float = 180.0
+
+    def __post_init__(self):
+        if not self.key:
+            raise ValueError("a hosted model needs a key")
+
+    def request(self, prompt: str, system: str = "", json_mode: bool = False) -> tuple[str, dict]:
+        body = {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"temperature": 0.2, "responseMimeType": "application/json" if json_mode else "text/plain"}}
+        return f"{self.url}/models/{self.model}:generateContent", body | ({"systemInstruction": {"parts": [{"text": system}]}} if system else {})
+
+    def complete(self, prompt: str, system: str = "", json_mode: bool = False) -> str:
+        url, body = self.request(prompt, system, json_mode)
+        return _post(url, body, {"x-goog-api-key": self.key}, ("candidates", 0, "content", "parts", 0, "text"), self.timeout)
 
 
 @dataclass(frozen=True)
@@ -127,31 +153,42 @@ def judged(replies: DataFrame) -> DataFrame:
     return j.where(related).select("source_id", "target_id", "score", "j.rel_type", F.coalesce("j.confidence", F.lit(0.5)).alias("confidence"), F.coalesce("j.explanation", F.lit("")).alias("explanation"), "j.concept_name", "j.concept_description")
 
 
-def typed_edges(found: DataFrame) -> DataFrame:
+def author(provider: Provider | None) -> str:
+    """Who is named as the maker of what a provider found."""
+    return f"llm:{getattr(provider, 'model', type(provider).__name__)}" if provider else "llm:rule"
+
+
+def typed_edges(found: DataFrame, created_by: str = "llm:rule") -> DataFrame:
+    """An edge for each related pair, its similarity score kept in the metadata."""
     c = F.col
-    return make_edges(found, c("source_id"), c("target_id"), c("rel_type"), "llm_connection_finder", c("confidence"), c("explanation"))
+    kept = F.create_map(F.lit("similarity_score"), c("score").cast("string"))
+    return make_edges(found, c("source_id"), c("target_id"), c("rel_type"), "llm_connection_finder", c("confidence"), c("explanation"), created_by, metadata=kept)
 
 
-def concepts(found: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def concepts(found: DataFrame, existing: DataFrame | None = None, topics: DataFrame | None = None, created_by: str = "llm:rule") -> tuple[DataFrame, DataFrame]:
     """(concepts, edges): one concept per name in any case, labelled as first seen (best pair first), with its chunks in order; PART_OF_CONCEPT edges once per (chunk, concept), with the first confidence.
 
-    Names that ``existing`` concepts (id, label) already have keep those ids.
+    Names that ``existing`` concepts (id, label) already have keep those ids. With ``topics`` (id, topic) of the chunks a
+    concept has the topic of the first chunk of its best pair.
     """
     key = F.lower(F.trim("concept_name"))
     named = found.where(F.trim(F.coalesce("concept_name", F.lit(""))) != "").withColumn("key", key)
     order = F.struct(-F.col("score"), F.col("source_id"), F.col("target_id"))
     seen = named.select("key", order.alias("o"), F.trim("concept_name").alias("label"), F.coalesce("concept_description", F.lit("")).alias("description"), "confidence", F.posexplode(F.array("source_id", "target_id")).alias("side", "chunk_id"))
-    first = seen.groupBy("key").agg(F.min_by(F.struct("label", "description"), F.col("o")).alias("f"))
+    first = seen.groupBy("key").agg(F.min_by(F.struct("label", "description", F.col("chunk_id").alias("first_id")), F.struct("o", "side")).alias("f"))
     chunk = seen.groupBy("key", "chunk_id").agg(F.min(F.struct("o", "side")).alias("at"), F.min_by("confidence", F.struct("o", "side")).alias("confidence"))
     listed = chunk.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]).alias("source_chunk_ids"))
-    nodes = first.join(listed, "key").select("key", stable_id("concept", "key").alias("new_id"), "f.label", "f.description", "source_chunk_ids")
+    nodes = first.join(listed, "key").select("key", stable_id("concept", "key").alias("new_id"), "f.label", "f.description", "f.first_id", "source_chunk_ids")
+    of = topics.select(F.col("id").alias("first_id"), "topic") if topics is not None else None
+    nodes = nodes.join(of, "first_id", "left") if of is not None else nodes.withColumn("topic", F.lit(None).cast("string"))
     if existing is not None:
         known = existing.groupBy(F.lower(F.trim("label")).alias("key")).agg(F.min("id").alias("old_id"))
         nodes = nodes.join(known, "key", "left").withColumn("new_id", F.coalesce("old_id", "new_id"))
-    nodes = nodes.select(F.col("new_id").alias("id"), F.lit("Concept").alias("type"), "key", "label", "description", "source_chunk_ids")
+    nodes = nodes.select(F.col("new_id").alias("id"), F.lit("Concept").alias("type"), "key", "label", "topic", "description", F.lit(created_by).alias("created_by"), "source_chunk_ids")
     c = F.col
-    linked = chunk.join(nodes.select("key", c("id").alias("concept_id")), "key")
-    return nodes.drop("key"), make_edges(linked, c("chunk_id"), c("concept_id"), "PART_OF_CONCEPT", "llm_connection_finder", c("confidence"))
+    linked = chunk.join(nodes.select("key", c("id").alias("concept_id"), "label"), "key")
+    told = F.concat(F.lit("Instance of concept '"), c("label"), F.lit("'"))
+    return nodes.drop("key"), make_edges(linked, c("chunk_id"), c("concept_id"), "PART_OF_CONCEPT", "llm_connection_finder", c("confidence"), told, created_by)
 
 
 def best_pairs(pairs: DataFrame, limit: int, partition: str | None = None) -> DataFrame:

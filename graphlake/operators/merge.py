@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.operators.store import GraphTables
+from graphlake.operators.store import GraphTables, enriched_points
 
 
 def contract_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
@@ -16,15 +16,22 @@ def contract_edges(edges: DataFrame, merges: DataFrame) -> DataFrame:
     target = m.select(F.col("absorb_id").alias("target_id"), F.col("keep_id").alias("t"), F.col("o").alias("to"))
     mapped = edges.join(source, "source_id", "left").join(target, "target_id", "left")
     moved = F.col("s").isNotNull() | F.col("t").isNotNull()
-    new = mapped.select(*[c for c in edges.columns if c not in ("source_id", "target_id")], F.coalesce("s", "source_id").alias("source_id"), F.coalesce("t", "target_id").alias("target_id"), moved.alias("__moved"), F.least("so", "to").alias("__o"))
-    new = new.where(~(F.col("__moved") & (F.col("source_id") == F.col("target_id"))))
-    key = Window.partitionBy("source_id", "rel_type", "target_id")
-    best = key.orderBy(F.col("__moved"), F.col("__o"), F.col("id"))
-    return new.withColumn("__r", F.row_number().over(best)).where(~F.col("__moved") | (F.col("__r") == 1)).select(*edges.columns)
+    new = mapped.where(moved).select(*[c for c in edges.columns if c not in ("source_id", "target_id")], F.coalesce("s", "source_id").alias("source_id"), F.coalesce("t", "target_id").alias("target_id"), F.least("so", "to").alias("__o"))
+    new = new.where(F.col("source_id") != F.col("target_id"))
+    key = ["source_id", "rel_type", "target_id"]
+    best = Window.partitionBy(*key).orderBy("__o", "id")
+    new = new.withColumn("__r", F.row_number().over(best)).where("__r = 1").select(*edges.columns)
+    # only keys of moved edges are compared; the edges that stay are not sorted
+    rest = mapped.where(~moved).select(*edges.columns)
+    there = rest.select(*key).join(new.select(*key), key, "left_semi")
+    return rest.unionByName(new.join(there, key, "left_anti").select(*edges.columns))
 
 
-def merge_nodes(graph: GraphTables, merges: DataFrame) -> GraphTables:
-    """Contracts nodes, edges and points; keep_id gains merged_from and aliases of the absorbed nodes that exist, in order, and their texts in its point's text."""
+def merge_nodes(graph: GraphTables, merges: DataFrame, vocab: DataFrame | None = None) -> GraphTables:
+    """Contracts nodes, edges and points; keep_id gains merged_from and aliases of the absorbed nodes that exist, in order, and their texts, joined by blanks, in its point's text.
+
+    With a vocabulary the point of each kept node is made anew of that text, dense and sparse, unless the text is blank.
+    """
     m = merges.where("keep_id <> absorb_id")
     found = m.join(graph.nodes.select(F.col("id").alias("absorb_id"), F.col("label").alias("l"), F.coalesce(F.nullif("text", F.lit("")), F.nullif("description", F.lit(""))).alias("body")), "absorb_id")
     told = found.groupBy("keep_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "absorb_id", "l", "body"))).alias("x"))
@@ -32,7 +39,10 @@ def merge_nodes(graph: GraphTables, merges: DataFrame) -> GraphTables:
     gone = m.select(F.col("absorb_id").alias("id")).distinct()
     nodes = graph.nodes.join(gone, "id", "left_anti").join(told, "id", "left")
     body = F.coalesce(F.nullif("text", F.lit("")), F.nullif("description", F.lit("")))
-    combined = F.array_join(F.concat(F.filter(F.array(body), lambda b: b.isNotNull()), F.coalesce("bodies", F.array().cast("array<string>"))), "\n\n")
+    combined = F.array_join(F.concat(F.filter(F.array(body), lambda b: b.isNotNull()), F.coalesce("bodies", F.array().cast("array<string>"))), " ")
     nodes = nodes.withColumn("embedded_text", F.when(F.col("merged_from").isNotNull(), combined)).drop("bodies")
     points = graph.points.join(gone.select(F.col("id").alias("node_id")), "node_id", "left_anti") if graph.points is not None else None
-    return GraphTables(nodes, contract_edges(graph.edges, merges), points)
+    out = GraphTables(nodes, contract_edges(graph.edges, merges), points)
+    if vocab is not None and points is not None:
+        out = out.upsert_points(enriched_points(nodes.where(F.trim("embedded_text") != ""), "embedded_text", vocab))
+    return out

@@ -7,7 +7,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.schema import REL_TYPES, make_edges, stable_id
+from graphlake.operators import tfidf
+from graphlake.operators.embed import with_embedding
+from graphlake.schema import REL_TYPES, make_edges, now, stable_id
 
 
 def overlay(old: DataFrame, batch: DataFrame, key: list[str], ordinal: str | None = None) -> DataFrame:
@@ -41,6 +43,7 @@ class GraphTables:
         return replace(self, edges=overlay(self.edges, kept, ["source_id", "rel_type", "target_id"], ordinal))
 
     def upsert_points(self, batch: DataFrame) -> GraphTables:
+        """A point of the batch takes the place of the node's old one."""
         rest = self.points.join(batch.select("node_id"), "node_id", "left_anti")
         return replace(self, points=rest.unionByName(batch, allowMissingColumns=True))
 
@@ -100,6 +103,25 @@ def edge_counts(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel_type").agg(F.count("*").alias("n")).withColumn("style", style)
 
 
+def total_relationships(edges: DataFrame) -> DataFrame:
+    """(n): all edges, as the sum of the counts by type."""
+    return edge_counts(edges).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def embed_and_upsert(graph: GraphTables, batch: DataFrame, text: str, vocab: DataFrame, ordinal: str | None = None) -> GraphTables:
+    """Points of a batch of nodes first, then the nodes: texts are embedded, weighed in the vocabulary's sparse space, and kept in the point's payload."""
+    points = enriched_points(batch, text, vocab)
+    return (graph if graph.points is None else graph.upsert_points(points)).upsert_nodes(batch, ordinal)
+
+
+def enriched_points(batch: DataFrame, text: str, vocab: DataFrame) -> DataFrame:
+    """(node_id, dense, sparse, payload) of nodes (id, type, label, topic and a text); sparse is null where no term is in the vocabulary."""
+    told = batch.select(F.col("id").alias("node_id"), "type", "label", "topic", F.coalesce(text, F.lit("")).alias("text"))
+    sparse = tfidf.as_struct(tfidf.transform(told, vocab, "node_id", "text"), vocab, "node_id")
+    payload = F.struct("type", "label", "topic", now().alias("created_at"), "text").alias("payload")
+    return with_embedding(told, "text").join(sparse, "node_id", "left").select("node_id", "dense", "sparse", payload)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(id, degree): incident edges of each node, a loop once."""
     ends = edges.select(F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"))

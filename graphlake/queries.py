@@ -197,18 +197,15 @@ _PACKED = rf"""paras AS (SELECT doc_id, section_order, list_transform(list_filte
 @query(f"WITH {_SECTIONS}, {_PACKED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section_order, piece) - 1 AS INTEGER) AS order_index, CAST(n_words AS INTEGER) AS word_count, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS label, md5(text) AS digest FROM kept")
 def pack_chunks(spark, sf):
     docs = table(spark, sf, "documents").select(c("doc_id").cast("string").alias("id"), F.lit("t").alias("label"), "topic", "text")
-    found = chunking.split_sections(docs, "id", "text")
-    texts = found.select("id", "section_order", F.posexplode(chunking.packed(T.paragraphs(c("body")), 180, 30)).alias("piece", "text")).withColumn("word_count", T.word_count(c("text"))).where("word_count >= 15")
-    order = Window.partitionBy("id").orderBy("section_order", "piece")
-    return texts.select(c("id").cast("long").alias("doc_id"), (F.row_number().over(order) - 1).alias("order_index"), "word_count", T.truncated_label(c("text")).alias("label"), F.md5("text").alias("digest"))
+    packed = chunking.packed_chunks(chunking.split_sections(docs, "id", "text"), "id")
+    return packed.select(c("id").cast("long").alias("doc_id"), "order_index", "word_count", T.truncated_label(c("text")).alias("label"), F.md5("text").alias("digest"))
 
 
 _CHAIN = f"chain AS (SELECT id, book_id, section_id, order_index, lag(id) OVER w AS prev_id, lead(id) OVER w AS next_id FROM {_v('chunks')} WINDOW w AS (PARTITION BY book_id ORDER BY order_index, id))"
 
 
 def _chained(spark, sf):
-    w = Window.partitionBy("book_id").orderBy("order_index", "id")
-    return _chunks(spark, sf).withColumn("prev_chunk_id", F.lag("id").over(w)).withColumn("next_chunk_id", F.lead("id").over(w))
+    return chunking.chunk_chain(_chunks(spark, sf), "book_id", "order_index", "id")
 
 
 @query(f"WITH {_CHAIN} SELECT id, prev_id, next_id FROM chain")
@@ -363,13 +360,13 @@ def sparse_cosine(spark, sf):
     return similarity.sparse_search(_long_asked(spark, sf), _long(_points(spark, sf), "node_id"), None, False)
 
 
-_HYBRID = f"""{_POINTS}, {_DENSE}, {_SPARSE}, top AS (SELECT * FROM dn QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) <= 50),
+_HYBRID = f"""{_POINTS}, {_DENSE}, {_SPARSE},
  cs AS (SELECT query_id, sp.node_id, round(dot / (a.n * b.n + 1e-12), 6) AS s FROM sp JOIN nm a ON a.node_id = query_id JOIN nm b ON b.node_id = sp.node_id),
- hy AS (SELECT query_id, node_id, round(score * CAST(0.6 AS DOUBLE) + coalesce(s, 0) * CAST(0.4 AS DOUBLE), 6) AS score FROM top LEFT JOIN cs USING (query_id, node_id))"""
+ hy AS (SELECT query_id, node_id, round(coalesce(score, 0) * CAST(0.6 AS DOUBLE) + coalesce(s, 0) * CAST(0.4 AS DOUBLE), 6) AS score FROM dn FULL JOIN cs USING (query_id, node_id))"""
 
 
 def _hybrid(spark, sf, k=None, least=None):
-    # all pairs, while the SQL takes each query's 50 nearest by the dense score
+    # all pairs; what one side lacks counts as 0
     points = _points(spark, sf).select("node_id", "dense", F.when(c("sparse").isNotNull(), similarity.sparse_terms(c("sparse"))).alias("packed"))
     asked = points.join(_seeds(spark, sf).withColumnRenamed("query_id", "node_id"), "node_id", "left_semi").withColumnRenamed("node_id", "query_id")
     return similarity.pair_scores(asked, points, k, least)
@@ -386,13 +383,9 @@ def hybrid_pairs(spark, sf):
 SELECT least(query_id, node_id) AS source_id, greatest(query_id, node_id) AS target_id, max(score) AS score FROM near GROUP BY 1, 2""")
 def topk_candidates(spark, sf):
     order = Window.partitionBy("book_id").orderBy("order_index", "id")
-    pos = _chunks(spark, sf).select(c("id").alias("node_id"), "book_id", F.row_number().over(order).alias("p"))
+    position = _chunks(spark, sf).select(c("id").alias("node_id"), c("book_id").alias("part"), F.row_number().over(order).alias("position"))
     # a chunk has at most two neighbours to be masked, so the best 8 + 2 hold the best 8 of the rest
-    scores = _hybrid(spark, sf, 10, 0.3)
-    a = pos.select(c("node_id").alias("query_id"), c("book_id").alias("b1"), c("p").alias("p1"))
-    scores = scores.join(a, "query_id", "left").join(pos, "node_id", "left")
-    scores = scores.where(~F.coalesce((c("b1") == c("book_id")) & (F.abs(c("p1") - c("p")) <= 1), F.lit(False))).select("query_id", "node_id", "score")
-    return similarity.top_candidates(scores, 8, 0.3)
+    return similarity.top_candidates(_hybrid(spark, sf, 10, 0.3), 8, 0.3, position)
 
 
 @query(f"""WITH {_POINTS}, {_DENSE}, {_SPARSE},
@@ -542,8 +535,8 @@ def graph_merge(spark, sf):
     return merge.contract_edges(_edges(spark, sf), _merges(spark, sf)).select("id", "source_id", "target_id", "rel_type")
 
 
-@query(f"""WITH {_NODES}, {_MERGES}, a AS (SELECT keep_id, string_agg(absorb_id, ',' ORDER BY ordinal) AS merged_from, string_agg(n.description, chr(10) || chr(10) ORDER BY ordinal) FILTER (n.description <> '') AS bodies FROM mm JOIN nodes n ON n.id = absorb_id GROUP BY 1)
-SELECT id, merged_from, array_to_string(list_filter([nullif(description, ''), bodies], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS embedded_text FROM nodes JOIN a ON a.keep_id = id""")
+@query(f"""WITH {_NODES}, {_MERGES}, a AS (SELECT keep_id, string_agg(absorb_id, ',' ORDER BY ordinal) AS merged_from, string_agg(n.description, ' ' ORDER BY ordinal) FILTER (n.description <> '') AS bodies FROM mm JOIN nodes n ON n.id = absorb_id GROUP BY 1)
+SELECT id, merged_from, array_to_string(list_filter([nullif(description, ''), bodies], lambda x: x IS NOT NULL), ' ') AS embedded_text FROM nodes JOIN a ON a.keep_id = id""")
 def merge_nodes(spark, sf):
     graph = merge.merge_nodes(store.GraphTables(_nodes(spark, sf), _edges(spark, sf), _points(spark, sf)), _merges(spark, sf))
     return graph.nodes.where("merged_from is not null").select("id", F.array_join("merged_from", ",").alias("merged_from"), "embedded_text")

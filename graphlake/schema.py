@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,8 +43,13 @@ def stable_id(prefix: str, *parts: Column | str) -> Column:
     return F.concat(F.lit(prefix + "_"), F.substring(F.md5(key), 1, 12))
 
 
-def make_edges(df: DataFrame, source: Column, target: Column, rel_type: Column | str, method: str, weight: Column | float = 1.0, explanation: Column | str = "", created_by: str = "pipeline", created_at: Column | None = None) -> DataFrame:
-    """Edges with the defaults of the edge schema and ids made of their identity."""
+def now() -> Column:
+    """Seconds since the epoch, the same for all rows of a query."""
+    return F.unix_micros(F.current_timestamp()) / 1e6
+
+
+def make_edges(df: DataFrame, source: Column, target: Column, rel_type: Column | str, method: str, weight: Column | float = 1.0, explanation: Column | str = "", created_by: Column | str = "pipeline", created_at: Column | None = None, metadata: Column | None = None) -> DataFrame:
+    """Edges with the defaults of the edge schema and ids made of their identity; made now unless told otherwise."""
     rel = F.lit(rel_type) if isinstance(rel_type, str) else rel_type
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return df.select(
@@ -54,12 +60,33 @@ def make_edges(df: DataFrame, source: Column, target: Column, rel_type: Column |
         F.lit(method).alias("method"),
         as_column(weight).cast("double").alias("weight"),
         as_column(explanation).alias("explanation"),
-        F.lit(created_by).alias("created_by"),
-        (created_at if created_at is not None else F.lit(None)).cast("double").alias("created_at"),
-        F.lit(None).cast("map<string,string>").alias("metadata"),
+        as_column(created_by).alias("created_by"),
+        (created_at if created_at is not None else now()).cast("double").alias("created_at"),
+        (metadata if metadata is not None else F.lit(None)).cast("map<string,string>").alias("metadata"),
     )
 
 
+#: Tables of a graph.
+TABLES = {"nodes": NODE, "edges": EDGE, "points": POINT}
+
+
+def ensure_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table below path, made empty if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+        return spark.read.schema(schema).parquet(path)
+
+
+def bootstrap(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """All tables of a graph below root, made if absent; nodes that break uniqueness are an error. Running it again changes nothing."""
+    tables = {name: ensure_table(spark, f"{root}/{name}", schema) for name, schema in TABLES.items()}
+    if (twice := duplicate_keys(tables["nodes"]).first()) is not None:
+        raise ValueError(f"node {twice['id']} is there {twice['n']} times")
+    return tables
+
+
 def duplicate_keys(nodes: DataFrame) -> DataFrame:
     """(type, id, n) of keys that break uniqueness; empty if the schema's constraint holds."""
     return nodes.groupBy("type", "id").agg(F.count("*").alias("n")).where("n > 1")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
+from graphlake.sources import http
 
 # fixed values: catalogue number, title, author
 BOOKS = [
@@ -45,6 +46,10 @@ TOPICS = [
 ]
 
 
+# fixed values: where a text may lie, in the order to try
+URLS = ["https://www.gutenberg.org/cache/epub/{id}/pg{id}.txt", "https://www.gutenberg.org/files/{id}/{id}-0.txt", "https://www.gutenberg.org/files/{id}/{id}.txt"]
+
+
 def catalog(spark: SparkSession) -> DataFrame:
     """(topic, position, gutenberg_id, title, author)."""
     topics = spark.createDataFrame(TOPICS, "topic string, ids array<int>").select("topic", F.posexplode("ids").alias("position", "gutenberg_id"))
@@ -65,8 +70,9 @@ def topics_without_hits(listed: DataFrame, fetched: DataFrame) -> DataFrame:
     return listed.select("topic").distinct().join(fetched.select("topic").distinct(), "topic", "left_anti")
 
 
-def download(wanted: DataFrame, urls: list[str], get: Callable[[str], tuple[int, bytes]]) -> DataFrame:
-    """(gutenberg_id, text) by the first url pattern that answers 200 with content; ``get`` is the caller's, as clusters reach the net in their own ways."""
+def download(wanted: DataFrame, urls: list[str] | None = None, get: Callable[[str], tuple[int, bytes]] = http.get) -> DataFrame:
+    """(gutenberg_id, text) by the first url pattern that answers 200 with content; clusters that reach the net in their own way give their own ``get``."""
+    urls = URLS if urls is None else urls
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

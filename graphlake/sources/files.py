@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlake.config import DEFAULTS, Settings
+from graphlake.config import DEFAULTS, LANGUAGES, Settings
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -14,7 +19,8 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def language_for_path(path: Column) -> Column:
-    return F.when(path.endswith(".py"), "python")
+    """The registered language of a path's suffix, else null."""
+    return F.coalesce(*[F.when(path.endswith(suffix), name) for suffix, name in LANGUAGES.items()])
 
 
 def module_path(path: Column) -> Column:
@@ -40,9 +46,26 @@ def read_source_tree(spark: SparkSession, root: str, repo: str, settings: Settin
     return files.select(F.concat(F.lit("file_"), F.substring(F.md5(F.concat(F.lit(repo), F.lit("|"), F.col("rel"))), 1, 12)).alias("file_id"), F.lit(repo).alias("repo"), F.col("rel").alias("path"), module_path(F.col("rel")).alias("module_path"), language_for_path(F.col("rel")).alias("language"), F.regexp_count(content, F.lit("\n")).alias("newlines"), content.alias("content")).withColumn("loc", F.col("newlines") + 1).drop("newlines")
 
 
-def write_raw_texts(books: DataFrame, path: str) -> None:
-    """topic/<parts> with file name and text, one folder per topic."""
-    books.write.mode("overwrite").partitionBy("topic").parquet(path)
+def write_raw_texts(books: DataFrame, root: str) -> DataFrame:
+    """Writes each text to root/<topic>/<file_name> and gives (topic, file_name, n_bytes); books has topic, file_name and text.
+
+    Files are written by the tasks that hold the texts, on any file system that pyarrow knows by its URI; a retried task writes the same
+    file again. Null texts are left out.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + os.path.abspath(root))
+        for b in batches:
+            sizes = []
+            for topic, name, text in zip(b["topic"], b["file_name"], b["text"], strict=True):
+                body = text.encode("utf-8", "replace")
+                where.create_dir(f"{base}/{topic}", recursive=True)
+                with where.open_output_stream(f"{base}/{topic}/{name}") as out:
+                    out.write(body)
+                sizes.append(len(body))
+            yield pd.DataFrame({"topic": b["topic"], "file_name": b["file_name"], "n_bytes": sizes})
+
+    return books.select("topic", "file_name", "text").where("text is not null").mapInPandas(write, "topic string, file_name string, n_bytes long")
 
 
 def json_report(df: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
-from graphlake.operators import chunking, code_parser, judge, merge, resolve, similarity, store, tfidf, traverse
+from graphlake import schema
+from graphlake.operators import chunking, code_parser, embed, judge, merge, resolve, similarity, store, tfidf, traverse
 from graphlake.operators.embed import HashingEmbedder
 from graphlake.operators.ranking import group_ranks
 from graphlake.plans import answer, ingest
 from graphlake.queries import QUERIES
-from graphlake.sources import catalog, files
+from graphlake.sources import catalog, files, http
 from graphlake.sources.tables import latest_rows
 from graphlake.streaming.incremental import read_version, stream_upserts
 
@@ -202,7 +203,7 @@ def test_merge_contracts(spark, graph):
     assert ids == {"a", "d", "e"} and rows(done.points, "node_id") == [("a",)]
     assert rows(done.edges, "id", "source_id", "target_id") == [("2", "a", "a"), ("5", "d", "gone"), ("6", "a", "d")]
     kept = done.nodes.where("id = 'a'").first()
-    assert kept["merged_from"] == ["b", "c"] and kept["new_aliases"] == ["B", "C"] and kept["embedded_text"] == "about a\n\nabout b\n\nabout c"
+    assert kept["merged_from"] == ["b", "c"] and kept["new_aliases"] == ["B", "C"] and kept["embedded_text"] == "about a about b about c"
 
 
 def test_judging(spark):
@@ -365,3 +366,106 @@ def test_streaming_upserts(spark, tmp_path):
     spark.createDataFrame([("b", 9, "w")], batch.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream_upserts(spark, str(tmp_path / "in"), batch.schema, str(tmp_path / "out"), str(tmp_path / "state"), ["id"], "seq").awaitTermination(120)
     assert rows(read_version(spark, str(tmp_path / "out"), 1), "id", "t") == [("a", "y"), ("b", "w")]
+
+
+def test_whole_runs_write_and_repeat(spark, tmp_path):
+    text = "\n\n".join(" ".join(f"wing{k % 9} spar{k % 7} rib" for k in range(70)) for _ in range(4))
+    texts = spark.createDataFrame([(g, text + f" unlike{g}") for g in (66702, 907, 874)], "gutenberg_id int, text string")
+    root = str(tmp_path / "graph")
+    counts = []
+    for _ in range(2):
+        run = ingest.run_books(spark, texts, root)
+        assert run.elapsed_seconds > 0 and "thermal" in run.without_hits and "communications" not in run.without_hits
+        counts.append((run.graph.nodes.count(), run.graph.edges.count(), run.graph.points.count()))
+        assert {r["pass_topic"] for r in run.connections.collect()} == {"aeronautical", "communications", "data_systems", "electrical"}
+    assert counts[0] == counts[1] and counts[0][2] > 8
+    saved = ingest.load_graph(spark, root)
+    assert {"Book", "Section", "Chunk"} <= {r["type"] for r in saved.nodes.collect()}
+    assert saved.points.where("dense is null or sparse is null and payload.type = 'Chunk'").count() == 0
+    code = spark.createDataFrame([("f", "r", "m.py", "m", "python", 3, SOURCE, "t")], "file_id string, repo string, path string, module_path string, language string, loc int, content string, topic string")
+    after = ingest.run_code(spark, code, root)
+    assert after.graph.points.count() == counts[0][2] + 6 and after.graph.edges.where("rel_type = 'CALLS'").count() > 0
+
+
+def test_tables_are_made_once(spark, tmp_path):
+    root = str(tmp_path / "new")
+    assert all(t.count() == 0 for t in schema.bootstrap(spark, root).values())
+    spark.createDataFrame([("a", "Book"), ("a", "Book")], "id string, type string").write.mode("overwrite").parquet(f"{root}/nodes")
+    with pytest.raises(ValueError, match="node a"):
+        schema.bootstrap(spark, root)
+
+
+def test_points_follow_their_nodes(spark, graph):
+    vocab = spark.createDataFrame([("about", 1, 1.0), ("wing", 1, 2.0), ("b", 1, 1.0)], "term string, df long, idf double")
+    points = spark.createDataFrame([(x, [1.0], None, None) for x in "abc"], "node_id string, dense array<float>, sparse struct<indices array<int>, values array<double>>, payload struct<type string, label string, topic string, created_at double, text string>")
+    full = store.GraphTables(graph.nodes.withColumn("topic", F.lit("t")), graph.edges, points)
+    batch = spark.createDataFrame([("Concept", "a", "A", "t", "a wing"), ("Concept", "new", "N", "t", None)], "type string, id string, label string, topic string, text string")
+    got = {r["node_id"]: r for r in store.embed_and_upsert(full, batch, "text", vocab).points.collect()}
+    assert set(got) == {"a", "b", "c", "new"} and len(got["a"]["dense"]) == 64 and got["a"]["sparse"]["values"] == [1.0] and got["new"]["sparse"] is None
+    assert got["a"]["payload"]["text"] == "a wing" and got["b"]["dense"] == [1.0]
+    merges = spark.createDataFrame([("a", "b", 1)], "keep_id string, absorb_id string, ordinal int")
+    kept = {r["node_id"]: r for r in merge.merge_nodes(full, merges, vocab).points.collect()}
+    assert set(kept) == {"a", "c"} and len(kept["a"]["dense"]) == 64 and kept["a"]["payload"]["text"] == "about a about b"
+
+
+def test_small_scalars(spark):
+    df = spark.createDataFrame([({"id": "1", "year": "1913"}, "why", 0.5), (None, "", 1.0), ({}, None, 1.0)], "m map<string,string>, e string, w double")
+    assert [tuple(r) for r in df.select(T.shown_metadata(F.col("m")), T.explained(F.col("e"), F.col("w"))).collect()] == [({"year": "1913"}, "why (weight 0.50)"), (None, None), ({}, None)]
+    assert (embed.embed_one("wing spar") == HashingEmbedder(64).embed(["wing spar"])[0]).all()
+    weights = spark.createDataFrame([("a", "wing", 1.0), ("a", "spar", 2.0), ("b", "wing", -3.0)], "key string, term string, weight double")
+    dense = {r["key"]: r["dense"] for r in embed.hashed_vectors(weights, "key", 8).collect()}
+    assert sum(map(abs, dense["b"])) == 3.0 and len(dense["a"]) == 8
+
+
+def test_http_retries_with_growing_pauses():
+    waited, asked = [], []
+
+    def opener(url, timeout, agent):
+        asked.append(url)
+        if len(asked) < 3:
+            raise OSError("down")
+        return 200, b"body"
+
+    assert http.get("u", opener=opener, pause=waited.append) == (200, b"body") and waited == [2.0, 4.0]
+    assert http.get("u", retries=2, opener=lambda *a: (404, b"x"), pause=waited.append) == (404, b"")
+
+    def down(*a):
+        raise TimeoutError
+
+    assert http.get("u", retries=1, opener=down, pause=waited.append) == (0, b"")
+
+
+def test_raw_texts_and_cloud_requests(spark, tmp_path):
+    books = spark.createDataFrame([("t", "1_a.txt", "Wings é"), ("u", "2_b.txt", "x"), ("u", "3_c.txt", None)], "topic string, file_name string, text string")
+    assert rows(files.write_raw_texts(books, str(tmp_path / "raw"))) == [("t", "1_a.txt", 8), ("u", "2_b.txt", 1)]
+    assert (tmp_path / "raw" / "t" / "1_a.txt").read_text() == "Wings é"
+    url, body = judge.CloudProvider("https://host/v1", "m", "k").request("p", "s", True)
+    assert url == "https://host/v1/models/m:generateContent" and body["generationConfig"]["responseMimeType"] == "application/json"
+    with pytest.raises(ValueError, match="key"):
+        judge.CloudProvider("https://host/v1", "m", "")
+
+
+def test_registered_languages(spark, monkeypatch):
+    monkeypatch.setitem(code_parser.LANGUAGES, ".zz", "zed")
+    df = spark.createDataFrame([("f", "a.zz", "a", "one\ntwo"), ("g", "b.py", "b", "x = 1")], "file_id string, path string, module_path string, content string")
+    assert rows(df.select("path", files.language_for_path(F.col("path")))) == [("a.zz", "zed"), ("b.py", "python")]
+    assert code_parser._parser("a.zz") is code_parser._whole and code_parser._parser("b.py") is code_parser.parse_file
+    assert rows(code_parser.parse_symbols(df), "file_id", "kind", "end_line") == [("f", "module", 2), ("g", "module", 1)]
+
+
+def test_edges_are_dated_and_judged_edges_keep_their_score(spark):
+    found = spark.createDataFrame([("a", "b", 0.75, "SUPPORTS", 0.5, "why", "Lift", "x")], "source_id string, target_id string, score double, rel_type string, confidence double, explanation string, concept_name string, concept_description string")
+    edge = judge.typed_edges(found, "llm:m").first()
+    assert edge["created_at"] > 1.6e9 and edge["created_by"] == "llm:m" and edge["metadata"] == {"similarity_score": "0.75"}
+    nodes, edges = judge.concepts(found, None, spark.createDataFrame([("a", "t")], "id string, topic string"), "llm:m")
+    assert nodes.first()["topic"] == "t" and {r["explanation"] for r in edges.collect()} == {"Instance of concept 'Lift'"}
+
+
+def test_pass_takes_the_first_positions(spark):
+    data = [(f"c{i}", [1.0, 0.01 * i]) for i in range(9)]
+    points = spark.createDataFrame([(x, v + [0.0] * 62) for x, v in data], "node_id string, dense array<float>")
+    terms = spark.createDataFrame([(x, "wing", 1.0) for x, _ in data], "id string, term string, weight double")
+    chunks = spark.createDataFrame([(x, "t", "text", {"book_title": "b"}, i) for i, (x, _) in enumerate(data)], "id string, topic string, text string, metadata map<string,string>, position int")
+    out = ingest.connection_pass(chunks, points, terms, max_chunks=4)
+    assert {x for r in out.pairs.collect() for x in (r["source_id"], r["target_id"])} == {"c0", "c1", "c2", "c3"}
+    assert out.united().count() == out.edges.count() + out.concept_edges.count()
