@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,8 +85,16 @@ def shown_metadata(c: Column, hidden: list[str] = CORE_KEYS) -> Column:
 
 
 def explained(explanation: Column, weight: Column) -> Column:
-    """An explanation with its weight in two decimals; null where there is none."""
-    return F.when(explanation != "", F.format_string("%s (weight %.2f)", explanation, weight))
+    """An explanation with its weight in two decimals; null where one of them is missing.
+
+    The decimals are those of the weight's exact binary value, where the JVM would round its shortest decimal form.
+    """
+
+    @F.pandas_udf("string")
+    def decimals(w: pd.Series) -> pd.Series:
+        return w.map(lambda x: f"{x:.2f}", na_action="ignore")
+
+    return F.when(explanation != "", F.concat(explanation, F.lit(" (weight "), decimals(weight), F.lit(")")))
 
 
 def flattened_metadata(c: Column) -> Column:

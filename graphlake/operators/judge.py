@@ -95,12 +95,15 @@ def provider_for(role: str, roles: dict[str, Provider]) -> Provider:
     return roles[role]
 
 
+PAIR_QUESTION = "Are they related, and how? Answer in JSON with related, rel_type, confidence, explanation, concept_name, concept_description."
+
+
 def pair_prompts(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     """pairs (source_id, target_id, score) with both passages and the prompt about them."""
     side = lambda n: chunks.select(F.col("id").alias(f"{n}_id"), F.col("topic").alias(f"{n}_topic"), F.coalesce(F.col("metadata")["book_title"], F.lit("?")).alias(f"{n}_book"), F.substring("text", 1, 900).alias(f"{n}_text"))
     both = pairs.join(side("source"), "source_id").join(side("target"), "target_id")
     prompt = F.format_string(
-        "Passage 1 (topic: %s, book: %s)\n%s\n\nPassage 2 (topic: %s, book: %s)\n%s\n\nAre they related, and how? Answer in JSON with related, rel_type, confidence, explanation, concept_name, concept_description.",
+        "Passage 1 (topic: %s, book: %s)\n%s\n\nPassage 2 (topic: %s, book: %s)\n%s\n\n" + PAIR_QUESTION,
         *[F.coalesce(F.col(f"{n}_{x}"), F.lit("")) for n in ("source", "target") for x in ("topic", "book", "text")],
     )
     return both.withColumn("prompt", prompt)

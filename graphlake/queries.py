@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlake.functions import text as T
 from graphlake.functions import vector as V
-from graphlake.operators import chunking, code_parser, judge, merge, resolve, similarity, store, tfidf, traverse
+from graphlake.operators import chunking, code_parser, embed, judge, merge, resolve, similarity, store, tfidf, traverse
 from graphlake.operators.ranking import group_ranks
 from graphlake.plans import answer, ingest
 from graphlake.schema import duplicate_keys, make_edges
@@ -152,10 +152,15 @@ def collection_stats(spark, sf):
 # --- text and chunking -----------------------------------------------------------------------------------------
 
 _BANNERED = "'*** START OF THIS PROJECT GUTENBERG EBOOK X ***' || chr(13) || chr(10) || text || chr(10) || '*** END OF THIS PROJECT GUTENBERG EBOOK X ***' || chr(10) || 'more'"
-_CLEAN = _strip(rf"regexp_replace(regexp_replace({_BANNERED}, '(?is)^.*?\*\*\*\s*START OF (THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*', ''), '(?is)\*\*\*\s*END OF (THE|THIS) PROJECT GUTENBERG EBOOK.*$', '')")
 
 
-@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace({_CLEAN}, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS digest FROM documents")
+
+def _cleaned(x: str) -> str:
+    body = _strip(rf"regexp_replace(regexp_replace({x}, '(?is)^.*?\*\*\*\s*START OF (THE|THIS) PROJECT GUTENBERG EBOOK.*?\*\*\*', ''), '(?is)\*\*\*\s*END OF (THE|THIS) PROJECT GUTENBERG EBOOK.*$', '')")
+    return rf"regexp_replace(regexp_replace({body}, '\r\n?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
+
+
+@query(f"SELECT doc_id, md5({_cleaned(_BANNERED)}) AS digest FROM documents")
 def clean_text(spark, sf):
     mark = F.concat(F.lit("*** START OF THIS PROJECT GUTENBERG EBOOK X ***\r\n"), c("text"), F.lit("\n*** END OF THIS PROJECT GUTENBERG EBOOK X ***\nmore"))
     return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_text(mark)).alias("digest"))
@@ -164,7 +169,13 @@ def clean_text(spark, sf):
 # fixed values: the patterns of headings
 _IS_HEADING = rf"""(length(s) BETWEEN 1 AND 90 AND (regexp_matches(s, '(?i)^(CHAPTER|PART|SECTION|BOOK){_SPACE}+[IVXLCDM\p{{Nd}}]+\.?{_SPACE}*[:.\-]?{_SPACE}*[^\n]*$')
  OR (regexp_matches(s, '^[A-Z][A-Z0-9 ,''\-:]{{3,70}}$') AND len(regexp_split_to_array(s, '{_SPACE}+')) <= 12)))"""
-_LINES = f"lines AS (SELECT doc_id, pos, line, {_strip('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents))"
+
+
+def _lines(source: str) -> str:
+    return f"lines AS (SELECT doc_id, pos, line, {_strip('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {source}))"
+
+
+_LINES = _lines("documents")
 
 
 @query(f"WITH {_LINES} SELECT doc_id, pos - 1 AS pos, s AS title FROM lines WHERE {_IS_HEADING}")
@@ -173,10 +184,11 @@ def line_headings(spark, sf):
     return lines.where(T.is_heading(c("line"))).select("doc_id", c("pos").cast("long").alias("pos"), T.strip(c("line")).alias("title"))
 
 
-_SECTIONS = f"""{_LINES}, marked AS (SELECT *, {_IS_HEADING} AS head FROM lines),
+_SECTIONS_OF = f"""marked AS (SELECT *, {_IS_HEADING} AS head FROM lines),
  numbered AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec FROM marked),
  grouped AS (SELECT doc_id, sec, max(CASE WHEN head THEN s END) AS title, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head) AS body, count(*) FILTER (NOT head) AS n FROM numbered GROUP BY doc_id, sec),
  sections_v AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS INTEGER) AS section_order, coalesce(title, 'Full Text') AS title, body FROM grouped WHERE n > 0)"""
+_SECTIONS = f"{_LINES}, {_SECTIONS_OF}"
 
 
 @query(f"WITH {_SECTIONS} SELECT doc_id, section_order, title, md5(body) AS digest FROM sections_v")
@@ -250,7 +262,10 @@ def json_report(spark, sf):
     return file_sources.json_report(table(spark, sf, "doc_labels").groupBy(F.lower("label").alias("label")).agg(F.count("*").alias("n")))
 
 
-@query()
+_SHA = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('node:' || node_id))"
+
+
+@query(f"SELECT node_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr(h, 17, 1)), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS point_id FROM (SELECT node_id, {_SHA} AS h FROM {_v('points')})")
 def point_ids(spark, sf):
     return _points(spark, sf).select("node_id", T.point_id(c("node_id")).alias("point_id"))
 
@@ -545,9 +560,10 @@ def merge_nodes(spark, sf):
 # --- judged relationships --------------------------------------------------------------------------------------
 
 _PICK = "CAST(('0x' || substr(md5(source_id || '|' || target_id), 1, 4)) AS INTEGER)"
-_JUDGED = f"""{_EDGES}, pairs AS (SELECT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, max(round(weight, 6)) AS score FROM edges_v WHERE method = 'llm_connection_finder' AND rel_type <> 'PART_OF_CONCEPT' AND weight IS NOT NULL GROUP BY 1, 2),
- rep AS (SELECT *, {_PICK} AS pick, ['RELATES_TO', 'SUPPORTS', 'CONTRADICTS', 'ELABORATES', 'PREREQUISITE_OF', 'HAS_CHUNK'][{_PICK} % 6 + 1] AS rel_type FROM pairs),
+_REPLIES = f"""rep AS (SELECT *, {_PICK} AS pick, ['RELATES_TO', 'SUPPORTS', 'CONTRADICTS', 'ELABORATES', 'PREREQUISITE_OF', 'HAS_CHUNK'][{_PICK} % 6 + 1] AS rel_type FROM pairs),
  found AS (SELECT source_id, target_id, score, rel_type, round(score, 3) AS confidence, CASE WHEN pick % 3 = 0 THEN 'Idea ' || (pick % 7) END AS concept_name FROM rep WHERE score >= 0.5 AND rel_type <> 'HAS_CHUNK')"""
+_JUDGED = f"""{_EDGES}, pairs AS (SELECT least(source_id, target_id) AS source_id, greatest(source_id, target_id) AS target_id, max(round(weight, 6)) AS score FROM edges_v WHERE method = 'llm_connection_finder' AND rel_type <> 'PART_OF_CONCEPT' AND weight IS NOT NULL GROUP BY 1, 2),
+ {_REPLIES}"""
 
 
 def _found(spark, sf):
@@ -566,8 +582,9 @@ def typed_edges(spark, sf):
     return judge.typed_edges(_found(spark, sf)[1]).select("id", "source_id", "target_id", "rel_type", "method", "weight", "explanation")
 
 
-_SEEN = f"""{_JUDGED}, seen AS (SELECT lower(concept_name) AS key, concept_name AS label, score, source_id, target_id, side, CASE WHEN side = 0 THEN source_id ELSE target_id END AS chunk_id, confidence FROM found, (VALUES (0), (1)) AS s(side) WHERE concept_name IS NOT NULL),
+_SEEN_OF = """seen AS (SELECT lower(concept_name) AS key, concept_name AS label, score, source_id, target_id, side, CASE WHEN side = 0 THEN source_id ELSE target_id END AS chunk_id, confidence FROM found, (VALUES (0), (1)) AS s(side) WHERE concept_name IS NOT NULL),
  first AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY key, chunk_id ORDER BY score DESC, source_id, target_id, side) = 1)"""
+_SEEN = f"{_JUDGED}, {_SEEN_OF}"
 
 
 @query(f"WITH {_SEEN} SELECT 'concept_' || substr(md5(key), 1, 12) AS id, min(label) AS label, string_agg(chunk_id, ',' ORDER BY score DESC, source_id, target_id, side) AS chunk_ids FROM first GROUP BY key")
@@ -604,16 +621,18 @@ def code_symbols(spark, sf):
     return code_parser.parse_symbols(_code_files(spark, sf)).drop("text")
 
 
-@query()
+@query(f"""WITH s AS (SELECT id, coalesce(parent_symbol_id, file_id) AS up, lead(id) OVER (PARTITION BY file_id ORDER BY order_index, id) AS next_id FROM {_v("code_symbols")}),
+ e AS (SELECT up AS source_id, id AS target_id, 'HAS_CHUNK' AS rel_type FROM s UNION ALL SELECT id, next_id, 'NEXT_CHUNK' FROM s WHERE next_id IS NOT NULL)
+SELECT {_EDGE_ID.format(s="source_id", r="rel_type", t="target_id")} AS id, source_id, target_id, rel_type, 'structural' AS method, CAST(1.0 AS DOUBLE) AS weight FROM e""")
 def symbol_edges(spark, sf):
-    return code_parser.symbol_edges(code_parser.parse_symbols(_code_files(spark, sf)))
+    return code_parser.symbol_edges(valid(spark, sf, "code_symbols")).select("id", "source_id", "target_id", "rel_type", "method", "weight")
 
 
 @query()
-def static_edges(spark, sf):
+def parsed_static_edges(spark, sf):
     files = _code_files(spark, sf)
     parsed = cut_lineage(code_parser.parse_files(files))
-    return resolve.static_edges(files, code_parser.symbols_of(parsed), code_parser.imports_table(parsed))
+    return resolve.static_edges(files, code_parser.symbols_of(parsed), code_parser.imports_table(parsed)).select("id", "source_id", "target_id", "rel_type", "method", "weight")
 
 
 _SYMBOLS = f"sy AS (SELECT id, file_id, parent_symbol_id, kind, name, qualified_name, order_index, base_classes, calls_raw FROM {_v('code_symbols')}), named AS (SELECT * FROM sy WHERE kind <> 'module')"
@@ -635,47 +654,109 @@ def _import_table(spark, sf):
 _MODULES = r"mods AS (SELECT DISTINCT ON (file_id) file_id, path, replace(regexp_replace(regexp_replace(path, '\.[^./]+$', ''), '(^|/)__init__$', ''), '/', '.') AS module_path FROM source_files), lastmod AS (SELECT module_path, max_by(file_id, path || chr(0) || file_id) AS module_file FROM mods GROUP BY 1)"
 
 
-@query(f"""WITH {_IMPORTS}, {_MODULES}, c AS (SELECT DISTINCT candidate, string_split(candidate, '.') AS p FROM it), pre AS (SELECT candidate, n, array_to_string(p[1:n], '.') AS module_path FROM (SELECT candidate, p, unnest(range(0, len(p) + 1)) AS n FROM c)),
- best AS (SELECT candidate, max_by(module_file, n) AS module_file FROM pre JOIN lastmod USING (module_path) GROUP BY 1) SELECT file_id, local, candidate, module_file FROM it LEFT JOIN best USING (candidate)""")
+_LINKED = f"""{_MODULES}, c AS (SELECT DISTINCT candidate, string_split(candidate, '.') AS p FROM it), pre AS (SELECT candidate, n, array_to_string(p[1:n], '.') AS module_path FROM (SELECT candidate, p, unnest(range(0, len(p) + 1)) AS n FROM c)),
+ best AS (SELECT candidate, max_by(module_file, n) AS module_file FROM pre JOIN lastmod USING (module_path) GROUP BY 1), linked AS (SELECT file_id, local, candidate, module_file FROM it LEFT JOIN best USING (candidate))"""
+
+
+@query(f"WITH {_IMPORTS}, {_LINKED} SELECT * FROM linked")
 def import_longest_prefix(spark, sf):
     files = table(spark, sf, "source_files").dropDuplicates(["file_id"]).select("file_id", "path", file_sources.module_path(c("path")).alias("module_path"))
     return resolve.longest_prefix(_import_table(spark, sf), files).select("file_id", "local", "candidate", "module_file")
 
 
-@query(f"""WITH {_SYMBOLS}, {_IMPORTS}, q AS (SELECT qualified_name, arg_max(id, (file_id, order_index)) AS target FROM named GROUP BY 1),
- u AS (SELECT id AS src, file_id, parent_symbol_id, trim(raw) AS name, raw, n - 1 AS ordinal, split_part(trim(raw), '.', 1) AS root, CASE WHEN contains(trim(raw), '.') THEN substr(trim(raw), length(split_part(trim(raw), '.', 1)) + 2) END AS rest FROM (SELECT *, unnest(calls_raw) AS raw, generate_subscripts(calls_raw, 1) AS n FROM sy) WHERE trim(raw) <> ''),
- uf AS (SELECT file_id, name, min(id) AS target FROM named GROUP BY 1, 2 HAVING count(*) = 1), ug AS (SELECT name, min(id) AS target FROM named GROUP BY 1 HAVING count(*) = 1),
- r AS (SELECT src, ordinal, raw, 1 AS rule, q.target, 1.0::DOUBLE AS weight FROM u JOIN sy p ON p.id = u.parent_symbol_id AND p.kind = 'class' JOIN q ON q.qualified_name = p.qualified_name || '.' || rest WHERE root IN ('self', 'cls') AND NOT contains(rest, '.')
-  UNION ALL SELECT src, ordinal, raw, 2, q.target, 1.0 FROM u JOIN it ON it.file_id = u.file_id AND it.local = root JOIN q ON q.qualified_name = candidate || '.' || rest
-  UNION ALL SELECT src, ordinal, raw, 3, q.target, 1.0 FROM u JOIN it ON it.file_id = u.file_id AND it.local = root JOIN q ON q.qualified_name = candidate
-  UNION ALL SELECT src, ordinal, raw, 4, uf.target, 0.9 FROM u JOIN uf ON uf.file_id = u.file_id AND uf.name = u.name WHERE rest IS NULL
-  UNION ALL SELECT src, ordinal, raw, 5, ug.target, 0.4 FROM u JOIN ug ON ug.name = u.name WHERE rest IS NULL)
-SELECT src, CAST(ordinal AS INTEGER) AS ordinal, raw, rule, target, weight FROM r QUALIFY row_number() OVER (PARTITION BY src, ordinal, raw ORDER BY rule) = 1""")
+def _resolved(name: str, column: str, kind: str | None = None) -> str:
+    """CTEs ending in ``name`` (src, ordinal, raw, rule, target, weight): the first rule that hits for each entry of a list column."""
+    of = f"WHERE kind = '{kind}'" if kind else ""
+    only = f"AND q.kind = '{kind}'" if kind else ""
+    return f"""{name}_u AS (SELECT id AS src, file_id, parent_symbol_id, trim(raw) AS name, raw, n - 1 AS ordinal, split_part(trim(raw), '.', 1) AS root, CASE WHEN contains(trim(raw), '.') THEN substr(trim(raw), length(split_part(trim(raw), '.', 1)) + 2) END AS rest FROM (SELECT *, unnest({column}) AS raw, generate_subscripts({column}, 1) AS n FROM sy) WHERE trim(raw) <> ''),
+ {name}_f AS (SELECT file_id, name, min(id) AS target FROM named {of} GROUP BY 1, 2 HAVING count(*) = 1), {name}_g AS (SELECT name, min(id) AS target FROM named {of} GROUP BY 1 HAVING count(*) = 1),
+ {name}_r AS (SELECT src, ordinal, raw, 1 AS rule, q.target, 1.0::DOUBLE AS weight FROM {name}_u u JOIN sy p ON p.id = u.parent_symbol_id AND p.kind = 'class' JOIN q ON q.qualified_name = p.qualified_name || '.' || rest {only} WHERE root IN ('self', 'cls') AND NOT contains(rest, '.')
+  UNION ALL SELECT src, ordinal, raw, 2, q.target, 1.0 FROM {name}_u u JOIN it ON it.file_id = u.file_id AND it.local = root JOIN q ON q.qualified_name = candidate || '.' || rest {only}
+  UNION ALL SELECT src, ordinal, raw, 3, q.target, 1.0 FROM {name}_u u JOIN it ON it.file_id = u.file_id AND it.local = root JOIN q ON q.qualified_name = candidate {only}
+  UNION ALL SELECT src, ordinal, raw, 4, f.target, 0.9 FROM {name}_u u JOIN {name}_f f ON f.file_id = u.file_id AND f.name = u.name WHERE rest IS NULL
+  UNION ALL SELECT src, ordinal, raw, 5, g.target, 0.4 FROM {name}_u u JOIN {name}_g g ON g.name = u.name WHERE rest IS NULL),
+ {name} AS (SELECT src, CAST(ordinal AS INTEGER) AS ordinal, raw, rule, target, weight FROM {name}_r QUALIFY row_number() OVER (PARTITION BY src, ordinal, raw ORDER BY rule) = 1)"""
+
+
+_QUALIFIED = "q AS (SELECT qualified_name, arg_max(id, (file_id, order_index)) AS target, arg_max(kind, (file_id, order_index)) AS kind FROM named GROUP BY 1)"
+
+
+@query(f"WITH {_SYMBOLS}, {_IMPORTS}, {_QUALIFIED}, {_resolved('calls', 'calls_raw')} SELECT * FROM calls")
 def name_resolution(spark, sf):
     symbols = valid(spark, sf, "code_symbols")
     uses = symbols.select(c("id").alias("src"), "file_id", "parent_symbol_id", F.posexplode("calls_raw").alias("ordinal", "raw"), F.lit(None).cast("string").alias("kind_filter"))
     return resolve.resolve_names(uses, symbols, _import_table(spark, sf))
 
 
-@query(rf"""WITH {_FILES}, s AS (SELECT * FROM {_v("code_symbols")} WHERE file_id IS NOT NULL) SELECT id, md5(array_to_string(list_filter([kind || ': ' || qualified_name, CASE WHEN signature <> '' THEN 'signature: ' || name || signature END,
+@query(f"""WITH {_SYMBOLS}, {_IMPORTS}, {_QUALIFIED}, {_resolved("calls", "calls_raw")}, {_resolved("bases", "base_classes", "class")}, {_LINKED},
+ e AS (SELECT file_id AS source_id, module_file AS target_id, 'IMPORTS' AS rel_type, 1.0::DOUBLE AS weight, 0 AS place FROM linked WHERE module_file <> file_id
+  UNION ALL SELECT src, target, 'INHERITS_FROM', weight, ordinal FROM bases WHERE src <> target UNION ALL SELECT src, target, 'CALLS', weight, ordinal FROM calls)
+SELECT {_EDGE_ID.format(s="source_id", r="rel_type", t="target_id")} AS id, source_id, target_id, rel_type, 'static_analysis' AS method, arg_min(weight, place) AS weight FROM e GROUP BY source_id, target_id, rel_type""")
+def static_edges(spark, sf):
+    files = table(spark, sf, "source_files").dropDuplicates(["file_id"]).select("file_id", "path", file_sources.module_path(c("path")).alias("module_path"))
+    edges = resolve.static_edges(files, valid(spark, sf, "code_symbols"), _import_table(spark, sf))
+    return edges.select("id", "source_id", "target_id", "rel_type", "method", "weight")
+
+
+_CARD = rf"""{_FILES}, s AS (SELECT * FROM {_v("code_symbols")} WHERE file_id IS NOT NULL), cards AS (SELECT s.*, array_to_string(list_filter([kind || ': ' || qualified_name, CASE WHEN signature <> '' THEN 'signature: ' || name || signature END,
  CASE WHEN len(base_classes) > 0 THEN 'inherits from: ' || array_to_string(base_classes, ', ') END, 'in file: ' || path, CASE WHEN len(decorators) > 0 THEN 'decorators: ' || array_to_string(decorators, ', ') END, CASE WHEN docstring <> '' THEN docstring END,
- CASE WHEN len(calls_raw) > 0 THEN 'calls: ' || array_to_string(list_sort(list_distinct(calls_raw))[1:20], ', ') END], lambda x: x IS NOT NULL), chr(10)) || chr(10) || chr(10) || 'code:' || chr(10) || coalesce(text, '')) AS digest FROM s JOIN files USING (file_id)""")
+ CASE WHEN len(calls_raw) > 0 THEN 'calls: ' || array_to_string(list_sort(list_distinct(calls_raw))[1:20], ', ') END], lambda x: x IS NOT NULL), chr(10)) || chr(10) || chr(10) || 'code:' || chr(10) || coalesce(text, '') AS card FROM s JOIN files USING (file_id))"""
+_FACTS = ("kind", "qualified_name", "signature", "name", "base_classes", "path", "decorators", "docstring", "calls_raw", "text")
+
+
+def _card_rows(spark, sf):
+    return valid(spark, sf, "code_symbols").join(table(spark, sf, "source_files").dropDuplicates(["file_id"]).select("file_id", "path"), "file_id")
+
+
+@query(f"WITH {_CARD} SELECT id, md5(card) AS digest FROM cards")
 def embedding_card(spark, sf):
-    s = valid(spark, sf, "code_symbols").join(table(spark, sf, "source_files").dropDuplicates(["file_id"]).select("file_id", "path"), "file_id")
-    facts = {x: c(x) for x in ("kind", "qualified_name", "signature", "name", "base_classes", "path", "decorators", "docstring", "calls_raw", "text")}
-    return s.select("id", F.md5(T.embedding_card(facts)).alias("digest"))
+    return _card_rows(spark, sf).select("id", F.md5(T.embedding_card({x: c(x) for x in _FACTS})).alias("digest"))
 
 
-@query()
+def _parts(x: str) -> str:
+    return rf"list_transform(regexp_extract_all(regexp_replace({x}, '([A-Z]+)([A-Z][a-z])', '\1_\2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z0-9]+'), lambda p: lower(p))"
+
+
+_SPLIT = f"{_parts('name')} || flatten(list_transform(calls_raw, lambda x: {_parts("string_split(x, '.')[-1]")})) || flatten(list_transform(base_classes, lambda x: {_parts('x')}))"
+
+
+@query(f"WITH {_CARD} SELECT id, md5(card || chr(10) || array_to_string({_SPLIT}, ' ')) AS digest FROM cards")
 def sparse_card(spark, sf):
-    s = valid(spark, sf, "code_symbols").join(table(spark, sf, "source_files").dropDuplicates(["file_id"]).select("file_id", "path"), "file_id")
-    facts = {x: c(x) for x in ("kind", "qualified_name", "signature", "name", "base_classes", "path", "decorators", "docstring", "calls_raw", "text")}
-    return s.select("id", F.md5(T.sparse_card(facts)).alias("digest"))
+    return _card_rows(spark, sf).select("id", F.md5(T.sparse_card({x: c(x) for x in _FACTS})).alias("digest"))
 
 
 # --- answering -------------------------------------------------------------------------------------------------
 
-_CONTEXT = f"""{_KNN}, {_ENDS}, own AS (SELECT query_id, node_id, 0 AS stage, rank, 0 AS ordinal, '' AS extra FROM knn),
+_DIMENSIONS = 64
+
+
+def _hashed(name: str, source: str) -> str:
+    bucket, sign = f"CAST('0x' || substr(md5(term), 1, 4) AS INTEGER) % {_DIMENSIONS}", "CASE WHEN substr(md5(term), 5, 1) < '8' THEN 1.0 ELSE -1.0 END"
+    return f"{name} AS (SELECT key, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY key)) AS w FROM (SELECT key, {bucket} AS bucket, sum(weight * {sign}) AS w FROM {source} GROUP BY 1, 2))"
+
+
+_FUSED = f"""{_VOCAB}, {_weights("cc")}, {_ITEMS}, {_weights("qc")}, {_hashed("qh", "qc_w")}, {_hashed("ch_h", "cc_w")},
+ hd AS (SELECT q.key AS query_id, d.key AS node_id, round(sum(q.w * d.w), 6) AS score FROM qh q JOIN ch_h d USING (bucket) GROUP BY 1, 2),
+ hs AS (SELECT q.key AS query_id, d.key AS node_id, round(sum(q.weight * d.weight), 6) AS score FROM qc_w q JOIN cc_w d USING (term) GROUP BY 1, 2),
+ hb AS (SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM hd QUALIFY r <= 20 UNION ALL SELECT query_id, node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS r FROM hs QUALIFY r <= 20),
+ hf AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (1 + r)), 9) AS score FROM hb GROUP BY 1, 2),
+ knn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM hf QUALIFY rank <= 5)"""
+
+
+def _fused(spark, sf):
+    """The five best chunks of each question by hybrid search; questions and chunks share the vocabulary and, hashed, the dense space."""
+    vocab, weights = _fitted(spark, sf)
+    asked, terms = tfidf.transform(_questions(spark, sf), vocab, "query_id", "question"), weights.withColumnRenamed("id", "node_id")
+    dense = embed.hashed_vectors(asked, "query_id", _DIMENSIONS), embed.hashed_vectors(terms, "node_id", _DIMENSIONS)
+    return similarity.hybrid_search(*dense, asked, terms, 5)
+
+
+@query(f"WITH {_FUSED} SELECT query_id, node_id, score, CAST(rank AS INTEGER) AS rank FROM knn")
+def question_seeds(spark, sf):
+    return _fused(spark, sf)
+
+
+_CONTEXT = f"""{_FUSED}, {_ENDS}, own AS (SELECT query_id, node_id, 0 AS stage, rank, 0 AS ordinal, '' AS extra FROM knn),
  nb AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY rel_type, neighbor_id, edge_id) AS ordinal FROM ends WHERE seed_id IN (SELECT node_id FROM knn) QUALIFY ordinal <= 50),
  near AS (SELECT query_id, neighbor_id AS node_id, 1 AS stage, rank, nb.ordinal, rel_type || ' (via ' || substr(explanation, 1, 120) || ')' AS extra FROM knn JOIN nb ON nb.seed_id = knn.node_id),
  told AS (SELECT x.*, label, coalesce(nullif(text, ''), nullif(description, ''), '') AS body FROM (SELECT * FROM own UNION ALL SELECT * FROM near) x JOIN nodes ON nodes.id = x.node_id),
@@ -684,9 +765,7 @@ _CONTEXT = f"""{_KNN}, {_ENDS}, own AS (SELECT query_id, node_id, 0 AS stage, ra
 
 
 def _context(spark, sf):
-    seeds = cut_lineage(_knn(spark, sf))
-    seeds = seeds.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node_id")))
-    return answer.context_rows(seeds, _edges(spark, sf), _nodes(spark, sf))
+    return answer.context_rows(cut_lineage(_fused(spark, sf)), _edges(spark, sf), _nodes(spark, sf))
 
 
 @query(f"WITH {_CONTEXT} SELECT query_id, position, node_id, label, extra, substr(body, 1, 200) AS snippet FROM ctx")
@@ -694,14 +773,18 @@ def rag_context(spark, sf):
     return _context(spark, sf).select("query_id", "position", "node_id", "label", "extra", F.substring("text", 1, 200).alias("snippet"))
 
 
-@query(f"""WITH {_CONTEXT} SELECT query_id, md5(string_agg('[' || node_id || '] ' || coalesce(label, '') || CASE WHEN extra <> '' THEN ' - ' || extra ELSE '' END || chr(10) || substr(body, 1, 700), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position)) AS digest, string_agg(node_id, ',' ORDER BY position) AS context_node_ids FROM ctx GROUP BY 1""")
+_BLOCKS = """SELECT query_id, string_agg('[' || node_id || '] ' || coalesce(label, '') || CASE WHEN extra <> '' THEN ' - ' || extra ELSE '' END || chr(10) || substr(body, 1, 700), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY position) AS context, string_agg(node_id, ',' ORDER BY position) AS context_node_ids FROM ctx GROUP BY 1"""
+
+
+@query(f"WITH {_CONTEXT} SELECT query_id, md5(context) AS digest, context_node_ids FROM ({_BLOCKS})")
 def rag_contexts(spark, sf):
     return answer.contexts(_context(spark, sf)).select("query_id", F.md5("context").alias("digest"), F.array_join("context_node_ids", ",").alias("context_node_ids"))
 
 
-@query()
+@query(f"WITH {_CONTEXT}, b AS ({_BLOCKS}) SELECT key AS query_id, text AS question, CASE WHEN context IS NULL THEN '{answer.NOTHING_FOUND}' ELSE substr(substr(context, strpos(context, chr(10)) + 1), 1, 200) END AS answer, context_node_ids FROM it LEFT JOIN b ON b.query_id = it.key")
 def rag_answers(spark, sf):
-    return answer.answer(_questions(spark, sf), answer.contexts(_context(spark, sf))).select("query_id", "question", "answer", "context_node_ids")
+    told = answer.answer(_questions(spark, sf), answer.contexts(_context(spark, sf)))
+    return told.select("query_id", "question", "answer", F.array_join("context_node_ids", ",").alias("context_node_ids"))
 
 
 # --- ranking and whole pipelines -------------------------------------------------------------------------------
@@ -712,7 +795,11 @@ def weight_ranks(spark, sf):
     return group_ranks(_edges(spark, sf).where("source_id is not null").select("source_id", "weight"), ["source_id"], "weight")
 
 
-@query()
+_BOOK_TEXTS = f"docs AS (SELECT doc_id, {_cleaned('text')} AS text FROM documents)"
+
+
+@query(f"""WITH {_BOOK_TEXTS}, {_lines("docs")}, {_SECTIONS_OF}, {_PACKED}, s AS (SELECT doc_id, count(*) AS n FROM sections_v GROUP BY 1), k AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1)
+SELECT 'book_' || substr(md5(coalesce(topic, '') || chr(31) || doc_id), 1, 12) AS id, coalesce(s.n, 0) AS sections, coalesce(k.n, 0) AS chunks FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def ingest_books(spark, sf):
     docs = table(spark, sf, "documents").select(c("doc_id").cast("int").alias("gutenberg_id"), F.concat(F.lit("Text "), c("doc_id").cast("string")).alias("title"), F.coalesce("topic", F.lit("")).alias("topic"), F.lit("").alias("author"), "text")
     return ingest.ingest_books(docs).report.select("id", "sections", "chunks")
@@ -724,7 +811,18 @@ def ingest_code(spark, sf):
     return done.edges.groupBy("rel_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(rf"""WITH {_VOCAB}, {_weights("cc")}, pts AS (SELECT node_id, CAST(dense AS DOUBLE[]) AS dense FROM {_v("points")}), good AS (SELECT * FROM pts WHERE {_USABLE}),
+ placed AS (SELECT id, topic, row_number() OVER (PARTITION BY topic ORDER BY created_at DESC NULLS FIRST, id) AS position FROM (SELECT id, created_at, coalesce(regexp_replace(lower(trim(topic)), '[\s_-]+', '_', 'g'), '') AS topic FROM {_v("chunks")})),
+ dn AS (SELECT a.id AS x, b.id AS y, round(list_cosine_similarity(p.dense, q.dense), 6) AS d FROM placed a JOIN placed b ON a.topic = b.topic AND a.id <> b.id JOIN good p ON p.node_id = a.id JOIN good q ON q.node_id = b.id),
+ sn AS (SELECT a.id AS x, b.id AS y, round(sum(p.weight * q.weight), 6) AS s FROM placed a JOIN cc_w p ON p.key = a.id JOIN cc_w q ON q.term = p.term JOIN placed b ON b.id = q.key AND a.topic = b.topic AND a.id <> b.id GROUP BY 1, 2),
+ hy AS (SELECT x, y, round(coalesce(d, 0) * CAST(0.6 AS DOUBLE) + coalesce(s, 0) * CAST(0.4 AS DOUBLE), 6) AS score FROM dn FULL JOIN sn USING (x, y)),
+ ok AS (SELECT x, y, score, a.topic FROM hy JOIN placed a ON a.id = x JOIN placed b ON b.id = y WHERE score >= 0.55 AND abs(a.position - b.position) > 1),
+ near AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY x ORDER BY score DESC, y) <= 4),
+ cand AS (SELECT least(x, y) AS source_id, greatest(x, y) AS target_id, topic, max(score) AS score FROM near GROUP BY 1, 2, 3),
+ pairs AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY topic ORDER BY score DESC, source_id, target_id) <= 12), {_REPLIES}, {_SEEN_OF},
+ n AS (SELECT topic, 'candidates' AS what, count(*) AS n FROM pairs GROUP BY 1 UNION ALL SELECT topic, 'edges', count(*) FROM found JOIN placed ON id = source_id GROUP BY 1
+  UNION ALL SELECT topic, 'concepts', count(DISTINCT key) FROM first JOIN placed ON id = chunk_id GROUP BY 1 UNION ALL SELECT topic, 'concept_edges', count(*) FROM first JOIN placed ON id = chunk_id GROUP BY 1)
+SELECT t.topic, w.what, coalesce(n, 0) AS n FROM (SELECT DISTINCT topic FROM placed) t CROSS JOIN (VALUES ('candidates'), ('edges'), ('concepts'), ('concept_edges')) AS w(what) LEFT JOIN n ON n.topic = t.topic AND n.what = w.what""")
 def connection_pass(spark, sf):
     # spellings of a topic are one, chunks without a topic are a topic of their own
     chunks = _chunks(spark, sf).withColumn("pass_topic", F.coalesce(F.regexp_replace(F.lower(F.trim("topic")), r"[\s_-]+", "_"), F.lit("")))
@@ -738,3 +836,66 @@ def manual_edges(spark, sf):
     e = _edges(spark, sf).where("method = 'manual'")
     made = make_edges(e, c("source_id"), c("target_id"), c("rel_type"), "manual", F.coalesce("weight", F.lit(0.0)))
     return made.select("source_id", "target_id", "rel_type", "weight")
+
+
+@query(f"WITH {_EDGES} SELECT count(*) AS n FROM edges_v")
+def total_relationships(spark, sf):
+    return store.total_relationships(_edges(spark, sf)).select(c("n").cast("long").alias("n"))
+
+
+@query(f"WITH {_EDGES} SELECT id, explanation || ' (weight ' || printf('%.2f', weight) || ')' AS note FROM edges_v WHERE explanation <> '' AND weight IS NOT NULL")
+def explained_edges(spark, sf):
+    return _edges(spark, sf).where("explanation <> '' and weight is not null").select("id", T.explained(c("explanation"), c("weight")).alias("note"))
+
+
+@query(f"SELECT id, m.key AS key, m.value AS value FROM (SELECT id, unnest(map_entries(metadata)) AS m FROM {_v('edges')}) WHERE m.key NOT IN ({', '.join(f"'{k}'" for k in T.CORE_KEYS)})")
+def shown_metadata(spark, sf):
+    return _edges(spark, sf).select("id", F.explode(T.shown_metadata(c("metadata"))).alias("key", "value"))
+
+
+@query(f"SELECT 'chunk_' || substr(md5('user' || chr(31) || label || chr(31) || text), 1, 12) AS id, trim(label) AS label, trim(text) AS text FROM (SELECT id || ' ' AS label, ' ' || coalesce(description, '') AS text FROM {_v('concepts')})")
+def note_chunks(spark, sf):
+    wanted = valid(spark, sf, "concepts").select(F.concat("id", F.lit(" ")).alias("label"), F.concat(F.lit(" "), F.coalesce("description", F.lit(""))).alias("text"), "topic", F.lit("user").alias("created_by"))
+    return store.note_chunks(wanted).select("id", "label", "text")
+
+
+@query(f"WITH p AS (SELECT node_id, payload.label AS label FROM {_v('points')}), b AS (SELECT node_id, 'new' AS label FROM p WHERE node_id IN (SELECT unnest(seed_node_ids) FROM rag_results)) SELECT * FROM b UNION ALL SELECT * FROM p WHERE node_id NOT IN (SELECT node_id FROM b)")
+def point_upsert(spark, sf):
+    points = _points(spark, sf).select("node_id", "label")
+    batch = points.join(_seeds(spark, sf).withColumnRenamed("query_id", "node_id"), "node_id", "left_semi").withColumn("label", F.lit("new"))
+    return store.GraphTables(_nodes(spark, sf), _edges(spark, sf), points).upsert_points(batch).points.select("node_id", "label")
+
+
+@query(f"WITH {_VOCAB}, {_weights('cc')}, num AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS i FROM vocab) SELECT key AS id, string_agg(i, ',' ORDER BY i) AS indices, round(list_sum(list(weight * weight)), 6) AS length FROM cc_w JOIN num USING (term) GROUP BY 1")
+def sparse_structs(spark, sf):
+    vocab, weights = _fitted(spark, sf)
+    packed = tfidf.as_struct(weights, vocab, "id")
+    squares = F.aggregate(F.transform("sparse.values", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
+    return packed.select("id", F.array_join(F.transform("sparse.indices", lambda i: i.cast("string")), ",").alias("indices"), F.round(squares, 6).alias("length"))
+
+
+def _side(n: str) -> str:
+    return f"coalesce({n}.topic, '') || ', book: ' || coalesce({n}.metadata['book_title'], '?') || ')' || chr(10) || coalesce(substr({n}.text, 1, 900), '')"
+
+
+@query(f"""WITH {_JUDGED}, ch AS (SELECT id, topic, text, metadata FROM {_v("chunks")})
+SELECT source_id, target_id, md5('Passage 1 (topic: ' || {_side("a")} || chr(10) || chr(10) || 'Passage 2 (topic: ' || {_side("b")} || chr(10) || chr(10) || '{judge.PAIR_QUESTION}') AS digest FROM pairs JOIN ch a ON a.id = source_id JOIN ch b ON b.id = target_id""")
+def pair_prompts(spark, sf):
+    return judge.pair_prompts(_found(spark, sf)[0], _chunks(spark, sf)).select("source_id", "target_id", F.md5("prompt").alias("digest"))
+
+
+@query(f"""WITH {_JUDGED}, ch AS (SELECT id FROM {_v("chunks")}) SELECT source_id, target_id, 'SUPPORTS' AS rel_type, CAST(0.25 AS DOUBLE) AS confidence FROM pairs WHERE source_id IN (SELECT id FROM ch) AND target_id IN (SELECT id FROM ch)""")
+def asked_pairs(spark, sf):
+    fenced = '```json\n{"related": true, "rel_type": "SUPPORTS", "confidence": 0.25}\n```'
+    asked = judge.ask(judge.pair_prompts(_found(spark, sf)[0], _chunks(spark, sf)), judge.FixedProvider(fenced))
+    return judge.judged(asked).select("source_id", "target_id", "rel_type", "confidence")
+
+
+@query(f"""WITH {_VOCAB}, k AS (SELECT 'concept_' || id AS key, coalesce(label, '') || '. ' || coalesce(description, '') AS text FROM {_v("concepts")}), {_tf("k", "kc")}, {_weights("kc")}, num AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS i FROM vocab)
+SELECT k.key AS node_id, 64 AS dimensions, s.indices FROM k LEFT JOIN (SELECT key, string_agg(i, ',' ORDER BY i) AS indices FROM kc_w JOIN num USING (term) GROUP BY 1) s ON s.key = k.key""")
+def dual_upsert(spark, sf):
+    vocab, _ = _fitted(spark, sf)
+    batch = valid(spark, sf, "concepts").select("type", F.concat(F.lit("concept_"), "id").alias("id"), "label", "topic", F.concat(F.coalesce("label", F.lit("")), F.lit(". "), F.coalesce("description", F.lit(""))).alias("text"))
+    none = _points(spark, sf).select("node_id", "dense", "sparse").limit(0)
+    points = store.embed_and_upsert(store.GraphTables(_nodes(spark, sf), _edges(spark, sf), none), batch, "text", vocab).points
+    return points.select("node_id", F.size("dense").alias("dimensions"), F.array_join(F.transform("sparse.indices", lambda i: i.cast("string")), ",").alias("indices"))
