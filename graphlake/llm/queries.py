@@ -227,3 +227,29 @@ ORACLE["p4_ranking"] = f"""WITH e AS (SELECT DISTINCT source_id, id, weight AS s
 SELECT source_id, id AS edge_id, n_items, {", ".join(f"rank_{s}, ties_{s}" for s in SCORES)}, fused, rank() OVER (PARTITION BY source_id ORDER BY fused DESC) AS position FROM t"""
 
 ORACLE["p7_found"] = rf"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{_BLANK}]+')) > {CAPACITY}"
+
+
+def _plain(x: str) -> str:
+    """The plain form of a text column; of character references and compatibility forms only those that the tables have."""
+    x = f"regexp_replace({x}, '<[^<>]{{0,200}}>', '', 'g')"
+    x = f"replace(replace(replace({x}, '&nbsp;', ' '), chr(64257), 'fi'), chr(64258), 'fl')"
+    x = rf"regexp_replace(strip_accents(regexp_replace({x}, '[\x{{ad}}\x{{180e}}\x{{200b}}-\x{{200d}}\x{{2060}}\x{{feff}}]', '', 'g')), '\p{{M}}', '', 'g')"
+    for _ in range(2):  # a match takes the letters beside it, so neighbours need a second turn
+        x = rf"regexp_replace({x}, '(\p{{L}})[-\x{{2010}}][ \t]*\r?\n[ \t]*(\p{{L}})', '\1\2', 'g')"
+    return rf"regexp_extract_all(lower({x}), '[\p{{L}}\p{{N}}]+')"
+
+
+_BOOKS = _LOG.format("books", "id", "created_at")
+
+ORACLE["p3_found"] = rf"""WITH t AS (SELECT id, unnest({_plain("text")}) AS term FROM {_CHUNKS}), c AS (SELECT id, term, count(*) AS tf FROM t WHERE regexp_matches(term, '^\p{{L}}+$') GROUP BY 1, 2)
+SELECT id AS chunk_id, term FROM c QUALIFY tf >= 3 AND count(*) OVER (PARTITION BY term) BETWEEN 2 AND 6"""
+
+ORACLE["p6_found"] = f"""WITH w AS (SELECT id, {_plain("text")} AS w FROM {_CHUNKS}), b AS (SELECT id, array_to_string({_plain("label")}, ' ') AS w FROM {_BOOKS}),
+ s AS (SELECT DISTINCT 'w' AS kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w UNION SELECT DISTINCT 'c', id, unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i + 2])) FROM b),
+ n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY 1, 2), p AS (SELECT x.kind, x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.kind = y.kind AND x.g = y.g AND x.id < y.id GROUP BY 1, 2, 3)
+SELECT a AS node_a, b AS node_b FROM p JOIN n l ON l.kind = p.kind AND l.id = a JOIN n r ON r.kind = p.kind AND r.id = b WHERE shared * 10 >= 6 * (l.n + r.n - shared)"""
+
+_RUNS = "SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS run FROM (SELECT {0}, {1} AS w FROM {2})"
+_LEAKS = f"""d AS ({_RUNS.format("doc_id", _plain("text"), "documents")}), e AS ({_RUNS.format("item_id", _plain("text"), "eval_items")}), leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run))"""
+ORACLE["p8_found"] = f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks"
+ORACLE["p8_clean"] = f"WITH {_LEAKS} SELECT doc_id, book_id, topic, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)"
