@@ -28,9 +28,23 @@ def vocabulary(counts: DataFrame, documents: int, max_features: int = DEFAULTS.m
     return kept.select("term", "df", (F.log((F.lit(1.0) + documents) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+#: Size up to which a vocabulary is broadcast.
+VOCABULARY_BYTES = 128 << 20
+
+
+def _shared(vocab: DataFrame) -> DataFrame:
+    """(term, idf), broadcast if small: it has at most max_features rows, but terms may be long."""
+    held = vocab.agg(F.coalesce(F.sum(F.octet_length("term") + 40), F.lit(0))).first()[0]
+    small = vocab.select("term", "idf")
+    return F.broadcast(small) if held <= VOCABULARY_BYTES else small
+
+
 def weighted(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * idf, each vector of length 1; unseen terms fall away."""
-    raw = counts.join(vocab.select("term", "idf"), "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
+    """(key, term, weight): (1 + ln tf) * idf, each vector of length 1; unseen terms fall away.
+
+    A vocabulary that is broadcast leaves the counts partitioned by key, so the lengths take no shuffle.
+    """
+    raw = counts.join(_shared(vocab), "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / length).alias("weight"))
 
