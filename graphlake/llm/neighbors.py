@@ -180,13 +180,14 @@ class Index:
         for c in range(0, len(s), 200_000):
             u, v = s[c : c + 200_000][other[c : c + 200_000]], t[c : c + 200_000][other[c : c + 200_000]]
             m, n = full[u].astype(np.float64), self.full[v].astype(np.float64)
+            m, n = m / np.abs(m).max(1, keepdims=True, initial=1e-300), n / np.abs(n).max(1, keepdims=True, initial=1e-300)
             exact = np.einsum("ij,ij->i", m, n) / (np.linalg.norm(m, axis=1) * np.linalg.norm(n, axis=1))
             good = exact >= best.least
             best.add(u[good], np.round(exact[good], 12), self.ids[v[good]])
 
 
 def _unit(rows) -> np.ndarray:
-    v = np.stack([np.asarray(r, np.float64) for r in rows])
+    v = np.array(rows, np.float64) if isinstance(rows, np.ndarray) and rows.ndim == 2 else np.stack([np.asarray(r, np.float64) for r in rows])
     v /= np.abs(v).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32)
 
@@ -220,13 +221,14 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                unit = _unit(b["vector"])
-                yield pd.DataFrame({"cell": tree.cell(unit @ matrix), "kind": "p", "id": b["id"].to_numpy(), "other": 0, "cosine": 0.0, "vector": [v.tobytes() for v in unit]})
+                raw = np.stack(b["vector"]).astype(np.float32)
+                yield pd.DataFrame({"cell": tree.cell(_unit(raw) @ matrix), "kind": "p", "id": b["id"].to_numpy(), "other": 0, "cosine": 0.0, "vector": [v.tobytes() for v in raw]})
 
-    def load(parts: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def load(parts: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         b = pd.concat(parts) if parts else pd.DataFrame({"id": [], "vector": []})
-        unit = np.frombuffer(b"".join(b["vector"]), np.float32).reshape(len(b), dimensions)
-        return unit, unit @ matrix, b["id"].to_numpy(np.int64)
+        raw = np.frombuffer(b"".join(b["vector"]), np.float32).reshape(len(b), dimensions)
+        unit = _unit(raw) if len(raw) else raw
+        return unit, unit @ matrix, b["id"].to_numpy(np.int64), raw
 
     def results(best: _Best, ids: np.ndarray, cell: int) -> pd.DataFrame:
         row, col = np.nonzero(best.cosine >= -1.5)
@@ -238,11 +240,11 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
             for cell, part in b.groupby("cell"):
                 held.setdefault(int(cell), []).append(part[["id", "vector"]])
         for cell, parts in held.items():
-            unit, projected, ids = load(parts)
+            unit, projected, ids, full = load(parts)
             best = _Best(len(ids), k, least)
-            Index(unit, projected, ids).search(unit, projected, ids, best, quantile)
+            Index(unit, projected, ids, full).search(unit, projected, ids, best, quantile, full)
             yield results(best, ids, cell)
-            raw = [v.tobytes() for v in unit]
+            raw = [v.tobytes() for v in full]
             yield pd.DataFrame({"cell": cell, "kind": "p", "id": ids, "other": 0, "cosine": 0.0, "vector": raw})
             reach = quantile * best.reach(np.arange(len(ids)))
             floor = best.floors(np.arange(len(ids)))
@@ -267,9 +269,9 @@ def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float =
                 if index is None:
                     index = Index(*load(parts))
                     parts = []
-                unit, projected, ids = load([part])
+                unit, projected, ids, full = load([part])
                 best = _Floored(_Best(len(ids), k, least), part["cosine"].to_numpy())
-                index.search(unit, projected, ids, best, quantile)
+                index.search(unit, projected, ids, best, quantile, full)
                 yield results(best, ids, cell)[["id", "other", "cosine"]]
 
     assigned = vectors.mapInPandas(assign, _FLOW).repartitionById(cells, F.col("cell"))

@@ -55,7 +55,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = latest_rows(table(spark, sf_dir, "chunks").select("id", "created_at", "text"), "id")
     scored = distinctive.distinctive_terms(chunks)
-    return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", "degree", "score")
+    return scored.select(F.col("id").alias("chunk_id"), "term", "tf", "df", "degree", F.round("score", 6).alias("score"))
 
 
 def _judged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,8 @@ def p2_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p2_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64)
+    near = neighbors.nearest_nodes(_points(spark, sf_dir), k=5, dimensions=64)
+    return near.select("node_id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
 # --- SQL of the queries that SQL can express --------------------------------------------------------------------
@@ -253,3 +254,17 @@ _RUNS = "SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 8), lambda
 _LEAKS = f"""d AS ({_RUNS.format("doc_id", _plain("text"), "documents")}), e AS ({_RUNS.format("item_id", _plain("text"), "eval_items")}), leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run))"""
 ORACLE["p8_found"] = f"WITH {_LEAKS} SELECT doc_id, item_id FROM leaks"
 ORACLE["p8_clean"] = f"WITH {_LEAKS} SELECT doc_id, book_id, topic, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM leaks)"
+
+ORACLE["p2_neighbors"] = f"""WITH p AS (SELECT node_id, CAST(dense AS DOUBLE[]) AS v FROM {_POINTS} WHERE {_USABLE}),
+ n AS (SELECT a.node_id, b.node_id AS other, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM p a JOIN p b ON a.node_id <> b.node_id)
+SELECT node_id, other, round(s, 6) AS cosine, CAST(row_number() OVER (PARTITION BY node_id ORDER BY s DESC, other) AS INTEGER) AS rank FROM n QUALIFY rank <= 5"""
+
+ORACLE["p3_scores"] = rf"""WITH w AS (SELECT id, {_plain("text")} AS w FROM {_CHUNKS}), t AS (SELECT id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w),
+ c AS (SELECT id, term, count(*) AS tf FROM t WHERE regexp_matches(term, '^\p{{L}}+$') GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+ g AS (SELECT a.id, a.term, count(DISTINCT b.term) FILTER (b.term <> a.term) AS degree FROM t a JOIN t b ON a.id = b.id AND abs(a.i - b.i) < 4 GROUP BY 1, 2)
+SELECT id AS chunk_id, term, CAST(tf AS INTEGER) AS tf, df, CAST(degree AS INTEGER) AS degree, round(degree * ln(((SELECT count(*) FROM w) + 1) / df), 6) AS score FROM c JOIN f USING (term) JOIN g USING (id, term)"""
+
+ORACLE["p8_passages"] = f"""WITH d AS (SELECT doc_id, {_plain("text")} AS w FROM documents), e AS (SELECT item_id, {_plain("text")} AS w FROM eval_items),
+ dr AS (SELECT doc_id, i, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS i FROM d)), er AS (SELECT item_id, i, array_to_string(w[i:i + 9], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS i FROM e)),
+ m AS (SELECT doc_id, item_id, dr.i AS a, er.i AS b FROM dr JOIN er USING (run)), r AS (SELECT *, a - row_number() OVER (PARTITION BY doc_id, item_id, a - b ORDER BY a) AS island FROM m)
+SELECT doc_id, item_id, min(a) - 1 AS doc_word, min(b) - 1 AS item_word, count(*) + 9 AS n_words FROM r GROUP BY doc_id, item_id, a - b, island"""
