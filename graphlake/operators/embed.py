@@ -46,14 +46,16 @@ def embed_one(text: str, kind: type = HashingEmbedder, dimensions: int = 64) ->
     return embedder(kind, dimensions).embed([text])[0]
 
 
-def hashed_vectors(weights: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
-    """(key, dense) of sparse vectors in long form (key, term, weight): signed feature hashing of their terms, in SQL expressions, so that texts and questions of one vocabulary meet in one space."""
+def hashed_points(weights: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
+    """(key, dense, packed) of sparse vectors in long form (key, term, weight), in one pass and without Python: packed as of similarity.pack_terms,
+    dense by signed feature hashing of the terms, so that texts and questions of one vocabulary meet in one space."""
     digest = F.md5("term")
     bucket = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int") % dimensions
-    sign = F.when(F.substring(digest, 5, 1) < "8", 1.0).otherwise(-1.0)
-    sums = weights.groupBy(key, bucket.alias("bucket")).agg(F.sum(F.col("weight") * sign).alias("w"))
-    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))  # at most ``dimensions`` entries
-    return held.select(key, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("dense"))
+    signed = F.when(F.substring(digest, 5, 1) < "8", F.col("weight")).otherwise(-F.col("weight"))
+    sums = weights.groupBy(key, bucket.alias("bucket")).agg(F.sum(signed).alias("w"), F.collect_list(F.struct(F.xxhash64("term").alias("term"), "weight")).alias("e"))
+    held = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"), F.flatten(F.collect_list("e")).alias("e"))  # a text's terms
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))
+    return held.select(key, dense.alias("dense"), F.struct(F.col("e.term").alias("terms"), F.col("e.weight").alias("weights")).alias("packed"))
 
 
 def embed_texts(text: Column, dimensions: int = 64, kind: type = HashingEmbedder) -> Column:

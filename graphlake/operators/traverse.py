@@ -30,14 +30,20 @@ def neighborhood(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = N
 
 
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
-    """(seed_id, node_id, distance): nodes within so many undirected hops of each seed, at their least distance."""
+    """(seed_id, node_id, distance): nodes within so many undirected hops of each seed, at their least distance.
+
+    A step first joins the frontier's distinct nodes with the edges, so that a hub's edges are met once however many seeds stand at it, and
+    spreads to the seeds then; adaptive execution splits the hub.
+    """
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct()
     seen = seeds.select("seed_id", F.col("seed_id").alias("node_id"), F.lit(0).alias("distance")).distinct()
     frontier = seen
     for hop in range(1, hops + 1):
-        step = frontier.select("seed_id", F.col("node_id").alias("a")).join(both, "a").select("seed_id", F.col("b").alias("node_id")).distinct()
+        near = both.join(frontier.select(F.col("node_id").alias("a")).distinct(), "a", "left_semi")
+        step = frontier.select("seed_id", F.col("node_id").alias("a")).join(near, "a").select("seed_id", F.col("b").alias("node_id")).distinct()
         frontier = step.join(seen.select("seed_id", "node_id"), ["seed_id", "node_id"], "left_anti").withColumn("distance", F.lit(hop))
-        frontier = cut_lineage(frontier)
+        if hop < hops:
+            frontier = cut_lineage(frontier)
         seen = seen.unionByName(frontier)
     return seen
 

@@ -409,8 +409,8 @@ def topk_candidates(spark, sf):
  f AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (2 + r - 1)), 9) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY 1, 2)
 SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid_search_rrf(spark, sf):
-    points = _points(spark, sf)
-    return similarity.hybrid_search(_asked(spark, sf), points, _long_asked(spark, sf), _long(points, "node_id"), 10, topic="data_systems")
+    packed = F.when(c("sparse").isNotNull(), similarity.sparse_terms(c("sparse"))).alias("packed")
+    return similarity.hybrid_search(_asked(spark, sf).select("query_id", "dense", packed), _points(spark, sf).select("node_id", "dense", packed, "topic"), 10, topic="data_systems")
 
 
 # --- graph store -----------------------------------------------------------------------------------------------
@@ -500,11 +500,11 @@ def neighborhood(spark, sf):
     return near.select("seed_id", "edge_id", "rel_type", "outgoing", "neighbor_id", "ordinal")
 
 
-@query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges_v WHERE method = 'structural' UNION SELECT target_id, source_id FROM edges_v WHERE method = 'structural'),
+@query(f"""WITH {_EDGES}, b AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges_v UNION SELECT target_id, source_id FROM edges_v),
  h0 AS (SELECT DISTINCT unnest(seed_node_ids) AS seed_id FROM rag_results), h1 AS (SELECT DISTINCT seed_id, b AS node_id FROM h0 JOIN b ON a = seed_id), h2 AS (SELECT DISTINCT seed_id, b AS node_id FROM h1 JOIN b ON a = node_id)
 SELECT seed_id, node_id, CAST(min(d) AS INTEGER) AS distance FROM (SELECT seed_id, seed_id AS node_id, 0 AS d FROM h0 UNION ALL SELECT seed_id, node_id, 1 FROM h1 UNION ALL SELECT seed_id, node_id, 2 FROM h2) WHERE seed_id IS NOT NULL GROUP BY 1, 2""")
 def k_hop(spark, sf):
-    return traverse.k_hop(_seeds(spark, sf).withColumnRenamed("query_id", "seed_id"), _edges(spark, sf).where("method = 'structural'"), 2)
+    return traverse.k_hop(_seeds(spark, sf).withColumnRenamed("query_id", "seed_id"), _edges(spark, sf), 2)
 
 
 @query(f"""WITH {_EDGES}, n AS (SELECT id FROM {_v("chunks")} WHERE topic = 'data_systems'),
@@ -746,9 +746,10 @@ _FUSED = f"""{_VOCAB}, {_weights("cc")}, {_ITEMS}, {_weights("qc")}, {_hashed("q
 def _fused(spark, sf):
     """The five best chunks of each question by hybrid search; questions and chunks share the vocabulary and, hashed, the dense space."""
     vocab, weights = _fitted(spark, sf)
-    asked, terms = tfidf.transform(_questions(spark, sf), vocab, "query_id", "question"), weights.withColumnRenamed("id", "node_id")
-    dense = embed.hashed_vectors(asked, "query_id", _DIMENSIONS), embed.hashed_vectors(terms, "node_id", _DIMENSIONS)
-    return similarity.hybrid_search(*dense, asked, terms, 5)
+    asked = tfidf.transform(_questions(spark, sf), vocab, "query_id", "question")
+    # both branches read the points, which are about as large as the texts
+    points = cut_lineage(embed.hashed_points(weights.withColumnRenamed("id", "node_id"), "node_id", _DIMENSIONS))
+    return similarity.hybrid_search(cut_lineage(embed.hashed_points(asked, "query_id", _DIMENSIONS)), points, 5)
 
 
 @query(f"WITH {_FUSED} SELECT query_id, node_id, score, CAST(rank AS INTEGER) AS rank FROM knn")

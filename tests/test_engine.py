@@ -413,8 +413,8 @@ def test_small_scalars(spark):
     assert [tuple(r) for r in df.select(T.shown_metadata(F.col("m")), T.explained(F.col("e"), F.col("w"))).collect()] == [({"year": "1913"}, "why (weight 0.50)"), (None, None), ({}, None)]
     assert (embed.embed_one("wing spar") == HashingEmbedder(64).embed(["wing spar"])[0]).all()
     weights = spark.createDataFrame([("a", "wing", 1.0), ("a", "spar", 2.0), ("b", "wing", -3.0)], "key string, term string, weight double")
-    dense = {r["key"]: r["dense"] for r in embed.hashed_vectors(weights, "key", 8).collect()}
-    assert sum(map(abs, dense["b"])) == 3.0 and len(dense["a"]) == 8
+    got = {r["key"]: r for r in embed.hashed_points(weights, "key", 8).collect()}
+    assert sum(map(abs, got["b"]["dense"])) == 3.0 and len(got["a"]["dense"]) == 8 and sorted(got["a"]["packed"]["weights"]) == [1.0, 2.0]
 
 
 def test_http_retries_with_growing_pauses():
@@ -469,3 +469,15 @@ def test_pass_takes_the_first_positions(spark):
     out = ingest.connection_pass(chunks, points, terms, max_chunks=4)
     assert {x for r in out.pairs.collect() for x in (r["source_id"], r["target_id"])} == {"c0", "c1", "c2", "c3"}
     assert out.united().count() == out.edges.count() + out.concept_edges.count()
+
+
+def test_a_batch_rewrites_only_its_buckets(spark, tmp_path):
+    batch = spark.createDataFrame([(f"k{i}", 1, "x") for i in range(50)], "id string, seq int, t string")
+    batch.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for number, rows_ in enumerate([None, [("k7", 2, "y")]]):
+        if rows_:
+            spark.createDataFrame(rows_, batch.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_upserts(spark, str(tmp_path / "in"), batch.schema, str(tmp_path / "out"), str(tmp_path / "state"), ["id"], "seq", buckets=8).awaitTermination(120)
+        assert len(list((tmp_path / "out" / f"v={number}").glob("__bucket=*"))) == (8 if number == 0 else 1)
+    assert dict(rows(read_version(spark, str(tmp_path / "out")), "id", "t")) == {f"k{i}": "y" if i == 7 else "x" for i in range(50)}
+    assert dict(rows(read_version(spark, str(tmp_path / "out"), 0), "id", "t"))["k7"] == "x"
