@@ -527,11 +527,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def similar_groups(records: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(kind, key, sig, group, n_copies, n_links) of every record: group joins all records that links reach, named by its smallest class."""
+    """(kind, key, sig, group, n_copies, n_links) of every record: group joins all records that links reach, named by its smallest key; n_copies counts the records of its class, n_links the classes it is linked to."""
     members, links = similar_classes(records, threshold)
     links = cut_lineage(links.select("sig", "other"))
     joined = components(links.select(F.col("sig").alias("a"), F.col("other").alias("b"))).select(F.col("node").alias("sig"), "component")
     degree = links.select("sig").union(links.select("other")).groupBy("sig").agg(F.count("*").alias("n_links"))
-    copies = members.groupBy("sig").agg(F.count("*").alias("n_copies"))
-    of_class = copies.join(joined, "sig", "left").join(degree, "sig", "left").select("sig", F.coalesce("component", "sig").alias("group"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    copies = members.groupBy("sig").agg(F.count("*").alias("n_copies"), F.min("key").alias("first"))
+    of_class = copies.join(joined, "sig", "left").join(degree, "sig", "left").select("sig", F.coalesce("component", "sig").alias("component"), "n_copies", "first", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    names = of_class.groupBy("component").agg(F.min("first").alias("group"))
+    of_class = of_class.join(names, "component").select("sig", "group", "n_copies", "n_links")
     return members.select("kind", "key", "sig").join(of_class, "sig").select("kind", "key", "sig", "group", "n_copies", "n_links")

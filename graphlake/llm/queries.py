@@ -245,10 +245,14 @@ _BOOKS = _LOG.format("books", "id", "created_at")
 ORACLE["p3_found"] = rf"""WITH t AS (SELECT id, unnest({_plain("text")}) AS term FROM {_CHUNKS}), c AS (SELECT id, term, count(*) AS tf FROM t WHERE regexp_matches(term, '^\p{{L}}+$') GROUP BY 1, 2)
 SELECT id AS chunk_id, term FROM c QUALIFY tf >= 3 AND count(*) OVER (PARTITION BY term) BETWEEN 2 AND 6"""
 
-ORACLE["p6_found"] = f"""WITH w AS (SELECT id, {_plain("text")} AS w FROM {_CHUNKS}), b AS (SELECT id, array_to_string({_plain("label")}, ' ') AS w FROM {_BOOKS}),
+_PAIRS = f"""w AS (SELECT id, {_plain("text")} AS w FROM {_CHUNKS}), b AS (SELECT id, array_to_string({_plain("label")}, ' ') AS w FROM {_BOOKS}),
  s AS (SELECT DISTINCT 'w' AS kind, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w UNION SELECT DISTINCT 'c', id, unnest(list_transform(range(1, length(w) - 1), lambda i: w[i:i + 2])) FROM b),
- n AS (SELECT kind, id, count(*) AS n FROM s GROUP BY 1, 2), p AS (SELECT x.kind, x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.kind = y.kind AND x.g = y.g AND x.id < y.id GROUP BY 1, 2, 3)
-SELECT a AS node_a, b AS node_b FROM p JOIN n l ON l.kind = p.kind AND l.id = a JOIN n r ON r.kind = p.kind AND r.id = b WHERE shared * 10 >= 6 * (l.n + r.n - shared)"""
+ n AS (SELECT kind, id, count(*) AS n, md5(kind || string_agg(g, chr(10) ORDER BY g)) AS sig FROM s GROUP BY 1, 2), p AS (SELECT x.kind, x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.kind = y.kind AND x.g = y.g AND x.id < y.id GROUP BY 1, 2, 3),
+ pairs AS (SELECT a AS node_a, b AS node_b FROM p JOIN n l ON l.kind = p.kind AND l.id = a JOIN n r ON r.kind = p.kind AND r.id = b WHERE shared * 10 >= 6 * (l.n + r.n - shared))"""
+ORACLE["p6_found"] = f"WITH {_PAIRS} SELECT * FROM pairs"
+ORACLE["p6_groups"] = f"""WITH RECURSIVE {_PAIRS}, both_ways AS (SELECT node_a AS a, node_b AS b FROM pairs UNION ALL SELECT node_b, node_a FROM pairs UNION ALL SELECT id, id FROM n),
+ r AS (SELECT a, b FROM both_ways UNION SELECT r.a, y.b FROM r JOIN both_ways y ON r.b = y.a), g AS (SELECT a AS id, min(b) AS grp FROM r GROUP BY 1)
+SELECT n.id AS node_id, grp AS "group", count(*) OVER (PARTITION BY n.sig) AS n_copies, (SELECT count(DISTINCT o.sig) FROM both_ways y JOIN n o ON o.id = y.b WHERE y.a = n.id AND o.sig <> n.sig) AS n_links FROM n JOIN g ON g.id = n.id"""
 
 _RUNS = "SELECT DISTINCT {0}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) AS run FROM (SELECT {0}, {1} AS w FROM {2})"
 _LEAKS = f"""d AS ({_RUNS.format("doc_id", _plain("text"), "documents")}), e AS ({_RUNS.format("item_id", _plain("text"), "eval_items")}), leaks AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (run))"""
