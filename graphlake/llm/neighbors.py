@@ -21,8 +21,10 @@ from graphlake.session import cut_lineage
 
 #: Projected dimensions (even), about how many vectors the upper kd-tree is fitted on (at most twice as many), and of these in a cell at least.
 PROJECTED, SAMPLE, PER_CELL = 12, 32_768, 8
-#: Vectors of a cell, the unit of distribution, and of a leaf inside.
+#: Vectors of a cell, in which a vector is searched for first, and of a leaf inside.
 CELL, LEAF = 16_384, 256
+#: Vectors of a block of neighbouring cells, which a task holds, blocks that there may be before they are that large, and visitors of a block in a task.
+HELD, BLOCKS, VISITORS = 262_144, 16, 4_194_304
 #: Queries that a task searches for at once, and that are broadcast at once.
 BLOCK, QUERIES = 512, 4096
 
@@ -120,21 +122,23 @@ class _Best:
 class Index:
     """Vectors of a cell under a kd-tree of leaves."""
 
-    def __init__(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, full: np.ndarray | None = None):
+    def __init__(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, full: np.ndarray | None = None, cells: np.ndarray | None = None):
         depth = max(0, math.ceil(math.log2(max(1, len(vectors)) / LEAF)))
         leaf = Tree(projected, depth).cell(projected)
         order = np.argsort(leaf, kind="stable")
         self.vectors, self.projected, self.ids = vectors[order], projected[order], ids[order]
         self.full = self.vectors if full is None else full[order]
+        self.cells = None if cells is None else cells[order]
         begins = np.flatnonzero(np.concatenate([[True], np.diff(leaf[order]) > 0])) if len(order) else np.zeros(0, np.int64)
         self.begins = np.append(begins, len(order))
         self.low = np.array([self.projected[a:b].min(0) for a, b in zip(self.begins[:-1], self.begins[1:], strict=True)]).reshape(-1, projected.shape[1])
         self.high = np.array([self.projected[a:b].max(0) for a, b in zip(self.begins[:-1], self.begins[1:], strict=True)]).reshape(-1, projected.shape[1])
 
-    def search(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, best: _Best, quantile: float, full: np.ndarray | None = None) -> None:
+    def search(self, vectors: np.ndarray, projected: np.ndarray, ids: np.ndarray, best: _Best, quantile: float, full: np.ndarray | None = None, cells: np.ndarray | None = None) -> None:
         """Adds neighbours to best: for blocks of queries, leaves nearest first in growing waves, until the stopping test holds for all.
 
-        ``full`` and the index's own are the vectors in full precision, for the cosines that count.
+        ``full`` and the index's own are the vectors in full precision, for the cosines that count. With ``cells`` (and the
+        index's own) a query passes over the points of its cell.
         """
         full = vectors if full is None else full
         leaves = len(self.low)
@@ -156,9 +160,9 @@ class Index:
                 if not len(active):
                     continue
                 at = np.concatenate([np.arange(self.begins[x], self.begins[x + 1]) for x in now])
-                self._verify(vectors, projected, full, ids, active, at, best, quantile)
+                self._verify(vectors, projected, full, ids, cells, active, at, best, quantile)
 
-    def _verify(self, vectors, projected, full, ids, active: np.ndarray, at: np.ndarray, best: _Best, quantile: float) -> None:
+    def _verify(self, vectors, projected, full, ids, cells, active: np.ndarray, at: np.ndarray, best: _Best, quantile: float) -> None:
         """Adds what is good enough of the points at hand; few are when the radius is small, else all are multiplied at once."""
         reach, floor = best.reach(active), best.floors(active)
         if quantile * np.median(reach) < PROJECTED:
@@ -176,7 +180,7 @@ class Index:
                 floor = np.maximum(floor, np.partition(rough, len(at) - k - 1, axis=1)[:, len(at) - k - 1])
             x, y = np.nonzero(rough >= floor[:, None] - 1e-4)
         s, t = active[x], at[y]
-        other = ids[s] != self.ids[t]
+        other = ids[s] != self.ids[t] if cells is None else cells[s] != self.cells[t]
         for c in range(0, len(s), 200_000):
             u, v = s[c : c + 200_000][other[c : c + 200_000]], t[c : c + 200_000][other[c : c + 200_000]]
             m, n = full[u].astype(np.float64), self.full[v].astype(np.float64)
@@ -198,84 +202,96 @@ def usable(vector, dimensions: int):
     return F.coalesce((F.size(vector) == dimensions) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-_FLOW = "cell int, kind string, id long, other long, cosine double, vector binary"
+#: A point, a visitor (cell: where it is at home, cosine: the least it wants) or a result (cell: the neighbour).
+_FLOW = "place int, kind string, id long, cell long, cosine double, vector binary"
 
 
 def vector_neighbors(vectors: DataFrame, k: int, dimensions: int, least: float = -1.0, confidence: float = 0.98, seed: int = 7) -> DataFrame:
     """(id, other, cosine): up to k most similar vectors of each, with cosine >= least, among distinct vectors (id long, vector array<float>).
 
-    The upper kd-tree is fitted on at most SAMPLE vectors, every vector is indexed. A vector is first searched
-    for in its own cell; then it goes on to just those cells that its stopping test cannot rule out. Each true neighbour
-    is met with probability ``confidence`` from either side at least. Ties go to the smaller id.
+    The upper kd-tree is fitted on at most 2 * SAMPLE vectors, every vector is indexed. A vector is first searched
+    for in its own cell; then it visits just those blocks of cells that its stopping test cannot rule out. Each true neighbour
+    is met with probability ``confidence`` at least. Ties go to the smaller id.
+
+    Where no neighbour is close nothing is ruled out, and every vector visits every block: so blocks are as large as a task can hold, a vector is
+    copied to at most max(BLOCKS, n / HELD) of them (twice that by rounding), and a block's visitors are split over as many tasks as they need.
     """
     n = vectors.count()
     step = max(1, n // SAMPLE)
     matrix = _projection(dimensions, seed)
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(step)) == 0).select("vector").limit(2 * SAMPLE).toArrow()
     points = _unit(sample["vector"].to_numpy()) @ matrix if sample.num_rows else np.zeros((0, PROJECTED), np.float32)
-    depth = max(0, math.ceil(math.log2(max(1, n) / CELL))) if len(points) else 0
-    tree = Tree(points, min(depth, max(0, int(math.log2(max(1, len(points) / PER_CELL))))))
+    halvings = lambda size: max(0, math.ceil(math.log2(max(1, n) / size)))
+    tree = Tree(points, min(halvings(CELL) if len(points) else 0, max(0, int(math.log2(max(1, len(points) / PER_CELL))))))
     quantile = chi_square_quantile(PROJECTED, confidence)
     cells = 2**tree.depth
+    blocks = 2 ** min(tree.depth, max(int(math.log2(BLOCKS)), halvings(HELD)))
+    each = cells // blocks
+    low, high = tree.low.reshape(blocks, each, -1).min(1), tree.high.reshape(blocks, each, -1).max(1)
+    parts = -(-n // VISITORS) or 1
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 raw = np.stack(b["vector"]).astype(np.float32)
-                yield pd.DataFrame({"cell": tree.cell(_unit(raw) @ matrix), "kind": "p", "id": b["id"].to_numpy(), "other": 0, "cosine": 0.0, "vector": [v.tobytes() for v in raw]})
+                yield pd.DataFrame({"place": tree.cell(_unit(raw) @ matrix), "kind": "p", "id": b["id"].to_numpy(), "cell": 0, "cosine": 0.0, "vector": [v.tobytes() for v in raw]})
 
-    def load(parts: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        b = pd.concat(parts) if parts else pd.DataFrame({"id": [], "vector": []})
+    def load(rows: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        b = pd.concat(rows) if rows else pd.DataFrame({"id": [], "vector": [], "cell": []})
         raw = np.frombuffer(b"".join(b["vector"]), np.float32).reshape(len(b), dimensions)
         unit = _unit(raw) if len(raw) else raw
-        return unit, unit @ matrix, b["id"].to_numpy(np.int64), raw
+        return unit, unit @ matrix, b["id"].to_numpy(np.int64), raw, b["cell"].to_numpy(np.int64)
 
-    def results(best: _Best, ids: np.ndarray, cell: int) -> pd.DataFrame:
+    def results(best: _Best, ids: np.ndarray) -> pd.DataFrame:
         row, col = np.nonzero(best.cosine >= -1.5)
-        return pd.DataFrame({"cell": (row + cell) % max(cells, 1), "kind": "r", "id": ids[row], "other": best.other[row, col], "cosine": best.cosine[row, col], "vector": None})
+        return pd.DataFrame({"place": row % (blocks * parts), "kind": "r", "id": ids[row], "cell": best.other[row, col], "cosine": best.cosine[row, col], "vector": None})
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[pd.DataFrame]] = {}
         for b in batches:
-            for cell, part in b.groupby("cell"):
-                held.setdefault(int(cell), []).append(part[["id", "vector"]])
-        for cell, parts in held.items():
-            unit, projected, ids, full = load(parts)
+            for cell, rows in b.groupby("place"):
+                held.setdefault(int(cell), []).append(rows[["id", "vector", "cell"]])
+        for cell, rows in held.items():
+            unit, projected, ids, full, _ = load(rows)
             best = _Best(len(ids), k, least)
             Index(unit, projected, ids, full).search(unit, projected, ids, best, quantile, full)
-            yield results(best, ids, cell)
+            yield results(best, ids)
             raw = [v.tobytes() for v in full]
-            yield pd.DataFrame({"cell": cell, "kind": "p", "id": ids, "other": 0, "cosine": 0.0, "vector": raw})
+            block = cell // each
+            for part in range(parts):
+                yield pd.DataFrame({"place": block * parts + part, "kind": "p", "id": ids, "cell": cell, "cosine": 0.0, "vector": raw})
             reach = quantile * best.reach(np.arange(len(ids)))
             floor = best.floors(np.arange(len(ids)))
             for a in range(0, len(ids), 2048):
-                far = gaps(projected[a : a + 2048], tree.low, tree.high)
+                far = gaps(projected[a : a + 2048], low, high)
                 row, to = np.nonzero(far <= reach[a : a + 2048, None])
-                row, to = row[to != cell] + a, to[to != cell]
-                yield pd.DataFrame({"cell": to, "kind": "q", "id": ids[row], "other": 0, "cosine": floor[row], "vector": [raw[r] for r in row]})
+                if each == 1:  # the block is the cell itself
+                    row, to = row[to != block], to[to != block]
+                row = row + a
+                yield pd.DataFrame({"place": to * parts + ids[row] % parts, "kind": "q", "id": ids[row], "cell": cell, "cosine": floor[row], "vector": [raw[r] for r in row]})
 
     def beyond(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # rows come by cell, a cell's points before its visitors: the points are held, the visitors pass by in batches
-        here, parts, index = -1, [], None
+        # rows come by place, a block's points before its visitors: the points are held, the visitors pass by in batches
+        here, rows, index = -1, [], None
         for b in batches:
             if (told := b["kind"] == "r").any():
-                yield b.loc[told, ["id", "other", "cosine"]]
-            for (cell, kind), part in b[~told].groupby(["cell", "kind"], sort=True):
-                if cell != here:
-                    here, parts, index = cell, [], None
+                yield b.loc[told, ["id", "cell", "cosine"]].rename(columns={"cell": "other"})
+            for (place, kind), some in b[~told].groupby(["place", "kind"], sort=True):
+                if place != here:
+                    here, rows, index = place, [], None
                 if kind == "p":
-                    parts.append(part[["id", "vector"]])
+                    rows.append(some[["id", "vector", "cell"]])
                     continue
                 if index is None:
-                    index = Index(*load(parts))
-                    parts = []
-                unit, projected, ids, full = load([part])
-                best = _Floored(_Best(len(ids), k, least), part["cosine"].to_numpy())
-                index.search(unit, projected, ids, best, quantile, full)
-                yield results(best, ids, cell)[["id", "other", "cosine"]]
-
-    assigned = vectors.mapInPandas(assign, _FLOW).repartitionById(cells, F.col("cell"))
-    flow = assigned.mapInPandas(own, _FLOW).repartitionById(cells, F.col("cell")).sortWithinPartitions("cell", "kind")
+                    index = Index(*load(rows))
+                    rows = []
+                unit, projected, ids, full, from_ = load([some])
+                best = _Floored(_Best(len(ids), k, least), some["cosine"].to_numpy())
+                index.search(unit, projected, ids, best, quantile, full, from_)
+                yield results(best, ids)[["id", "cell", "cosine"]].rename(columns={"cell": "other"})
+
+    assigned = vectors.mapInPandas(assign, _FLOW).repartitionById(cells, F.col("place"))
+    flow = assigned.mapInPandas(own, _FLOW).repartitionById(blocks * parts, F.col("place")).sortWithinPartitions("place", "kind")
     found = flow.mapInPandas(beyond, "id long, other long, cosine double")
     rank = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
     return found.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= k).select("id", "other", "cosine")

@@ -102,9 +102,12 @@ def test_neighbours_recall_and_copies(spark):
     assert neighbors.nearest_nodes(df.limit(0), 5, 64).count() == 0
 
 
-@pytest.mark.parametrize("near", [False, True])
-def test_recall_across_cells_without_floor(spark, monkeypatch, near):
+@pytest.mark.parametrize(("near", "blocks", "visitors"), [(False, 16, 10**6), (True, 16, 10**6), (False, 4, 500), (True, 2, 500)])
+def test_recall_across_cells_without_floor(spark, monkeypatch, near, blocks, visitors):
     monkeypatch.setattr(neighbors, "CELL", 100)
+    monkeypatch.setattr(neighbors, "BLOCKS", blocks)
+    monkeypatch.setattr(neighbors, "HELD", 1000)
+    monkeypatch.setattr(neighbors, "VISITORS", visitors)
     rng = np.random.default_rng(4)
     vectors = rng.standard_normal((1600, 64))
     if near:  # clusters, whose neighbours are close
