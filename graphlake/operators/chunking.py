@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphlake.config import DEFAULTS, Settings
 from graphlake.functions import text as T
+from graphlake.operators.ranking import adjacent
 from graphlake.schema import make_edges, stable_id
 
 
@@ -59,9 +60,9 @@ def packed_chunks(sections: DataFrame, key: str, settings: Settings = DEFAULTS,
 
 
 def chunk_chain(chunks: DataFrame, parent: str, order: str, key: str = "id") -> DataFrame:
-    """prev_chunk_id and next_chunk_id along the reading order of each parent, ties by key."""
-    w = Window.partitionBy(parent).orderBy(order, key)
-    return chunks.withColumn("prev_chunk_id", F.lag(key).over(w)).withColumn("next_chunk_id", F.lead(key).over(w))
+    """prev_chunk_id and next_chunk_id along the reading order of each parent, ties by key; texts do not move for it, nor is a long parent gathered anywhere."""
+    beside = adjacent(chunks, parent, order, key).select(key, F.col("prev").alias("prev_chunk_id"), F.col("next").alias("next_chunk_id"))
+    return chunks.drop("prev_chunk_id", "next_chunk_id").join(beside, key)
 
 
 def chunk_books(books: DataFrame, settings: Settings = DEFAULTS, paragraphs=T.paragraphs) -> tuple[DataFrame, DataFrame]:

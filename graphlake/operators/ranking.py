@@ -44,3 +44,31 @@ def group_ranks(df: DataFrame, groups: list[str], value: str, weight: str | None
         (F.col("__below") + F.coalesce("__skip", F.lit(0))).alias("n_below"),
         F.coalesce("__total", "__all").alias("n_total"),
     )
+
+
+def adjacent(df: DataFrame, group: str, order: str, key: str) -> DataFrame:
+    """(key, prev, next): the keys before and after each row's in the order of its group, ties by key; null at the ends.
+
+    Only these three columns move, split by range of (group, order, key), so a group that holds a third of all rows lies over many
+    partitions; where it goes on in another partition, a table of at most two rows per partition tells. Rows without
+    group are a group of their own. Keys must be unique and not null.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = df.select(F.col(group).alias("__g"), F.col(order).alias("__o"), F.col(key).alias("__k"))
+    ranged = cut_lineage(narrow.repartitionByRange(parts, "__g", "__o", "__k").withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy("__g", "__part").orderBy("__o", "__k")
+    local = ranged.withColumn("__p", F.lag("__k").over(inside)).withColumn("__n", F.lead("__k").over(inside))
+    by_group = Window.partitionBy("__g")
+    row = F.struct("__o", "__k")
+    crossing = (
+        ranged.groupBy("__g", "__part")
+        .agg(F.min(row).alias("__first"), F.max(row).alias("__last"))
+        .withColumn("__spans", F.count("*").over(by_group))
+        .withColumn("__before", F.lag("__last.__k").over(by_group.orderBy("__part")))
+        .withColumn("__after", F.lead("__first.__k").over(by_group.orderBy("__part")))
+        .where("__spans > 1")
+        .select(F.col("__g").alias("__g2"), F.col("__part").alias("__part2"), "__before", "__after")
+    )
+    same = F.col("__g").eqNullSafe(F.col("__g2")) & (F.col("__part") == F.col("__part2"))
+    joined = local.join(F.broadcast(crossing), same, "left")
+    return joined.select(F.col("__k").alias(key), F.coalesce("__p", "__before").alias("prev"), F.coalesce("__n", "__after").alias("next"))

@@ -118,14 +118,10 @@ _FILES = "files AS (SELECT DISTINCT ON (file_id) file_id, repo, path, content FR
 
 @query(rf"""WITH {_FILES} SELECT file_id, replace(regexp_replace(regexp_replace(path, '\.[^./]+$', ''), '(^|/)__init__$', ''), '/', '.') AS module_path,
 CASE WHEN ends_with(path, '.py') THEN 'python' END AS language, CAST(len(string_split(content, chr(10))) AS BIGINT) AS loc,
-ends_with(path, '.py') AND NOT regexp_matches('/' || path, '/(build|dist|venv|\.git|node_modules|__pycache__|\.venv|\.tox|\.mypy_cache|\.pytest_cache)/') AND octet_length(encode(content)) <= 4000 AS wanted FROM files""")
+ends_with(path, '.py') AND NOT regexp_matches('/' || path, '/(build|dist|venv|\.git|node_modules|__pycache__|\.venv|\.tox|\.mypy_cache|\.pytest_cache)/') AND octet_length(encode(content)) <= 512000 AS wanted FROM files""")
 def source_scan(spark, sf):
-    from dataclasses import replace
-
-    from graphlake.config import DEFAULTS
-
     files = table(spark, sf, "source_files").dropDuplicates(["file_id"])
-    wanted = file_sources.source_filter(c("path"), F.octet_length("content"), replace(DEFAULTS, code_file_bytes=4000))
+    wanted = file_sources.source_filter(c("path"), F.octet_length("content"))
     return files.select("file_id", file_sources.module_path(c("path")).alias("module_path"), file_sources.language_for_path(c("path")).alias("language"), (F.regexp_count("content", F.lit("\n")) + 1).cast("long").alias("loc"), wanted.alias("wanted"))
 
 

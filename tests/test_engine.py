@@ -1,13 +1,16 @@
 """Hand-made cases and invariants of the engine's operators."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
+from graphlake.config import DEFAULTS
 from graphlake.functions import text as T
 from graphlake import schema
 from graphlake.operators import chunking, code_parser, embed, judge, merge, resolve, similarity, store, tfidf, traverse
 from graphlake.operators.embed import HashingEmbedder
-from graphlake.operators.ranking import group_ranks
+from graphlake.operators.ranking import adjacent, group_ranks
 from graphlake.plans import answer, ingest
 from graphlake.queries import QUERIES
 from graphlake.sources import catalog, files, http
@@ -435,6 +438,22 @@ def test_http_retries_with_growing_pauses():
     assert http.get("u", retries=1, opener=down, pause=waited.append) == (0, b"")
 
 
+def test_source_filter_minds_the_size(spark):
+    df = spark.createDataFrame([("a.py", 10), ("a.py", 11), ("build/a.py", 1), ("a.txt", 1)], "path string, n int")
+    small = replace(DEFAULTS, code_file_bytes=10)
+    assert [r[0] for r in df.select(files.source_filter(F.col("path"), F.col("n"), small)).collect()] == [True, False, False, False]
+
+
+def test_neighbours_in_order(spark):
+    data = [("hot" if i % 3 else f"g{i % 4}", i * 7 % 31, f"k{i:03d}") for i in range(120)] + [(None, 1, "n1"), (None, None, "n0"), ("lone", 1, "x")]
+    got = {r["k"]: (r["prev"], r["next"]) for r in adjacent(spark.createDataFrame(data, "g string, o int, k string").repartition(7), "g", "o", "k").collect()}
+    for g in {x[0] for x in data}:
+        line = [k for _, _, k in sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))]
+        for before, k, after in zip([None, *line], line, [*line[1:], None], strict=False):
+            assert got.pop(k) == (before, after)
+    assert not got
+
+
 def test_raw_texts_and_cloud_requests(spark, tmp_path):
     books = spark.createDataFrame([("t", "1_a.txt", "Wings é"), ("u", "2_b.txt", "x"), ("u", "3_c.txt", None)], "topic string, file_name string, text string")
     assert rows(files.write_raw_texts(books, str(tmp_path / "raw"))) == [("t", "1_a.txt", 8), ("u", "2_b.txt", 1)]
