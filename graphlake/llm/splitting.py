@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlake.llm.plain import JAVA_SPACE, SPACE
+from graphlake.llm.plain import SPACE
 from graphlake.session import cut_lineage
 
 _WORD = re.compile(f"[^{SPACE}]+")
@@ -87,13 +87,14 @@ def cut_points(text: str, limit: int, overlap: int, least: int, window: int = 8,
 
 def word_count(text):
     """Words of a text column: longest runs of characters that are not Unicode white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{JAVA_SPACE}]+")), F.lit(0))
+    # with (?U) \s is Unicode white space, and told by a table rather than range by range
+    return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\S+")), F.lit(0))
 
 
 def split_oversized(df: DataFrame, text: str = "text", limit: int = 360, overlap: int = 30, least: int = 120) -> DataFrame:
     """The rows of df with ``text`` replaced by its pieces, in columns ``piece, n_pieces, first_word, end_word, piece_text``.
 
-    Texts within the limit stay one piece and never leave the JVM; only oversized texts go through Python.
+    Texts within the limit stay one piece and never leave the JVM; only oversized texts go through Python, in the same pass.
     A null text gives one piece with null ``piece_text``, an empty one a piece without words. Other
     columns are kept; one named like an output column is replaced. Repeated rows give repeated pieces.
     """
@@ -101,25 +102,23 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = 360, overlap
     kept = [c for c in df.columns if c not in added or c == text]
     df = df.select(*kept).withColumn("__n", word_count(F.col(text)))
     others = [c for c in kept if c != text]
-    small = df.where(F.col("__n") <= limit).select(
-        *others,
-        F.lit(0).alias("piece"),
-        F.lit(1).alias("n_pieces"),
-        F.lit(0).alias("first_word"),
-        F.col("__n").cast("int").alias("end_word"),
-        F.col(text).alias("piece_text"),
-    )
-
-    @F.pandas_udf("array<struct<piece:int,n_pieces:int,first_word:int,end_word:int,piece_text:string>>")
+    piece = "array<struct<piece:int,n_pieces:int,first_word:int,end_word:int,piece_text:string>>"
+
+    @F.pandas_udf(piece)
     def pieces(texts: pd.Series) -> pd.Series:
         def one(t):
+            if t is None:
+                return None
             cuts = cut_points(t, limit, overlap, least)
             return [(i, len(cuts), a, b, t[x:y]) for i, (a, b, x, y) in enumerate(cuts)]
 
         return texts.map(one)
 
-    large = df.where(F.col("__n") > limit).select(*others, F.explode(pieces(F.col(text))).alias("__p")).select(*others, "__p.*")
-    return small.unionByName(large)
+    large = F.col("__n") > limit
+    whole = F.array(F.struct(F.lit(0), F.lit(1), F.lit(0), F.col("__n").cast("int"), F.col(text))).cast(piece)
+    # rows are read once; to Python goes a null for a text that stays whole
+    cut = df.withColumn("__cut", pieces(F.when(large, F.col(text))))
+    return cut.select(*others, F.explode(F.when(large, F.col("__cut")).otherwise(whole)).alias("__p")).select(*others, "__p.*")
 
 
 def depth_by_parent(df: DataFrame, key: str, parent: str) -> DataFrame:
