@@ -7,11 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.llm.plain import JAVA_SPACE
 from graphlake.session import cut_lineage
 
 #: A token is a longest run of letters, numbers and underscores, or of other characters that are not white space.
-TOKEN = rf"[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{JAVA_SPACE}]+"
+TOKEN = r"(?U)[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
 
 def shallow_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
