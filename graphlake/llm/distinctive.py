@@ -15,8 +15,10 @@ from graphlake.session import cut_lineage
 
 #: Distinct terms a task holds before it passes their counts on; a bound on memory, not on terms.
 FLUSH_TERMS = 400_000
-_ROW = pa.schema([("id", pa.string()), ("term", pa.string()), ("tf", pa.int32()), ("degree", pa.int32()), ("docs", pa.int64())])
-_DDL = "id string, term string, tf int, degree int, docs long"
+#: Size up to which document frequencies are broadcast.
+COUNT_BYTES = 128 << 20
+_ROW = pa.schema([("id", pa.string()), ("term", pa.list_(pa.string())), ("tf", pa.list_(pa.int32())), ("degree", pa.list_(pa.int32())), ("docs", pa.list_(pa.int64()))])
+_DDL = "id string, term array<string>, tf array<int>, degree array<int>, docs array<long>"
 
 
 def degrees(tokens: list[str], chosen: set[str], window: int) -> dict[str, int]:
@@ -29,24 +31,23 @@ def degrees(tokens: list[str], chosen: set[str], window: int) -> dict[str, int]:
 
 
 def _scan(window: int, min_tf: int, max_df: int | None):
-    """Emits a row (no id, term, docs) of each term's records so far and a row for each (record, term) that may still qualify."""
+    """Emits a row without id for the terms seen so far and their records, and a row for each record with its terms that may still qualify."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: Counter[str] = Counter()
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: list[tuple[str, list, list, list]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            ids, terms, tfs, near = held
+            kept = held
             if max_df is not None:
-                # a term in more than max_df records here is in more than max_df of all: its rows go no further
-                keep = [docs[t] <= max_df for t in terms]
-                ids, terms, tfs, near = (list(compress(x, keep)) for x in held)
-            n, m = len(docs), len(ids)
-            columns = [[None] * n + ids, [*docs, *terms], [0] * n + tfs, [0] * n + near, [*docs.values(), *[0] * m]]
-            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+                # a term in more than max_df records here is in more than max_df of all: it goes no further
+                keep = [[docs[t] <= max_df for t in terms] for _, terms, _, _ in held]
+                kept = [(key, *(list(compress(x, k)) for x in lists)) for (key, *lists), k in zip(held, keep, strict=True) if any(k)]
+            rows = [(None, list(docs), None, None, list(docs.values())), *((*x, None) for x in kept)]
+            out = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _ROW, strict=True)], schema=_ROW)
             docs.clear()
-            for x in held:
-                x.clear()
+            held.clear()
             return out
 
         for batch in batches:
@@ -56,14 +57,13 @@ def _scan(window: int, min_tf: int, max_df: int | None):
                 terms = [t for t in tf if t.isalpha()]
                 docs.update(terms)
                 chosen = {t for t in terms if tf[t] >= min_tf and (max_df is None or docs[t] <= max_df)}
-                if chosen:
+                if chosen and key is not None:
                     found = degrees(tokens, chosen, window)
-                    held[0].extend([key] * len(found))
-                    held[1].extend(found)
-                    held[2].extend(tf[t] for t in found)
-                    held[3].extend(found.values())
-                if len(docs) >= FLUSH_TERMS or len(held[0]) >= FLUSH_TERMS:
+                    held.append((key, list(found), [tf[t] for t in found], list(found.values())))
+                    size += len(found)
+                if len(docs) >= FLUSH_TERMS or size >= FLUSH_TERMS:
                     yield flush()
+                    size = 0
         yield flush()
 
     return scan
@@ -78,16 +78,22 @@ def distinctive_terms(df: DataFrame, key: str = "id", text: str = "text", window
     tf >= min_tf, min_df <= df <= max_df and score >= least (no score is below 0). Null and empty texts count as records
     without terms; ties in score are left to the reader. Other columns are not read, so their names cannot clash.
 
-    One pass over the texts: its narrow rows are written once and read by both uses. Document frequencies are summed
-    per task before they move, so a term of nearly every record sends one row a task; with max_df only the
-    terms within it are joined to the rows, and tasks have dropped the rows of terms that are too common already there.
+    One pass over the texts: what it finds is written once, a row per record, and read by both uses. Document frequencies are summed
+    per task before they move, so a term of nearly every record sends one row a task. They go to the rows if
+    they take at most COUNT_BYTES, else rows and frequencies meet by term; with max_df only the terms within it
+    count, and tasks have dropped those that are too common already there.
     """
     texts = df.select(F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"))
     n = df.select(key).count()
     rows = cut_lineage(texts.mapInArrow(_scan(window, min_tf, max_df), _DDL))
-    counts = rows.where("id is null").groupBy("term").agg(F.sum("docs").alias("df")).where(F.col("df") >= min_df)
+    of_task = rows.where("id is null").select(F.explode(F.arrays_zip("term", "docs")).alias("t")).select("t.term", "t.docs")
+    counts = of_task.groupBy("term").agg(F.sum("docs").alias("df")).where(F.col("df") >= min_df)
     if max_df is not None:
         counts = counts.where(F.col("df") <= max_df)
+    counts = cut_lineage(counts)
+    if counts.agg(F.coalesce(F.sum(F.octet_length("term") + 48), F.lit(0))).first()[0] <= COUNT_BYTES:
+        counts = F.broadcast(counts)
     score = F.col("degree") * F.log((F.lit(n) + 1) / F.col("df"))
-    found = rows.where("id is not null").join(counts, "term").withColumn("score", score)
+    listed = rows.where("id is not null").select("id", F.explode(F.arrays_zip("term", "tf", "degree")).alias("t")).select("id", "t.term", "t.tf", "t.degree")
+    found = listed.join(counts, "term").withColumn("score", score)
     return found.where(F.col("score") >= least).select("id", "term", "tf", "df", "degree", "score")
