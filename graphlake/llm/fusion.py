@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlake.llm.plain import JAVA_SPACE
 from graphlake.operators.ranking import group_ranks
 from graphlake.session import cut_lineage
 
@@ -16,10 +15,9 @@ def read_number(text: Column, comma: str | None = None) -> Column:
     Blanks around it do not count; % means hundredths; exponents are read; ``comma`` says what a comma is:
     'decimal', 'thousands' or, by default, not part of a number.
     """
-    blank = f"[{JAVA_SPACE}]+"
-    bare = F.regexp_replace(text, f"^{blank}|{blank}$", "")
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     percent = bare.endswith("%")
-    digits = F.regexp_replace(bare, f"(?:{blank})?%$", "")
+    digits = F.regexp_replace(bare, r"(?U)\s*%$", "")
     if comma == "decimal":
         digits = F.regexp_replace(digits, ",", ".")
     elif comma == "thousands":

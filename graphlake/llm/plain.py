@@ -13,8 +13,6 @@ _BROKEN = re.compile(r"(?<=[^\W\d_])[-\u2010][ \t]*\r?\n[ \t]*(?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
 #: Unicode white space, for classes in Python's re.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The same for Java's regular expressions.
-JAVA_SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def plain(text: str | None) -> str:
