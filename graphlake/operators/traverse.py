@@ -8,27 +8,33 @@ from pyspark.sql import functions as F
 from graphlake.session import cut_lineage
 
 
-def neighborhood(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
-    """(seed_id, edge_id, rel_type, explanation, outgoing, neighbor_id, ordinal): undirected one-hop edges of each seed, at most ``limit`` in order of type, neighbour, edge.
-
-    A loop counts once, as outgoing. Edges are cut to those that touch a seed before anything else is asked of them. The
-    cap is a group limit ahead of the shuffle, so hubs stay cheap. With nodes, edges to nodes that are gone are left out.
-    """
+def incident(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed_id, edge_id, rel_type, explanation, outgoing, neighbor_id): all edges at each seed, undirected; a loop counts once, as outgoing."""
     e = edges.select(F.col("id").alias("edge_id"), "source_id", "target_id", "rel_type", F.coalesce("explanation", F.lit("")).alias("explanation"))
     out = e.select(F.col("source_id").alias("seed_id"), "edge_id", "rel_type", "explanation", F.lit(True).alias("outgoing"), F.col("target_id").alias("neighbor_id"))
     into = e.where("source_id <> target_id").select(F.col("target_id").alias("seed_id"), "edge_id", "rel_type", "explanation", F.lit(False).alias("outgoing"), F.col("source_id").alias("neighbor_id"))
-    asked = seeds.select("seed_id").distinct()
-    if nodes is not None:
-        asked = asked.join(nodes.select(F.col("id").alias("seed_id")), "seed_id", "left_semi")
-    near = out.unionByName(into).join(asked, "seed_id")
+    return out.unionByName(into).join(seeds.select("seed_id").distinct(), "seed_id")
+
+
+def capped(near: DataFrame, nodes: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
+    """Incident edges with ``ordinal``, at most ``limit`` of each seed in order of type, neighbour, edge; with nodes (id), those with an end that is gone are left out first."""
     if nodes is not None:
-        near = near.join(nodes.select(F.col("id").alias("neighbor_id")), "neighbor_id", "left_semi")
+        near = near.join(nodes.select(F.col("id").alias("seed_id")), "seed_id", "left_semi").join(nodes.select(F.col("id").alias("neighbor_id")), "neighbor_id", "left_semi")
     order = Window.partitionBy("seed_id").orderBy("rel_type", "neighbor_id", "edge_id")
     near = near.withColumn("ordinal", F.row_number().over(order))
     near = near.where(F.col("ordinal") <= limit) if limit else near
     return near.select("seed_id", "edge_id", "rel_type", "explanation", "outgoing", "neighbor_id", "ordinal")
 
 
+def neighborhood(seeds: DataFrame, edges: DataFrame, nodes: DataFrame | None = None, limit: int | None = 50) -> DataFrame:
+    """(seed_id, edge_id, rel_type, explanation, outgoing, neighbor_id, ordinal): undirected one-hop edges of each seed, at most ``limit`` in order of type, neighbour, edge.
+
+    A loop counts once, as outgoing. Edges are cut to those that touch a seed before anything else is asked of them. The
+    cap is a group limit ahead of the shuffle, so hubs stay cheap. With nodes, edges to nodes that are gone are left out.
+    """
+    return capped(incident(seeds, edges), nodes, limit)
+
+
 def k_hop(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(seed_id, node_id, distance): nodes within so many undirected hops of each seed, at their least distance.
 

@@ -11,7 +11,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from graphlake.functions import text as T
 from graphlake.operators.judge import Provider
-from graphlake.operators.traverse import neighborhood
+from graphlake.operators.traverse import capped, incident
+from graphlake.session import cut_lineage
 
 NOTHING_FOUND = "Nothing in the graph bears on this question. Ingest more sources on its topic, or ask in other words."
 
@@ -22,9 +23,13 @@ def context_rows(seeds: DataFrame, edges: DataFrame, nodes: DataFrame, limit: in
     A node counts once per question, where it first comes with a text; nodes without text or description fall away before that.
     """
     body = T.first_text(F.col("text"), F.col("description"))
-    facts = nodes.select(F.col("id").alias("node_id"), "label", body.alias("body"))
+    # the edges at the seeds say which nodes matter; nodes are read once, and bodies for those alone
+    ends = cut_lineage(incident(seeds.select(F.col("node_id").alias("seed_id")), edges))
+    wanted = ends.select(F.col("neighbor_id").alias("id")).union(seeds.select("node_id")).distinct()
+    known = cut_lineage(nodes.select("id", "label", body.alias("body")).join(wanted, "id", "left_semi"))
+    facts = known.select(F.col("id").alias("node_id"), "label", "body")
     own = seeds.select("query_id", "node_id", F.struct(F.lit(0).alias("stage"), F.col("rank"), F.lit(0).alias("ordinal")).alias("place"), F.lit("").alias("extra"))
-    near = neighborhood(seeds.select(F.col("node_id").alias("seed_id")), edges, nodes, limit)
+    near = capped(ends, known, limit)
     around = seeds.select("query_id", F.col("node_id").alias("seed_id"), "rank").join(near, "seed_id")
     around = around.select("query_id", F.col("neighbor_id").alias("node_id"), F.struct(F.lit(1).alias("stage"), F.col("rank"), F.col("ordinal")).alias("place"), T.relation_note(F.col("rel_type"), F.col("explanation")).alias("extra"))
     told = own.unionByName(around).join(facts, "node_id").where("body <> ''")

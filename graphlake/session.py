@@ -12,6 +12,8 @@ def build_session(app: str = "graphlake", master: str | None = None, **conf: str
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # texts unfold to many times their size, so that small partitions are work enough
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.session.timeZone": "UTC",
         # checkpoints go when nothing refers to them any more
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
