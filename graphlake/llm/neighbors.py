@@ -318,11 +318,16 @@ def nearest_nodes(points: DataFrame, k: int = 5, dimensions: int = 64, least: fl
     node_id, so only the k + 1 smallest ids of a vector can be anyone's neighbours and a vector that a third of all
     points share costs no more than another. Unusable vectors (null, wrong length, not finite, all zero) take no part.
     """
+    from graphlake.llm import close  # which builds on this module
+
     good = points.select(F.col("node_id").cast("string").alias("node_id"), F.col("dense").cast("array<float>").alias("dense")).where("node_id is not null").where(usable(F.col("dense"), dimensions))
     keyed = cut_lineage(good.select(F.xxhash64("dense").alias("id"), "node_id", F.col("dense").alias("vector")))
-    clash = F.raise_error(F.lit("two vectors share a hash"))
-    distinct = keyed.groupBy("id").agg(F.min("vector").alias("vector"), F.max("vector").alias("same")).select("id", F.when(F.col("vector") == F.col("same"), F.col("vector")).otherwise(clash).alias("vector"))
-    links = vector_neighbors(distinct, k, dimensions, least, confidence)
+    if least >= close.CLOSE:
+        links = close.close_neighbors(keyed.select("id", "vector"), k, dimensions, least, confidence)
+    else:
+        clash = F.raise_error(F.lit("two vectors share a hash"))
+        distinct = keyed.groupBy("id").agg(F.min("vector").alias("vector"), F.max("vector").alias("same")).select("id", F.when(F.col("vector") == F.col("same"), F.col("vector")).otherwise(clash).alias("vector"))
+        links = vector_neighbors(distinct, k, dimensions, least, confidence)
     itself = keyed.select("id").distinct().select("id", F.col("id").alias("other"), F.lit(1.0).alias("cosine"))
     order = Window.partitionBy("id").orderBy("node_id")
     names = keyed.select("id", "node_id").withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k + 1)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphlake.llm import distinctive, doc_pairs, fusion, leakage, near_duplicates, neighbors, packing, plain, quality, splitting
+from graphlake.llm import close, distinctive, doc_pairs, fusion, leakage, near_duplicates, neighbors, packing, plain, quality, splitting
 from graphlake.llm.queries import ORACLE, QUERIES
 from graphlake.sources.tables import latest_rows
 
@@ -127,6 +127,49 @@ def test_recall_across_cells_without_floor(spark, monkeypatch, near, blocks, vis
     assert neighbors.nearest_of(asked.limit(0), df).count() == 0 and neighbors.nearest_of(asked, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parted", [False, True])
+def test_close_vectors_across_cells(spark, monkeypatch, parted):
+    monkeypatch.setattr(close, "SMALL", 8)
+    if parted:
+        monkeypatch.setattr(close, "HELD", 100)
+        monkeypatch.setattr(close, "VISITORS", 700)
+        monkeypatch.setattr(close, "HOME", 300)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((1500, 64))
+    spiked = 0.05 * rng.standard_normal((100, 64))
+    spiked[np.arange(100), np.arange(100) % 64] = 3
+    vectors = np.concatenate([base, base[:300] + 0.44 * rng.standard_normal((300, 64)), 3 + rng.standard_normal((200, 64)), spiked, 1e-30 * base[:40], base[:40]]).astype(np.float32)
+    vectors[-40:, 0], vectors[:40, 0] = -0.0, 0.0
+    unit = vectors.astype(np.float64) / np.linalg.norm(vectors.astype(np.float64), axis=1, keepdims=True)
+    cos = np.round(unit @ unit.T, 12)
+    np.fill_diagonal(cos, -2)
+    best = {(i, j): cos[i, j] for i in range(len(cos)) for j in np.lexsort((np.arange(len(cos)), -cos[i]))[:5].tolist() if cos[i, j] >= 0.9}
+    df = spark.createDataFrame([(f"{i:04d}", v.tolist()) for i, v in enumerate(vectors)], "node_id string, dense array<float>").repartition(5)
+    got = {(int(r["node_id"]), int(r["other"])): r["cosine"] for r in neighbors.nearest_nodes(df, 5, 64, 0.9).collect()}
+    assert len(best) > 1500 and len(best.keys() & got.keys()) >= 0.99 * len(best)
+    assert all(abs(c - cos[pair]) < 1e-9 and c >= 0.9 for pair, c in got.items())
+    assert neighbors.nearest_nodes(df.limit(1), 5, 64, 0.9).count() == 0 and neighbors.nearest_nodes(df.limit(0), 5, 64, 0.9).count() == 0
+
+
+def test_close_vectors_meet_fewer_in_more_cells():
+    rng = np.random.default_rng(7)
+    vectors = neighbors._unit(rng.standard_normal((8000, 64)))
+    beside = rng.standard_normal(vectors.shape)
+    beside -= (beside * vectors).sum(1, keepdims=True) * vectors
+    partners = 0.9 * vectors + math.sqrt(0.19) * neighbors._unit(beside)
+    met = []
+    for count in (64, 4096):
+        directions = neighbors._unit(rng.standard_normal((count, 64)))
+        margin = close._margin(vectors[:4000], np.zeros(64, np.float32), directions, 0.9, 0.98, rng)
+        score, other = vectors[4000:] @ directions.T, partners[4000:] @ directions.T
+        hit = score >= score.max(1, keepdims=True) - margin
+        back = other >= other.max(1, keepdims=True) - margin
+        row = np.arange(len(hit))
+        assert hit[row, other.argmax(1)].mean() >= 0.97 and (hit[row, other.argmax(1)] | back[row, score.argmax(1)]).mean() >= 0.998
+        met.append(float((hit @ np.bincount(score.argmax(1), minlength=count)).mean() / len(hit)))
+    assert met[1] < 0.03 < 0.1 < met[0] < 0.3  # a tree of 1,024 cells let a vector meet more than half
+
+
 def test_every_seed_gets_its_nearest(spark, sf):
     points = latest_rows(spark.read.parquet(f"{sf}/points.parquet").select("node_id", "dense", F.col("payload.created_at").alias("created_at")), "node_id")
     data = sorted((r["node_id"], r["dense"]) for r in points.collect() if r["dense"] and len(r["dense"]) == 64 and np.isfinite(r["dense"]).all() and any(r["dense"]))
