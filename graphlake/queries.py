@@ -16,7 +16,7 @@ from graphlake.schema import duplicate_keys, make_edges
 from graphlake.session import cut_lineage
 from graphlake.sources import catalog as books_catalog
 from graphlake.sources import files as file_sources
-from graphlake.sources.tables import table, valid
+from graphlake.sources.tables import latest_rows, table, valid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,12 +63,13 @@ def _nodes(spark: SparkSession, sf: str) -> DataFrame:
     parts = []
     for name in ("books", "sections", "chunks", "concepts", "code_symbols"):
         extra = {"chunks": "text", "code_symbols": "text", "concepts": "description"}.get(name)
-        rows = valid(spark, sf, name)
-        parts.append(rows.select(*base, *[(c(x) if x == extra else F.lit(None).cast("string")).alias(x) for x in ("text", "description")]))
+        rows = table(spark, sf, name)
+        parts.append(rows.select(F.lit(name).alias("log"), *base, *[(c(x) if x == extra else F.lit(None).cast("string")).alias(x) for x in ("text", "description")]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    # the union comes first: one of parts that are already split by id counts as split by id, which fails where its shuffles are reused
+    return latest_rows(out, ["log", "id"]).drop("log")
 
 
 def _edges(spark: SparkSession, sf: str) -> DataFrame:
